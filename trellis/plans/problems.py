@@ -84,7 +84,7 @@ targets AS (
   SELECT 'data_mutations' AS table_name, nullif(trim(sample_id, ' \t'), '') AS k, loaded_at AS a, deleted_at AS b FROM data_clinical_sample
   UNION ALL SELECT 'data_clinical_sample', nullif(trim(patient_id, ' \t'), ''), loaded_at, deleted_at FROM data_clinical_patient),
 met AS (
-  SELECT r.table_name, r.row_id, any_value(r.came) AS came, count(t.k) AS n, count_if(t.a <= r.came) AS loaded, count_if(t.a <= r.came AND (t.b IS NULL OR r.came < t.b)) AS there
+  SELECT r.table_name, r.row_id, any_value(r.came) AS came, count(t.k) AS n, count(*) FILTER (WHERE t.a <= r.came) AS loaded, count(*) FILTER (WHERE t.a <= r.came AND (t.b IS NULL OR r.came < t.b)) AS there
   FROM refs r LEFT JOIN targets t ON r.table_name = t.table_name AND r.k = t.k WHERE r.k IS NOT NULL GROUP BY 1, 2),
 found AS (
   SELECT table_name, row_id, came, CASE WHEN n = 0 THEN 'missing' WHEN loaded > 0 THEN 'deleted' ELSE 'late' END AS kind FROM met WHERE there = 0)
