@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.llm.canonical import map_to_list, unmatched_report
+from trellis.llm.copies import TripleRecord, collapse, copy_pairs
 from trellis.session import table
 
 
@@ -29,5 +30,34 @@ def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return unmatched_report(_mapped(spark, d))
 
 
-QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched}
-ORACLE: dict[str, str] = {}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return copy_pairs(TripleRecord().records(table(spark, d, "step_03")))
+
+
+def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
+    return collapse(TripleRecord().records(table(spark, d, "step_03")))
+
+
+QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p5_found": p5_found, "p5_collapsed": p5_collapsed}
+_BARE = "lower(regexp_replace(nfc_normalize({c}), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}{keep}]+', '', 'g'))"
+#: RE2 has no look-around: a point between two digits first becomes a sign that nothing else uses; twice, for 1.2.3.
+_POINT = "regexp_replace(regexp_replace({c}, '(\\p{{Nd}})\\.(\\p{{Nd}})', '\\1\u2400\\2', 'g'), '(\\p{{Nd}})\\.(\\p{{Nd}})', '\\1\u2400\\2', 'g')"
+
+
+def _bare_sql(c: str, keep: str = "") -> str:
+    return _BARE.format(c=_POINT.format(c=c), keep="\u2400" + keep)
+
+
+def _members_sql(c: str) -> str:
+    return f"array_to_string(list_sort(list_filter(regexp_split_to_array({_bare_sql(c, ',;')}, '[,;]'), x -> x <> '')), ',')"
+
+
+_P5 = f"""
+WITH a AS (SELECT id, {_members_sql("s")} AS s, {_bare_sql("p")} AS p, {_members_sql("o")} AS o FROM step_03 WHERE s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL),
+b AS (SELECT id, p, CASE WHEN p IN ('associatedwith', 'interactswith', 'binding') AND s > o THEN o ELSE s END AS s, CASE WHEN p IN ('associatedwith', 'interactswith', 'binding') AND s > o THEN s ELSE o END AS o FROM a)
+"""
+
+ORACLE = {
+    "p5_found": _P5 + "SELECT keep_id, id AS copy_id FROM (SELECT id, min(id) OVER (PARTITION BY s, p, o) AS keep_id FROM b) WHERE id <> keep_id",
+    "p5_collapsed": _P5 + "SELECT min(id) AS keep_id, count(*) AS copies FROM b GROUP BY s, p, o",
+}
