@@ -49,7 +49,7 @@ def _bare_sql(c: str, keep: str = "") -> str:
 
 
 def _members_sql(c: str) -> str:
-    return f"array_to_string(list_sort(list_filter(regexp_split_to_array({_bare_sql(c, ',;')}, '[,;]'), x -> x <> '')), ',')"
+    return f"array_to_string(list_sort(list_filter(regexp_split_to_array({_bare_sql(c, ',;')}, '[,;]'), lambda x: x <> '')), ',')"
 
 
 _P5 = f"""
