@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trellis.llm.canonical import map_to_list, unmatched_report
 from trellis.llm.copies import TripleRecord, collapse, copy_pairs
+from trellis.llm.lookalike import look_classes, normalised, same_looking
 from trellis.session import table
 
 
@@ -38,7 +39,20 @@ def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return collapse(TripleRecord().records(table(spark, d, "step_03")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p5_found": p5_found, "p5_collapsed": p5_collapsed}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_looking(table(spark, d, "documents"), "doc_id", "text").withColumnsRenamed({"a": "doc_id_a", "b": "doc_id_b"})
+
+
+def p8_normalised(spark: SparkSession, d: str) -> DataFrame:
+    """Every text in its one form, case kept."""
+    return normalised(table(spark, d, "documents").select("doc_id", "text"), "text", fold=False)
+
+
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    return look_classes(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p8_found": p8_found, "p8_normalised": p8_normalised, "p8_classes": p8_classes}
 _BARE = "lower(regexp_replace(nfc_normalize({c}), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}{keep}]+', '', 'g'))"
 #: RE2 has no look-around: a point between two digits first becomes a sign that nothing else uses; twice, for 1.2.3.
 _POINT = "regexp_replace(regexp_replace({c}, '(\\p{{Nd}})\\.(\\p{{Nd}})', '\\1\u2400\\2', 'g'), '(\\p{{Nd}})\\.(\\p{{Nd}})', '\\1\u2400\\2', 'g')"
