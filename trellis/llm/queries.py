@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from trellis.llm.canonical import map_to_list, unmatched_report
 from trellis.llm.copies import TripleRecord, collapse, copy_pairs
 from trellis.llm.lookalike import look_classes, normalised, same_looking
-from trellis.session import table
+from trellis.llm.mixing import mix, mix_report
+from trellis.llm.packing import pack, packing_report
+from trellis.llm.tokens import sized
+from trellis.session import cut, table
 
 
 def _typed_values(spark: SparkSession, d: str) -> DataFrame:
@@ -39,6 +42,31 @@ def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return collapse(TripleRecord().records(table(spark, d, "step_03")))
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    return cut(sized(docs, "text").withColumnsRenamed({"__tokens": "tokens", "__same": "same"}))
+
+
+def _specs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "container_spec").select("spec_id", F.col("capacity_tokens").alias("capacity"))
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    return pack(_sizes(spark, d).select("id", "tokens"), _specs(spark, d))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing_report(p6_packed(spark, d), _specs(spark, d))
+
+
+def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
+    return mix(_sizes(spark, d), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix_report(p7_mixed(spark, d), table(spark, d, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return same_looking(table(spark, d, "documents"), "doc_id", "text").withColumnsRenamed({"a": "doc_id_a", "b": "doc_id_b"})
 
@@ -52,7 +80,7 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     return look_classes(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p8_found": p8_found, "p8_normalised": p8_normalised, "p8_classes": p8_classes}
+QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p6_packed": p6_packed, "p6_report": p6_report, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found, "p8_normalised": p8_normalised, "p8_classes": p8_classes}
 _BARE = "lower(regexp_replace(nfc_normalize({c}), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}{keep}]+', '', 'g'))"
 #: RE2 has no look-around: a point between two digits first becomes a sign that nothing else uses; twice, for 1.2.3.
 _POINT = "regexp_replace(regexp_replace({c}, '(\\p{{Nd}})\\.(\\p{{Nd}})', '\\1\u2400\\2', 'g'), '(\\p{{Nd}})\\.(\\p{{Nd}})', '\\1\u2400\\2', 'g')"
