@@ -139,18 +139,15 @@ def key_profile(
     picked = [F.struct(F.lit(k).alias("side"), F.col(f"`{k}`").cast("string").alias("key"), (F.col(f"`{p}`").cast("string") if p else F.lit(None).cast("string")).alias("partner")) for k, p in sides]
     v = (F.col(f"`{value}`").cast("double") if value else F.lit(None).cast("double")).alias("v")
     base = df.select(F.explode(F.array(*picked)).alias("x"), v).select("x.side", "x.key", "x.partner", "v").where("key IS NOT NULL")
-    hist = key_histogram(base, ["side", "key"], "v")
     if min_share > 0:
         least = df.count() * min_share
-        totals = hist.groupBy("k0", "k1").agg(F.sum("rows").alias("held")).where(F.col("held") >= least)
-        hist = cut(hist.join(totals.drop("held"), ["k0", "k1"], "left_semi"))  # at most 1/min_share keys a side
-    else:
-        hist = cut(hist)
+        counts = base.groupBy("side", "key").agg(F.count(F.lit(1)).alias("held"))
+        hot = cut(counts.where(F.col("held") >= least).select("side", "key"))  # at most 1/min_share keys a side
+        base = base.join(F.broadcast(hot), ["side", "key"], "left_semi")
+    hist = cut(key_histogram(base, ["side", "key"], "v"))
     out = hist.groupBy("k0", "k1").agg(F.sum("rows").alias("n_rows"), F.sum("n").alias("n_values"), F.sum("total").alias("value_sum"))
     if any(p for _, p in sides):
         part = base.where("partner IS NOT NULL")
-        if min_share > 0:
-            part = part.join(F.broadcast(hist.select(F.col("k0").alias("side"), F.col("k1").alias("key")).distinct()), ["side", "key"], "left_semi")
         pairs = part.select(F.col("side").alias("k0"), F.col("key").alias("k1"), "partner").distinct()  # spread over both columns, so no key is hot
         out = out.join(pairs.groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("partners")), ["k0", "k1"], "left")
     else:
