@@ -44,9 +44,8 @@ def bare(c: Column, keep: str = "") -> Column:
 
 def members(c: Column) -> Column:
     """bare text whose parts between commas and semicolons are in order; empty parts do not count, repeated ones do."""
-    x = bare(c, ",;")
-    parts = F.array_sort(F.filter(F.split(x, "[,;]"), lambda y: y != ""))
-    return F.when(F.contains(x, F.lit(",")) | F.contains(x, F.lit(";")), F.array_join(parts, ",")).otherwise(x)
+    parts = F.array_sort(F.filter(F.split(bare(c, ",;"), "[,;]"), lambda y: y != ""))
+    return F.when(F.contains(c, F.lit(",")) | F.contains(c, F.lit(";")), F.array_join(parts, ",")).otherwise(bare(c))
 
 
 #: Relations whose two ends may be exchanged, as bare text. Fixed values.
