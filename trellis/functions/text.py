@@ -81,7 +81,7 @@ def pretty_name(kind: Column, name: Column) -> Column:
 
 def json_list(c: Column) -> Column:
     """A JSON list's trimmed non-blank texts; anything else is the empty list."""
-    items = F.transform(F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>")), lambda x: F.trim(x))
+    items = F.transform(F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>")), trimmed)
     return F.filter(items, lambda x: x.isNotNull() & (x != ""))
 
 

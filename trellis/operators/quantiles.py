@@ -68,8 +68,10 @@ def _choose(hist: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def select_ranks(df: DataFrame, keys: Sequence[str], value: str, hist: DataFrame, probs: Sequence[float], heavy_rows: int = 1_000_000) -> DataFrame:
-    """Exact quantiles of value per key: columns k0.., prob, q.
+def select_ranks(df: DataFrame, keys: Sequence[str], value: str, hist: DataFrame, probs: Sequence[float], heavy_rows: int = 1_000_000, both: bool = False) -> DataFrame:
+    """Exact quantiles of value per key: columns k0.., prob, q (with both: also part).
+
+    With both, the two order statistics around place (n-1)p are selected instead, as part 0 and 1.
 
     The quantile of p over n non-null values is the ceil(p*n)-th smallest (at least the first), so it is
     always a value that occurs; ties need no rule. Keys without a non-null value give no row. hist is the
@@ -81,14 +83,18 @@ def select_ranks(df: DataFrame, keys: Sequence[str], value: str, hist: DataFrame
     joins by a shuffle in which no key is large.
     """
     kn = [f"k{i}" for i in range(len(keys))]
-    by = [*kn, "prob"]
+    by = [*kn, "prob", *(["part"] if both else [])]
     per_key = hist.where(F.col("bucket").isNotNull())
     totals = Window.partitionBy(*kn)
     ranked = (
         per_key.withColumn("all", F.sum("n").over(totals))
         .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumn("rank", F.greatest(F.lit(1), F.ceil(F.round(F.col("prob") * F.col("all"), 6))).cast("bigint"))
     )
+    if both:
+        below = F.floor(F.round(F.col("prob") * (F.col("all") - 1), 9)).cast("bigint")
+        ranked = ranked.withColumn("part", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("rank", F.least(below + 1 + F.col("part"), F.col("all")))
+    else:
+        ranked = ranked.withColumn("rank", F.greatest(F.lit(1), F.ceil(F.round(F.col("prob") * F.col("all"), 6))).cast("bigint"))
     heavy = None
     state = cut(_choose(ranked, by))
     done: list[DataFrame] = []
@@ -160,6 +166,18 @@ def key_profile(
     return out.withColumn("partners", F.coalesce("partners", F.lit(0).cast("bigint"))).withColumnsRenamed({"k0": "side", "k1": "key_value"})
 
 
+def linear_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Quantiles interpolated linearly between the two values around place (n-1)p: the keys, prob, n, q."""
+    hist = cut(key_histogram(df, keys, value))
+    kn = [f"k{i}" for i in range(len(keys))]
+    n = hist.groupBy(*kn).agg(F.sum("n").alias("n"))
+    q = select_ranks(df, keys, value, hist, probs, both=True).withColumnsRenamed({f"k{i}": f"r{i}" for i in range(len(keys))})
+    q = q.groupBy(*[f"r{i}" for i in range(len(keys))], "prob").agg(F.max(F.when(F.col("part") == 0, F.col("q"))).alias("a"), F.max(F.when(F.col("part") == 1, F.col("q"))).alias("b"))
+    on = reduce(lambda a, b: a & b, [F.col(f"k{i}").eqNullSafe(F.col(f"r{i}")) for i in range(len(keys))], F.lit(True))
+    place = F.round(F.col("prob") * (F.col("n") - 1), 9)
+    return n.join(q, on).select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "prob", "n", (F.col("a") + (F.col("b") - F.col("a")) * (place - F.floor(place))).alias("q"))
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Columns: the keys under their own names, prob, n (non-null values of the key), q. See select_ranks."""
     hist = cut(key_histogram(df, keys, value))
