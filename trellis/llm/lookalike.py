@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trellis.session import cut
+
 #: Letters of other scripts that have the shape of a Latin letter, and that letter. Fixed values.
 LOOKALIKES = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Һ": "h", "Ԁ": "d", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "Ӏ": "I",
@@ -131,7 +133,7 @@ def same_looking(df: DataFrame, id_col: str, column: str) -> DataFrame:
     different texts leave the first aggregation, whose state is two digests a class however many rows it has; a class that holds
     a third of all rows is split by Spark's skew join, its pairs being the result asked for.
     """
-    x = fingerprints(df, id_col, column)
+    x = cut(fingerprints(df, id_col, column))  # 56 bytes a row, so that texts are read once
     mixed = x.groupBy("look", "exact").agg(F.min("text").alias("t0"), F.max("text").alias("t1")).where("t0 <> t1").select("look", "exact")
     y = x.join(mixed, ["look", "exact"], "left_semi")
     a, b = (y.select(F.col("look").alias(f"l{i}"), F.col("exact").alias(f"e{i}"), F.col("text").alias(f"t{i}"), F.col("id").alias(i)) for i in "ab")
@@ -140,7 +142,7 @@ def same_looking(df: DataFrame, id_col: str, column: str) -> DataFrame:
 
 def look_classes(df: DataFrame, id_col: str, column: str) -> DataFrame:
     """One row per id with a text: id, class_id (the smallest id of those that look the same) and variants (different texts in the class)."""
-    x = fingerprints(df, id_col, column)
+    x = cut(fingerprints(df, id_col, column))
     sizes = x.groupBy("look", "exact", "text").agg(F.min("id").alias("id")).groupBy("look", "exact").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("variants"))
     return x.join(sizes, ["look", "exact"]).select("id", "class_id", "variants")
 
