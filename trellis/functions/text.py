@@ -64,10 +64,15 @@ def words(c: Column) -> Column:
 
 def ngrams(w: Column, lo: int, hi: int) -> Column:
     """All n-grams of the word array w for n in lo..hi, joined by blanks."""
-    def of(n: int) -> Column:
-        at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.flatten(F.array(*[of(n) for n in range(lo, hi + 1)]))
+
+    def of(x: Column, n: int) -> Column:
+        if n == 1:
+            return x
+        at = F.when(F.size(x) >= n, F.sequence(F.lit(1), F.size(x) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.array_join(F.slice(x, i, n), " "))
+
+    # the array is bound once as a lambda's variable; else every n-gram would split the text again
+    return F.flatten(F.flatten(F.transform(F.array(w), lambda x: F.array(*[of(x, n) for n in range(lo, hi + 1)]))))
 
 
 def verbalise(s: Column, p: Column, o: Column) -> Column:
