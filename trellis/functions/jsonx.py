@@ -26,9 +26,10 @@ def rescue_array(text: str | None) -> list:
     except ValueError:
         pass
     at = t.find("[")
-    if at < 0:
+    if at < 0 or 0 <= t.find("{") < at:
         obj = first_object(t)
-        return [obj] if obj is not None else []
+        if isinstance(obj, dict) or at < 0:
+            return [obj] if obj is not None else []
     reader, out, i = json.JSONDecoder(), [], at + 1
     while i < len(t):
         while i < len(t) and t[i] in " \t\r\n,":
