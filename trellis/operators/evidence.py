@@ -73,8 +73,10 @@ def evidence(concepts: DataFrame, docs: DataFrame, id_col: str, text_col: str, c
     concepts have, at most max_words), those that are concepts are kept where they arise, and the rest is an equality join.
     """
     c = concepts.select("concept", F.array_join(words(F.col("concept")), " ").alias("gram")).where("gram <> ''").distinct()
-    grams = docs.select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(ngrams(words(F.col(text_col)), 1, max_words))).alias("gram"))
-    small = c.count() <= BROADCAST_ROWS
+    size = c.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.split("gram", " "))).alias("longest")).first()
+    longest = min(max_words, size["longest"] or 1)
+    grams = docs.select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(ngrams(words(F.col(text_col)), 1, longest))).alias("gram"))
+    small = size["n"] <= BROADCAST_ROWS
     met = grams.join(F.broadcast(c) if small else c, "gram").select("concept", "doc")
     if cap is None:
         return met.withColumn("rank", F.row_number().over(Window.partitionBy("concept").orderBy("doc")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trellis.functions.text import lookup, norm_predicate, slug, trimmed
 from trellis.operators.ranking import global_index
-from trellis.plans import rules as R
+from trellis.operators import rules as R
 
 
 def keyword_type(text: Column) -> Column:
