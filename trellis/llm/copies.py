@@ -54,7 +54,12 @@ SYMMETRIC = ("associatedwith", "interactswith", "binding")
 
 @dataclass(frozen=True)
 class TripleRecord:
-    """What makes two triples the same record; symmetric relations take their ends in either order."""
+    """What makes two triples the same record; symmetric relations take their ends in either order.
+
+    Rows with a null id, s, p or o are left out. Texts without any letter or digit are the empty text and equal each
+    other. Parts of s and o that are empty do not count, repeated parts do. Ids should be unique. Columns besides
+    the four named ones, of whatever name, do not matter; texts of any length are read whole.
+    """
 
     id_col: str = "id"
     s: str = "s"
