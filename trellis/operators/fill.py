@@ -136,7 +136,7 @@ def fill_missing(df: DataFrame, spec: FillSpec) -> DataFrame:
     be unique; rows that repeat one are filled each on their own keys and give one row together. Empty tables
     give no rows; very long texts are keys like any other; columns besides the named ones do not matter.
     """
-    x = prepared(df, spec)
+    x = cut(prepared(df, spec))  # read by every step; cleaning is the costly part
     report, dictionary = mine_dependencies(x, spec)
     gaps = x.where(reduce(lambda a, b: a | b, [F.col(f"f_{f}").isNull() for f in spec.fields]))
     pairs = [(i, name, cols) for i, (name, cols) in enumerate((f, d) for f in spec.fields for d in spec.determinants if f not in d)]
