@@ -65,7 +65,7 @@ def _key(cols: Sequence[str]) -> Column:
         return F.lit("*")
     parts = [F.col(f"g_{c}") for c in cols]
     whole = reduce(lambda a, b: a & b, [p.isNotNull() for p in parts])
-    return F.when(whole, parts[0] if len(parts) == 1 else F.to_json(F.array(*parts)))
+    return F.when(whole, parts[0] if len(parts) == 1 else F.concat(*[y for p in parts for y in (F.char_length(p).cast("string"), F.lit(":"), p)]))
 
 
 def prepared(df: DataFrame, spec: FillSpec) -> DataFrame:
@@ -89,34 +89,35 @@ def _long(x: DataFrame, spec: FillSpec, pairs: Sequence[tuple[int, str, tuple[st
     for rank, name, cols in pairs:
         have = F.col(f"f_{name}").isNotNull()
         rows.append(F.when((~have if missing else have) & _key(cols).isNotNull(), F.struct(F.lit(rank).alias("rank"), F.lit(name).alias("field"), _key(cols).alias("key"), F.col(f"f_{name}").cast("string").alias("value"))))
-    return x.select("row_id", F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r")).select("row_id", "r.*")
+    return x.select("row_id", F.explode(F.array(*rows)).alias("r")).where("r IS NOT NULL").select("row_id", "r.*")  # stays in generated code
 
 
 def mine_dependencies(x: DataFrame, spec: FillSpec) -> tuple[DataFrame, DataFrame]:
     """Functional dependencies determinant -> field, verified over all complete records.
 
     Returns the report (field, determinant, keys, repeated_keys, confidence, verified) and the dictionary
-    (rank, field, key, value, seen). Confidence is the share of rows under keys that occur at least twice
+    (rank, key, value, seen; the rank stands for field and determinant). Confidence is the share of rows under keys that occur at least twice
     which agree with their key's most frequent value; a dependency is verified at min_confidence over at
     least min_keys such keys. The dictionary holds only keys with a single value, or whose most frequent value
     holds min_confidence of the key's rows (ties break to the smaller value). Counting combines map-side, so a
     determinant value that holds a third of all rows is one row a task.
     """
     pairs = [(i, name, cols) for i, (name, cols) in enumerate((f, d) for f in spec.fields for d in spec.determinants if f not in d)]
-    counts = _long(x, spec, pairs, missing=False).groupBy("rank", "field", "key", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = _long(x, spec, pairs, missing=False).groupBy("rank", "key", "value").agg(F.count(F.lit(1)).alias("n"))
     per_key = cut(
-        counts.groupBy("rank", "field", "key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.min_by("value", F.struct((-F.col("n")).alias("a"), F.col("value").alias("b"))).alias("value"))
+        counts.groupBy("rank", "key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.min_by("value", F.struct((-F.col("n")).alias("a"), F.col("value").alias("b"))).alias("value"))
     )
     names = F.create_map(*[y for i, _, cols in pairs for y in (F.lit(i), F.lit("+".join(cols)))])
-    report = per_key.groupBy("rank", "field").agg(
+    fields = F.create_map(*[y for i, name, _ in pairs for y in (F.lit(i), F.lit(name))])
+    report = per_key.groupBy("rank").agg(
         F.count(F.lit(1)).alias("keys"),
         F.count_if(F.col("n") > 1).alias("repeated_keys"),
         (F.sum(F.when(F.col("n") > 1, F.col("most"))) / F.sum(F.when(F.col("n") > 1, F.col("n")))).alias("confidence"),
     )
-    report = report.withColumn("determinant", names[F.col("rank")]).withColumn("verified", F.coalesce((F.col("confidence") >= spec.min_confidence) & (F.col("repeated_keys") >= spec.min_keys), F.lit(False)))
+    report = report.withColumn("field", fields[F.col("rank")]).withColumn("determinant", names[F.col("rank")]).withColumn("verified", F.coalesce((F.col("confidence") >= spec.min_confidence) & (F.col("repeated_keys") >= spec.min_keys), F.lit(False)))
     report = cut(report)
     ok = [r["rank"] for r in report.where("verified").select("rank").collect()]  # one row per candidate dependency
-    dictionary = per_key.where(F.col("rank").isin(ok) & (F.col("most") >= F.col("n") * spec.min_confidence)).select("rank", "field", "key", "value", F.col("n").alias("seen"))
+    dictionary = per_key.where(F.col("rank").isin(ok) & (F.col("most") >= F.col("n") * spec.min_confidence)).select("rank", "key", "value", F.col("n").alias("seen"))
     return report, dictionary
 
 
@@ -142,7 +143,7 @@ def fill_missing(df: DataFrame, spec: FillSpec) -> DataFrame:
     pairs = [(i, name, cols) for i, (name, cols) in enumerate((f, d) for f in spec.fields for d in spec.determinants if f not in d)]
     best = report.where("verified").select("rank", "determinant", "confidence")
     asked = _long(gaps, spec, pairs, missing=True).select("row_id", "rank", "field", "key")
-    by_fd = _join_bounded(asked, dictionary, ["rank", "field", "key"]).join(F.broadcast(best), "rank")
+    by_fd = _join_bounded(asked, dictionary, ["rank", "key"]).join(F.broadcast(best), "rank")
     by_fd = by_fd.select("row_id", "field", F.lit(0).alias("level"), (-F.col("confidence")).alias("o"), F.lit("dependency").alias("source"), F.concat(F.col("determinant"), F.lit(" n="), F.col("seen")).alias("basis"), "value")
 
     levels = [(i, name, cols) for i, (name, cols) in enumerate((f, g) for f, gs in spec.groups.items() for g in gs)]
