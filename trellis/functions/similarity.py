@@ -72,6 +72,11 @@ def _pairwise(f):
 ratio_udf, token_sort_ratio_udf, partial_ratio_udf = _pairwise(ratio), _pairwise(token_sort_ratio), _pairwise(partial_ratio)
 
 
+@F.pandas_udf(T.StringType())
+def token_sort_udf(s: pd.Series) -> pd.Series:
+    return s.map(token_sort, na_action="ignore")
+
+
 def ratio_bound(a: Column, b: Column) -> Column:
     """The most that ratio can be, from the lengths: lossless as a filter before the similarity itself."""
     return 200.0 * F.least(F.length(a), F.length(b)) / F.greatest(F.lit(1), F.length(a) + F.length(b))

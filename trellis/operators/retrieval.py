@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.functions.similarity import ratio_bound, token_sort_ratio_udf
+from trellis.functions.similarity import ratio_bound, ratio_udf, token_sort_udf
 from trellis.operators.ranking import top_per_key
+from trellis.session import BROADCAST_ROWS
 
 #: Queries that one pass over the corpus answers.
 BLOCK_QUERIES = 20_000
@@ -54,14 +55,16 @@ def top_cosine(queries: DataFrame, corpus: DataFrame, k: int, block: int = BLOCK
 def fuzzy_top(mentions: DataFrame, entities: DataFrame, k: int = 5, least: float = 60.0) -> DataFrame:
     """The k entities most like each mention by token-sort ratio of at least least: mention, entity, score, rank.
 
-    Mentions are made distinct; entities must share a word's first three letters with the mention and pass the length bound before the similarity itself is worked out.
+    Both sides are made distinct and token-sorted once. Every mention meets every entity; the only filter is the length bound
+    of the sorted texts, which no pair of at least least fails. Entities are broadcast up to BROADCAST_ROWS, beyond that there is a cartesian product.
     """
-    def keys(c: str) -> Column:
-        return F.array_distinct(F.transform(F.filter(F.split(F.lower(F.trim(c)), r"[^\p{L}\p{Nd}]+"), lambda w: w != ""), lambda w: F.substring(w, 1, 3)))
-    m = mentions.select("mention").where("mention IS NOT NULL").distinct().select("mention", F.explode(keys("mention")).alias("key"))
-    e = entities.select("entity").where("entity IS NOT NULL").distinct().select("entity", F.explode(keys("entity")).alias("key"))
-    x = m.join(e, "key").where(ratio_bound(F.col("mention"), F.col("entity")) >= least).select("mention", "entity").distinct()
-    x = x.withColumn("score", F.round(token_sort_ratio_udf("mention", "entity"), 6)).where(F.col("score") >= least)
+    m = mentions.select("mention").where("mention IS NOT NULL").distinct().withColumn("sorted_m", token_sort_udf("mention"))
+    e = entities.select("entity").where("entity IS NOT NULL").distinct()
+    small = e.count() <= BROADCAST_ROWS
+    e = e.withColumn("sorted_e", token_sort_udf("entity"))
+    a, b = F.col("sorted_m"), F.col("sorted_e")
+    x = m.join(F.broadcast(e) if small else e, (a == b) | (F.round(ratio_bound(a, b), 6) >= least))
+    x = x.withColumn("score", F.round(ratio_udf(a, b), 6)).where(F.col("score") >= least).select("mention", "entity", "score")
     return top_per_key(x, ["mention"], [F.desc("score"), "entity"], k)
 
 
