@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,20 @@ from trellis.functions.text import ngrams, words
 from trellis.operators.ranking import global_index, top_per_key
 from trellis.session import BROADCAST_ROWS
 
+#: The English stop words of the reference's vectorizer (scikit-learn's list). Fixed values.
+STOP_WORDS = frozenset(
+    (
+        "a about above across after afterwards again against all almost alone along already also although always am among amongst amoungst amount an and another any anyhow anyone anything anyway anywhere are around as at "
+        "back be became because become becomes becoming been before beforehand behind being below beside besides between beyond bill both bottom but by call can cannot cant co con could couldnt cry "
+        "de describe detail do done down due during each eg eight either eleven else elsewhere empty enough etc even ever every everyone everything everywhere except few fifteen fifty fill find fire first five for former formerly forty found four from front full further "
+        "get give go had has hasnt have he hence her here hereafter hereby herein hereupon hers herself him himself his how however hundred i ie if in inc indeed interest into is it its itself keep "
+        "last latter latterly least less ltd made many may me meanwhile might mill mine more moreover most mostly move much must my myself name namely neither never nevertheless next nine no nobody none noone nor not nothing now nowhere "
+        "of off often on once one only onto or other others otherwise our ours ourselves out over own part per perhaps please put rather re same see seem seemed seeming seems serious several she should show side since sincere six sixty so some somehow someone something sometime sometimes somewhere still such system "
+        "take ten than that the their them themselves then thence there thereafter thereby therefore therein thereupon these they thick thin third this those though three through throughout thru thus to together too top toward towards twelve twenty two "
+        "un under until up upon us very via was we well were what whatever when whence whenever where whereafter whereas whereby wherein whereupon wherever whether which while whither who whoever whole whom whose why will with within without would yet you your yours yourself yourselves "
+    ).split()
+)
+
 
 def document_lines(lines: DataFrame, with_title: bool = False) -> DataFrame:
     """Lines origin|||title|||abstract or origin|||abstract (column value) to origin, title, abstract; blank and other lines skipped. with_title puts the title before the abstract."""
@@ -27,13 +41,23 @@ def domain_filter(text: Column, keywords: Sequence[str]) -> Column:
     return F.lower(text).rlike("|".join(k.lower() for k in keywords))
 
 
-def term_counts(docs: DataFrame, id_col: str, class_col: str, text_col: str, lo: int = 1, hi: int = 1) -> DataFrame:
-    """How often each n-gram occurs in each class: class, term, n."""
-    return docs.select(F.col(class_col).alias("class"), F.explode(ngrams(words(F.col(text_col)), lo, hi)).alias("term")).where("class IS NOT NULL").groupBy("class", "term").agg(F.count(F.lit(1)).alias("n"))
+def term_counts(docs: DataFrame, id_col: str, class_col: str, text_col: str, lo: int = 1, hi: int = 1, stop: Collection[str] = (), min_docs: int = 1) -> DataFrame:
+    """How often each n-gram occurs in each class: class, term, n. Words of stop are dropped first, n-grams of fewer than min_docs documents (rows of docs with a class) last."""
+    w = words(F.col(text_col))
+    if stop:
+        w = F.filter(w, lambda x: ~x.isin(*sorted(stop)))
+    grams = ngrams(w, lo, hi)
+    x = docs.where(F.col(class_col).isNotNull())
+    if min_docs <= 1:
+        return x.select(F.col(class_col).alias("class"), F.explode(grams).alias("term")).groupBy("class", "term").agg(F.count(F.lit(1)).alias("n"))
+    # sorted, a document's first of equal n-grams counts the document; the array is bound once as a lambda's variable
+    first = F.flatten(F.transform(F.array(F.sort_array(grams)), lambda g: F.transform(g, lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.get(g, i - 1) != t)).cast("int").alias("first")))))
+    x = x.select(F.col(class_col).alias("class"), F.explode(first).alias("x")).groupBy("class", "x.term").agg(F.count(F.lit(1)).alias("n"), F.sum("x.first").alias("docs"))
+    return x.withColumn("docs", F.sum("docs").over(Window.partitionBy("term"))).where(F.col("docs") >= min_docs).select("class", "term", "n")
 
 
-def ctfidf(counts: DataFrame, k: int, reduce_frequent: bool = False) -> DataFrame:
-    """Class-based tf-idf, the k best terms of each class: class, term, weight, rank.
+def class_weights(counts: DataFrame, reduce_frequent: bool = False) -> DataFrame:
+    """Class-based tf-idf of every term of every class: class, term, weight.
 
     tf is L1-normalised per class (its root with reduce_frequent); idf is ln(1 + A/f) with A the whole-numbered mean of words per class and f the term's total.
     Totals per class are few and broadcast; totals per term join by a shuffle that is already keyed by term.
@@ -44,11 +68,16 @@ def ctfidf(counts: DataFrame, k: int, reduce_frequent: bool = False) -> DataFram
     x = counts.join(per_term, "term").join(F.broadcast(per_class), "class").withColumn("k", F.lit(1)).join(F.broadcast(mean), "k")
     tf = F.col("n") / F.col("words")
     x = x.withColumn("weight", F.round((F.sqrt(tf) if reduce_frequent else tf) * F.ln(1 + F.col("a") / F.col("f")), 9))
-    return top_per_key(x.select("class", "term", "weight"), ["class"], [F.desc("weight"), "term"], k)
+    return x.select("class", "term", "weight")
+
+
+def ctfidf(counts: DataFrame, k: int, reduce_frequent: bool = False) -> DataFrame:
+    """The k best terms of each class by class_weights: class, term, weight, rank."""
+    return top_per_key(class_weights(counts, reduce_frequent), ["class"], [F.desc("weight"), "term"], k)
 
 
 def boosted(weights: DataFrame, ontology: DataFrame, boost: float = 0.5, k: int = 10) -> DataFrame:
-    """Weights with boost added for terms of the ontology, ranked anew."""
+    """Weights (class, term, weight; of all terms, as a term that is cut before cannot be lifted) with boost added for terms of the ontology, the k best of each class."""
     known = ontology.select(F.lower(F.trim("term")).alias("term")).distinct().withColumn("known", F.lit(1))
     x = weights.drop("rank").join(known, "term", "left").withColumn("weight", F.round(F.col("weight") + F.coalesce("known", F.lit(0)) * boost, 9)).drop("known")
     return top_per_key(x, ["class"], [F.desc("weight"), "term"], k)

@@ -9,7 +9,7 @@ from trellis.functions import jsonx as J
 from trellis.functions.text import clean_text, count_label, words
 from trellis.operators import evidence as E
 from trellis.operators import retrieval as R
-from trellis.session import table
+from trellis.session import cut, table
 
 CONCEPTS = ("tumor", "weight loss", "overall survival", "side effects", "blood sample", "daily", "no difference between", "marker of")
 KEYWORDS = ("cardiac", "heart", "artery", "vein")
@@ -27,6 +27,11 @@ def terms(s: SparkSession, d: str) -> DataFrame:
     return E.term_counts(docs(s, d), "doc_id", "source", "text")
 
 
+def topic_terms(s: SparkSession, d: str) -> DataFrame:
+    """1-3-grams without stop words that at least two documents hold."""
+    return cut(E.term_counts(docs(s, d), "doc_id", "source", "text", 1, 3, E.STOP_WORDS, 2))
+
+
 def vectors(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
@@ -68,7 +73,7 @@ QUERIES = {
     "docs_source_stats": lambda s, d: docs(s, d).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest")),
     "docs_term_counts": lambda s, d: terms(s, d).where("n >= 20"),
     "docs_ctfidf_topk": lambda s, d: E.ctfidf(terms(s, d), 10).select("class", "term", F.round("weight", 6).alias("weight")),
-    "docs_ctfidf_boosted": lambda s, d: E.boosted(E.ctfidf(terms(s, d), 50), table(s, d, "canonical_terms").select("term"), 0.5, 5).select("class", "term", F.round("weight", 6).alias("weight")),
+    "docs_ctfidf_boosted": lambda s, d: E.boosted(E.class_weights(topic_terms(s, d)), table(s, d, "canonical_terms").select("term"), 0.5, 5).select("class", "term", F.round("weight", 6).alias("weight")),
     "concept_frequent": lambda s, d: E.frequent_concepts(docs(s, d), "text", 100, 1, 2),
     "concept_ids": lambda s, d: E.concept_ids(table(s, d, "step_03").where("s IS NOT NULL").select(F.col("s").alias("concept"))),
     "concept_evidence_top3": lambda s, d: E.evidence(concepts(s, d), docs(s, d), "doc_id", "text", 3),
