@@ -52,3 +52,13 @@ def test_boost_reaches_every_term_of_a_class(spark, tmp_path):
     assert top == {(c, t) for c in ("c0", "c1") for t in ("upper lobe lung", "skin")}
     assert {x[:2] for x in got if x[2] > 0.5} == {x[:2] for x in want if x[2] > 0.5} and len(got) == 10
     assert sorted(round(x[2], 5) for x in got) == sorted(round(x[2], 5) for x in want)
+
+
+def test_frequent_concepts_count_trigrams(spark, tmp_path):
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice(["resected", "margins", "were", "free", "of", "record", "this"]) for _ in range(rnd.randrange(30))) for _ in range(40)] + [None]
+    save(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
+    n = Counter(g for t in texts if t for g in grams([w for w in plain_words(t) if len(w) >= 4], 1, 3))
+    want = sorted(((g, k) for g, k in n.items() if k >= 2), key=lambda x: (-x[1], x[0]))[:100]
+    assert any(len(g.split()) == 3 for g, _ in want)
+    assert sorted(tuple(r) for r in QUERIES["concept_frequent"](spark, str(tmp_path)).collect()) == sorted(want)

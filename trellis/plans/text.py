@@ -74,7 +74,7 @@ QUERIES = {
     "docs_term_counts": lambda s, d: terms(s, d).where("n >= 20"),
     "docs_ctfidf_topk": lambda s, d: E.ctfidf(terms(s, d), 10).select("class", "term", F.round("weight", 6).alias("weight")),
     "docs_ctfidf_boosted": lambda s, d: E.boosted(E.class_weights(topic_terms(s, d)), table(s, d, "canonical_terms").select("term"), 0.5, 5).select("class", "term", F.round("weight", 6).alias("weight")),
-    "concept_frequent": lambda s, d: E.frequent_concepts(docs(s, d), "text", 100, 1, 2),
+    "concept_frequent": lambda s, d: E.frequent_concepts(docs(s, d), "text", 100, 1, 3),
     "concept_ids": lambda s, d: E.concept_ids(table(s, d, "step_03").where("s IS NOT NULL").select(F.col("s").alias("concept"))),
     "concept_evidence_top3": lambda s, d: E.evidence(concepts(s, d), docs(s, d), "doc_id", "text", 3),
     "concept_evidence_all": lambda s, d: E.evidence(concepts(s, d), docs(s, d), "doc_id", "text", None).groupBy("concept").agg(F.count(F.lit(1)).alias("docs")),
