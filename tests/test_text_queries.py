@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -62,3 +63,10 @@ def test_frequent_concepts_count_trigrams(spark, tmp_path):
     want = sorted(((g, k) for g, k in n.items() if k >= 2), key=lambda x: (-x[1], x[0]))[:100]
     assert any(len(g.split()) == 3 for g, _ in want)
     assert sorted(tuple(r) for r in QUERIES["concept_frequent"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_documents_of_every_language_are_cleaned(spark, tmp_path):
+    rows = [(1, "en", "Aspirin 40 mg!"), (2, "de", "Stra\u00dfe und Fieber"), (3, None, "no language"), (4, "en", None)]
+    save(spark, tmp_path, "documents", rows, "doc_id long, lang string, text string")
+    md5 = {i: t and hashlib.md5(t.encode()).hexdigest() for i, t in ((1, "aspirin"), (2, "stra e und fieber"), (3, "no language"), (4, None))}
+    assert {r.doc_id: r.digest for r in QUERIES["docs_clean"](spark, str(tmp_path)).collect()} == md5

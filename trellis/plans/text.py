@@ -66,7 +66,7 @@ def aligned(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "docs_clean": lambda s, d: docs(s, d).where("lang = 'en'").select("doc_id", F.md5(clean_text(F.regexp_replace("text", r"[^\x00-\x7F]", " "))).alias("digest")),
+    "docs_clean": lambda s, d: docs(s, d).select("doc_id", F.md5(clean_text(F.regexp_replace("text", r"[^\x00-\x7F]", " "))).alias("digest")),
     "docs_min_length": lambda s, d: docs(s, d).where(F.length("text") >= 10).select("doc_id"),
     "docs_min_words": lambda s, d: docs(s, d).where(F.size(words(F.col("text"))) >= 3).select("doc_id"),
     "docs_domain_filter": lambda s, d: docs(s, d).where(E.domain_filter(F.col("text"), KEYWORDS)).select("doc_id", "source"),
