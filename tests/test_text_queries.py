@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from trellis.operators import evidence as E
 from trellis.plans.text import QUERIES
 
@@ -70,3 +72,21 @@ def test_documents_of_every_language_are_cleaned(spark, tmp_path):
     save(spark, tmp_path, "documents", rows, "doc_id long, lang string, text string")
     md5 = {i: t and hashlib.md5(t.encode()).hexdigest() for i, t in ((1, "aspirin"), (2, "stra e und fieber"), (3, "no language"), (4, None))}
     assert {r.doc_id: r.digest for r in QUERIES["docs_clean"](spark, str(tmp_path)).collect()} == md5
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_evidence_of_long_concepts_of_the_tables(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(E, "BROADCAST_ROWS", broadcast)
+    rnd = random.Random(8)
+    some = lambda k: " ".join(rnd.choice("abc") for _ in range(k))
+    names = sorted({some(rnd.randrange(1, 9)) for _ in range(60)}) + ["A b-c A b C", "upper lobe of left lung, apex"]
+    texts = [some(rnd.randrange(60)) for _ in range(40)] + ["The Upper lobe of (left) lung apex.", "upper lobe of left lung apexes", None]
+    save(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
+    save(spark, tmp_path, "step_03", [(a, b) for a, b in zip(names[::2], names[1::2])] + [(None, names[-1])], "s string, o string")
+    save(spark, tmp_path, "canonical_terms", [(n,) for n in names[:5] + ["not there at all in any"]], "term string")
+    want = {n: [i for i, t in enumerate(texts) if t and f" {' '.join(plain_words(n))} " in f" {' '.join(plain_words(t))} "] for n in [*names, "not there at all in any"]}
+    assert want["upper lobe of left lung, apex"] == [40] and any(len(n.split()) > 5 and want[n] for n in names)
+    got = QUERIES["concept_evidence_top3"](spark, str(tmp_path)).collect()
+    assert sorted((r.concept, r.doc, r["rank"]) for r in got) == sorted((n, i, k + 1) for n, at in want.items() for k, i in enumerate(at[:3]))
+    every = QUERIES["concept_evidence_all"](spark, str(tmp_path)).collect()
+    assert sorted((r.concept, r.docs) for r in every) == sorted((n, len(at)) for n, at in want.items() if at)

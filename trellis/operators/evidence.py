@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from trellis.functions.similarity import partial_ratio_udf
 from trellis.functions.text import ngrams, words
 from trellis.operators.ranking import global_index, top_per_key
-from trellis.session import BROADCAST_ROWS
+from trellis.session import BROADCAST_ROWS, cut
 
 #: The English stop words of the reference's vectorizer (scikit-learn's list). Fixed values.
 STOP_WORDS = frozenset(
@@ -95,18 +95,40 @@ def concept_ids(concepts: DataFrame) -> DataFrame:
     return global_index(concepts.select("concept").distinct(), ["concept"], "id", 1)
 
 
+def _anchored(phrases: DataFrame, n: int) -> DataFrame:
+    """phrases (concept, phrase) with gram, the n-gram of the phrase that the fewest phrases hold."""
+    p = phrases.select("phrase").distinct().select("phrase", F.explode(F.array_distinct(ngrams(F.split("phrase", " "), n, n))).alias("gram"))
+    rarest = p.join(p.groupBy("gram").count(), "gram").groupBy("phrase").agg(F.min(F.struct("count", "gram")).alias("x")).select("phrase", "x.gram")
+    return phrases.join(rarest, "phrase")
+
+
 def evidence(concepts: DataFrame, docs: DataFrame, id_col: str, text_col: str, cap: int | None = 3, max_words: int = 4) -> DataFrame:
     """Documents that hold a concept as whole words: concept, doc, rank; the first cap by document id (all with None).
 
     Instead of a regular expression for every pair, documents explode into their distinct n-grams (as many words as
     concepts have, at most max_words), those that are concepts are kept where they arise, and the rest is an equality join.
+    A concept of more words is met by the rarest of its n-grams of max_words words and then sought whole in the document.
     """
-    c = concepts.select("concept", F.array_join(words(F.col("concept")), " ").alias("gram")).where("gram <> ''").distinct()
-    size = c.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.split("gram", " "))).alias("longest")).first()
-    longest = min(max_words, size["longest"] or 1)
-    grams = docs.select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(ngrams(words(F.col(text_col)), 1, longest))).alias("gram"))
+    c = cut(concepts.select("concept", F.array_join(words(F.col("concept")), " ").alias("phrase")).where("phrase <> ''").distinct())
+    length = F.size(F.split("phrase", " "))
+    size = c.agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("longest"), F.max(F.when(length <= max_words, length)).alias("short")).first()
     small = size["n"] <= BROADCAST_ROWS
-    met = grams.join(F.broadcast(c) if small else c, "gram").select("concept", "doc")
+    hint = F.broadcast if small else (lambda x: x)
+    text = docs.select(F.col(id_col).alias("doc"), words(F.col(text_col)).alias("w"))
+
+    def grams(lo: int, hi: int) -> Column:
+        return F.explode(F.array_distinct(ngrams(F.col("w"), lo, hi))).alias("gram")
+
+    met = text.select("doc", grams(1, size["short"] or 1)).join(hint(c.where(length <= max_words).withColumnRenamed("phrase", "gram")), "gram").select("concept", "doc")
+    if (size["longest"] or 0) > max_words:
+        long = hint(_anchored(c.where(length > max_words), max_words))
+        whole, sought = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")), F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))
+        if small:  # documents stay where they are
+            held = text.select("doc", "w", grams(max_words, max_words)).join(long, "gram").where(F.contains(whole, sought))
+        else:  # n-grams move without their documents, which then meet the candidates once
+            found = text.select("doc", grams(max_words, max_words)).join(long, "gram").select("concept", "phrase", "doc")
+            held = found.join(text.select(F.col("doc").alias("of"), whole.alias("t")), (F.col("doc") == F.col("of")) & F.contains(F.col("t"), sought), "left_semi")
+        met = met.unionByName(held.select("concept", "doc"))
     if cap is None:
         return met.withColumn("rank", F.row_number().over(Window.partitionBy("concept").orderBy("doc")))
     return top_per_key(met, ["concept"], ["doc"], cap)

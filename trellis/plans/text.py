@@ -23,6 +23,12 @@ def concepts(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(c,) for c in CONCEPTS], "concept string")
 
 
+def table_concepts(s: SparkSession, d: str) -> DataFrame:
+    """Every canonical term and every subject and object of step_03."""
+    names = table(s, d, "step_03").select(F.explode(F.array("s", "o")).alias("concept"))
+    return names.unionByName(table(s, d, "canonical_terms").select(F.col("term").alias("concept"))).where("concept IS NOT NULL").distinct()
+
+
 def terms(s: SparkSession, d: str) -> DataFrame:
     return E.term_counts(docs(s, d), "doc_id", "source", "text")
 
@@ -76,8 +82,8 @@ QUERIES = {
     "docs_ctfidf_boosted": lambda s, d: E.boosted(E.class_weights(topic_terms(s, d)), table(s, d, "canonical_terms").select("term"), 0.5, 5).select("class", "term", F.round("weight", 6).alias("weight")),
     "concept_frequent": lambda s, d: E.frequent_concepts(docs(s, d), "text", 100, 1, 3),
     "concept_ids": lambda s, d: E.concept_ids(table(s, d, "step_03").where("s IS NOT NULL").select(F.col("s").alias("concept"))),
-    "concept_evidence_top3": lambda s, d: E.evidence(concepts(s, d), docs(s, d), "doc_id", "text", 3),
-    "concept_evidence_all": lambda s, d: E.evidence(concepts(s, d), docs(s, d), "doc_id", "text", None).groupBy("concept").agg(F.count(F.lit(1)).alias("docs")),
+    "concept_evidence_top3": lambda s, d: E.evidence(table_concepts(s, d), docs(s, d), "doc_id", "text", 3),
+    "concept_evidence_all": lambda s, d: E.evidence(table_concepts(s, d), docs(s, d), "doc_id", "text", None).groupBy("concept").agg(F.count(F.lit(1)).alias("docs")),
     "concept_gold_labels": lambda s, d: E.gold_labels(concepts(s, d), table(s, d, "canonical_terms").select(F.col("term").alias("concept"))),
     "vec_topk_cosine": nearest,
     "vec_label_hits": label_hits,
