@@ -39,3 +39,14 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, nam
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows that look random and are the same on every run."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
+def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 42, name: str = "fold") -> DataFrame:
+    """df with a fold from 0 to k - 1: rows are numbered within each label in the order of a seeded hash of key, modulo k, so a label's folds differ by one row at most.
+
+    The numbers are places in one global order less the place where the label starts; no label needs to fit a task.
+    """
+    x = global_index(df.withColumn("__hash", F.xxhash64(F.col(key), F.lit(seed))), [label, "__hash", key], "__place")
+    first = x.groupBy(F.col(label).alias("__label")).agg(F.min("__place").alias("__first"))
+    x = x.join(first, F.col(label).eqNullSafe(F.col("__label")))
+    return x.withColumn(name, ((F.col("__place") - F.col("__first")) % k).cast("int")).drop("__hash", "__place", "__label", "__first")

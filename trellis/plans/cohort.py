@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trellis.operators import cohort as C
 from trellis.operators import survival as V
-from trellis.operators.ranking import hash_sample
+from trellis.operators.ranking import hash_sample, stratified_folds
 from trellis.session import cut, table
 
 
@@ -92,7 +92,7 @@ QUERIES = {
     "c_index": lambda s, d: V.concordance(oof(s, d).where("model = 'clinical_only'"), "os_time", "os_event", "risk_score").withColumn("c_index", F.round("c_index", 6)),
     "eval_times": eval_times,
     "dataset_specs": lambda s, d: V.dataset_specs(oof(s, d).where("model = 'clinical_only'"), "cancer_type", "stage", "os_event"),
-    "stratified_folds": lambda s, d: table(s, d, "msk_chord_patient_level").where("os_event IS NOT NULL").select("row_id", "os_event", F.pmod(F.crc32(F.concat(F.col("row_id").cast("string"), F.lit("|42"))), F.lit(5)).cast("int").alias("fold")),
+    "stratified_folds": lambda s, d: stratified_folds(table(s, d, "msk_chord_patient_level").where("os_event IS NOT NULL").select("row_id", "os_event"), "os_event", "row_id", 5),
     "log_rank": log_rank,
     "dynamic_auc": dynamic_auc,
     "paired_t_test": paired_t,
