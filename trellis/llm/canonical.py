@@ -10,11 +10,10 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Reference rows that one dictionary may hold; a longer list is looked up block by block, each of this size.
@@ -116,8 +115,8 @@ class Form:
 class Dictionary:
     """The forms of one field with their delete neighbourhoods."""
 
-    def __init__(self, rows: Sequence[tuple[int, str, Sequence[str], int]]):
-        """rows: ref_id, term, aliases, how often the term occurs as such."""
+    def __init__(self, rows: Sequence[tuple[int, str, Sequence[str], int]], longest: int = 0):
+        """rows: ref_id, term, aliases, how often the term occurs as such; longest: words of the field's longest form, where rows are a block of it."""
         self.forms = [Form(ref, "".join(w), tuple(w), freq) for ref, term, aliases, freq in rows for t in (term, *(aliases or ())) if t and (w := words(t))]
         self.exact: dict[str, list[Form]] = defaultdict(list)
         self.bag: dict[tuple[str, ...], list[Form]] = defaultdict(list)
@@ -130,35 +129,31 @@ class Dictionary:
                 self.near[d].append(f)
             for w in f.tokens if len(f.tokens) > 1 else ():
                 self.starts[w[0]].append(f)
-        self.longest = max((len(f.tokens) for f in self.forms), default=0)
+        self.longest = max(longest, max((len(f.tokens) for f in self.forms), default=0))
         self.letters = max((len(f.text) for f in self.forms), default=0) + 3
 
     @staticmethod
-    def _best(forms, cost) -> tuple[int, float]:
+    def _offer(forms, cost, stage: int, length: int = 0, run: int = 0) -> tuple:
         c, f = min(((cost(f), f) for f in forms), key=lambda x: (x[0], -x[1].freq, x[1].ref_id))
-        return f.ref_id, c
+        return stage, c, -length, run, -f.freq, f.ref_id
 
-    def _edited(self, text: str) -> tuple[int, float] | None:
+    def _edited(self, text: str, stage: int, length: int = 0, run: int = 0) -> tuple | None:
         most = edits_allowed(len(text) + 1)
         if not most or len(text) > self.letters:
             return None
         seen = {id(f): f for d in deletes(text, most) for f in self.near.get(d, ())}
-        met = [(d[1], f) for f in seen.values() if (d := damerau(text, f.text, edits_allowed(len(f.text))))]
-        if not met:
-            return None
-        c, f = min(met, key=lambda x: (x[0], -x[1].freq, x[1].ref_id))
-        return f.ref_id, c
+        met = {id(f): (d[1], f) for f in seen.values() if (d := damerau(text, f.text, edits_allowed(len(f.text))))}
+        return self._offer([f for _, f in met.values()], lambda f: met[id(f)][0], stage, length, run) if met else None
 
-    def _shortened(self, tokens: list[str]) -> int | None:
-        """The one term whose words these are, in order, some of them cut short or without inner letters (neopl, ca, jct, r); one word must be whole."""
+    def _shortened(self, tokens: list[str]) -> set[int]:
+        """The terms whose words these are, in order, some of them cut short or without inner letters (neopl, ca, jct, r); one word must be whole."""
 
         def short(x: str, y: str) -> bool:
             rest = iter(y)
             return x[0] == y[0] and all(c in rest for c in x)
 
         same = {id(f): f for w in tokens for f in self.starts.get(w[0], ()) if len(f.tokens) == len(tokens)}
-        met = {f.ref_id for f in same.values() if any(x == y for x, y in zip(tokens, f.tokens)) and all(x == y or short(x, y) for x, y in zip(tokens, f.tokens))}
-        return met.pop() if len(met) == 1 else None
+        return {f.ref_id for f in same.values() if any(x == y for x, y in zip(tokens, f.tokens)) and all(x == y or short(x, y) for x, y in zip(tokens, f.tokens))}
 
     def find(self, value: str) -> tuple[int, float, str]:
         """(ref_id, weighted edits, how); ref_id 0 if the value means no entry.
@@ -167,65 +162,120 @@ class Dictionary:
         words cut short; and then the same for what is left without the words of NOISE and numbers, then for every run of words
         inside the value that is long enough to be no accident. Ties go to the more frequent term, then to the smaller id.
         """
+        return settle(self.offers(value))
+
+    def offers(self, value: str) -> list[tuple]:
+        """What settle needs of this dictionary: (stage, cost, -length, run, -frequency, ref_id) of the first stage that answers, and
+        before it up to two terms whose words are cut short, as another block may hold a second one, with which that stage gives no answer."""
         w = words(value)
         if not w:
-            return 0, 0.0, "none"
-        for part, how in ((w, "whole"), ([x for x in w if x not in NOISE and not x[0].isdigit()], "stripped")):
-            if part and (how == "whole" or part != w) and (got := self._one(part)):
-                return *got, how
-        best = None
+            return []
+        out = []
+        for part, first in ((w, 0), ([x for x in w if x not in NOISE and not x[0].isdigit()], STAGES)):
+            if part and (not first or part != w):
+                got, sure = self._one(part, first)
+                out += got
+                if sure:
+                    return out
+        runs = []
         for i in range(len(w)):
             for j in range(i + 1, min(len(w), i + self.longest + 4) + 1):
                 text = "".join(w[i:j])
                 if (i, j) == (0, len(w)) or len(text) > self.letters:
                     continue
+                run = i * (len(w) + 1) + j
                 if f := self.exact.get(text):
-                    got = self._best(f, lambda _: 0.0)
-                elif len(text) >= 7:
-                    got = self._edited(text)
-                else:
-                    got = None
-                if got and (best is None or (got[1], -len(text), got[0]) < best[0]):
-                    best = (got[1], -len(text), got[0]), got
-        return (*best[1], "inside") if best else (0, 0.0, "none")
-
-    def _one(self, w: list[str]) -> tuple[int, float] | None:
+                    runs.append(self._offer(f, lambda _: 0.0, 2 * STAGES, len(text), run))
+                elif len(text) >= 7 and (got := self._edited(text, 2 * STAGES, len(text), run)):
+                    runs.append(got)
+        return out + _cheapest(runs)
+
+    def _one(self, w: list[str], first: int) -> tuple[list[tuple], bool]:
+        """Offers of the stages from first on, and whether no other block can take the last one's answer away without a better one."""
         text = "".join(w)
         if f := self.exact.get(text):
-            return self._best(f, lambda _: 0.0)
+            return [self._offer(f, lambda _: 0.0, first)], True
         if f := self.bag.get(tuple(sorted(w))):
-            return self._best(f, lambda _: 0.1)
-        got = self._edited(text)
-        if got is None and 1 < len(w) <= self.longest and (ref := self._shortened(w)) is not None:
-            return ref, 0.2
-        if got is None and 1 < len(w) <= self.longest:  # words moved and misspelt: one cyclic turn at a time
-            turned = [x for k in range(1, len(w)) if (x := self._edited("".join(w[k:] + w[:k])))]
-            got = min(turned, key=lambda x: (x[1], x[0]), default=None)
-        return got
+            return [self._offer(f, lambda _: 0.1, first + 1)], True
+        if got := self._edited(text, first + 2):
+            return [got], True
+        if not 1 < len(w) <= self.longest:
+            return [], False
+        short = [(first + SHORTENED, 0.2, 0, 0, 0, ref) for ref in sorted(self._shortened(w))[:2]]
+        # words moved and misspelt: one cyclic turn at a time
+        turned = _cheapest([x for k in range(1, len(w)) if (x := self._edited("".join(w[k:] + w[:k]), first + 4, 0, k))])
+        return short + turned, bool(turned)
 
 
-def _lookup(blocks: list[tuple[int, str, list[str], int]]):
-    """A vectorised lookup over one field's block; dictionaries are built once a worker and field."""
+#: Stages of find for one reading of a value: same letters, same words, edits, words cut short, words moved and misspelt.
+STAGES, SHORTENED = 5, 3
 
-    @F.pandas_udf("struct<ref_id:int,cost:double,how:string>")
-    def find(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        book, known = Dictionary(blocks), {}
-        for v in values:
-            codes, uniques = pd.factorize(v)
+
+def _cheapest(offers: list[tuple]) -> list[tuple]:
+    """Offers of one stage that share its least cost and greatest length; no other one can win."""
+    best = min((o[1:3] for o in offers), default=None)
+    return [o for o in offers if o[1:3] == best]
+
+
+def settle(offers: Sequence[tuple]) -> tuple[int, float, str]:
+    """(ref_id, cost, how) of the offers of all blocks, the same as of one dictionary over all of them."""
+    by_stage = defaultdict(list)
+    for o in offers:
+        by_stage[o[0]].append(o)
+    for stage in sorted(by_stage):
+        met = _cheapest(by_stage[stage])
+        if stage in (SHORTENED, STAGES + SHORTENED) and len({o[5] for o in met}) > 1:
+            continue  # words cut short that may mean several terms mean none
+        runs: dict[int, tuple] = {}
+        for o in met:
+            runs[o[3]] = min(runs.get(o[3], o), o)
+        return min(o[5] for o in runs.values()), met[0][1], ("whole", "stripped", "inside")[stage // STAGES]
+    return 0, 0.0, "none"
+
+
+OFFER = "struct<stage:int,cost:double,size:int,run:int,freq:bigint,ref_id:int>"
+
+
+def _lookup(block: dict[str, list[tuple[int, str, list[str], int]]], longest: dict[str, int], last: bool):
+    """A vectorised lookup over one block's fields; dictionaries are built once a worker and field. last: the answer, else the offers."""
+
+    @F.pandas_udf("struct<ref_id:int,cost:double,how:string>" if last else f"array<{OFFER}>")
+    def find(values: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        books, known = {}, {}
+        for fields, v in values:
             if len(known) > REMEMBERED:
                 known.clear()
             rows = []
-            for u in uniques:
-                if u not in known:
-                    known[u] = book.find(u)
-                rows.append(known[u])
-            got = pd.DataFrame(rows or [(0, 0.0, "none")], columns=["ref_id", "cost", "how"]).reindex(codes).reset_index(drop=True)
-            got["ref_id"] = got["ref_id"].fillna(0).astype("int32")
-            yield got
+            for key in zip(fields, v):
+                if key not in known:
+                    f, u = key
+                    if f in block and f not in books:
+                        books[f] = Dictionary(block[f], longest.get(f, 0))
+                    got = books[f].offers(u) if f in books else []
+                    known[key] = settle(got) if last else [dict(zip(("stage", "cost", "size", "run", "freq", "ref_id"), o)) for o in got]
+                rows.append(known[key])
+            yield pd.DataFrame(rows, columns=["ref_id", "cost", "how"]).astype({"ref_id": "int32"}) if last else pd.Series(rows, dtype=object)
 
     return find
 
 
+def _settled(offers: Column) -> Column:
+    @F.pandas_udf("struct<ref_id:int,cost:double,how:string>")
+    def run(x: pd.Series) -> pd.DataFrame:
+        rows = [settle([(o["stage"], o["cost"], o["size"], o["run"], o["freq"], o["ref_id"]) for o in of]) for of in x]
+        return pd.DataFrame(rows, columns=["ref_id", "cost", "how"]).astype({"ref_id": "int32"})
+
+    return run(offers)
+
+
+def _most_words(term: Column, aliases: Column) -> Column:
+    @F.pandas_udf("int")
+    def run(terms: pd.Series, others: pd.Series) -> pd.Series:
+        return pd.Series([max(len(words(x)) for x in (t, *(a if a is not None else ())) if x is not None) for t, a in zip(terms, others)], dtype="int32")
+
+    return run(term, aliases)
+
+
 def map_to_list(values: DataFrame, reference: DataFrame, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """values (row_id, field_name, item_no, value) with the entry each means: also ref_id, cost and how; ref_id 0 if none.
 
@@ -233,32 +283,35 @@ def map_to_list(values: DataFrame, reference: DataFrame, block_terms: int = BLOC
     give no row, nor do values written exactly as a term of their field. A value of a field without reference rows is unmatched.
     Blank values are unmatched. Very long values are read to their end, in time linear in their length.
     Repeated rows come out as often as they are there. The reference is collected in blocks of block_terms
-    rows; each block is one map over the values and the cheapest answer of all blocks holds (ties: the more
-    frequent term within a block, the smaller id across blocks).
+    rows; each block is one map over the values that offers its candidates, and settle takes of all blocks' the
+    one that a single dictionary would give.
     """
     x = values.select("row_id", "field_name", "item_no", F.col("value").cast("string").alias("value")).where("value IS NOT NULL AND value <> ''")
-    fields = [r[0] for r in reference.select("field_name").where("field_name IS NOT NULL").distinct().limit(1000).collect()]
-    ref = reference.select(F.col("ref_id").cast("int").alias("ref_id"), "field_name", "term", "aliases").where("ref_id IS NOT NULL AND term IS NOT NULL")
+    ref = reference.select(F.col("ref_id").cast("int").alias("ref_id"), "field_name", "term", "aliases").where("ref_id IS NOT NULL AND term IS NOT NULL AND field_name IS NOT NULL")
     size = ref.count()
     if not size:
         return x.select("row_id", "field_name", "item_no", "value", F.lit(0).alias("ref_id"), F.lit(0.0).alias("cost"), F.lit("none").alias("how"))
     terms = ref.select(F.col("field_name").alias("f"), F.col("term").alias("t")).distinct()
     counts = x.join(F.broadcast(terms) if size <= block_terms else terms, (F.col("field_name") == F.col("f")) & (F.col("value") == F.col("t"))).groupBy("field_name", F.col("value").alias("term")).count()
     ref = ref.join(counts, ["field_name", "term"], "left").select("ref_id", "field_name", "term", "aliases", F.coalesce("count", F.lit(0)).alias("freq"))
-    blocks = [ref] if size <= block_terms else [ref.where(F.pmod(F.hash("ref_id"), F.lit(-(-size // block_terms) * 2)) == b) for b in range(-(-size // block_terms) * 2)]
+    one = size <= block_terms
+    if one:
+        ref = ref.withColumn("longest", F.lit(0))
+    else:
+        ref = ref.join(ref.groupBy("field_name").agg(F.max(_most_words(F.col("term"), F.col("aliases"))).alias("longest")), "field_name")
+    n = -(-size // block_terms) * 2
+    blocks = [ref] if one else [ref.where(F.pmod(F.hash("ref_id"), F.lit(n)) == b) for b in range(n)]
     typed = x.join(F.broadcast(terms) if size <= block_terms else terms, (F.col("field_name") == F.col("f")) & (F.col("value") == F.col("t")), "left_anti")
     columns = []
-    for b, block in enumerate(blocks):
-        rows = defaultdict(list)
+    for block in blocks:
+        rows, longest = defaultdict(list), {}
         for r in block.collect():  # at most about block_terms rows
             rows[r["field_name"]].append((r["ref_id"], r["term"], list(r["aliases"] or []), int(r["freq"])))
-        for i, f in enumerate(fields):
-            if rows[f]:
-                columns.append(f"_c{b}_{i}")
-                typed = typed.withColumn(columns[-1], _lookup(sorted(rows[f]))(F.when(F.col("field_name") == f, F.col("value"))))
-    ranked = [F.when(F.col(f"{c}.ref_id") > 0, F.struct(F.col(f"{c}.cost").alias("cost"), F.col(f"{c}.ref_id").alias("ref_id"), F.col(f"{c}.how").alias("how"))) for c in columns]
-    best = reduce(lambda a, b: F.least(a, b), ranked)
-    return typed.withColumn("best", best).select("row_id", "field_name", "item_no", "value", F.coalesce("best.ref_id", F.lit(0)).alias("ref_id"), F.coalesce("best.cost", F.lit(0.0)).alias("cost"), F.coalesce("best.how", F.lit("none")).alias("how"))
+            longest[r["field_name"]] = r["longest"]
+        if rows:
+            columns.append(_lookup({f: sorted(x) for f, x in rows.items()}, longest, one)("field_name", "value"))
+    typed = typed.withColumn("best", columns[0] if one else _settled(F.concat(*columns)))
+    return typed.select("row_id", "field_name", "item_no", "value", "best.ref_id", "best.cost", "best.how")
 
 
 def unmatched_report(mapped: DataFrame) -> DataFrame:
