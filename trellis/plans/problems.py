@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trellis.operators.fill import NOTHING_KNOWN, Category, FillSpec, Number, fill_missing, fill_table, mine_dependencies, prepared
 from trellis.operators.orphans import Reference, orphan_report, orphans
 from trellis.operators.quantiles import key_profile
-from trellis.session import table
+from trellis.session import cut, table
 
 
 def patient_fill_spec() -> FillSpec:
@@ -57,8 +57,9 @@ TRIPLE_SIDES = [("s", "o"), ("o", "s")]
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Only the sides and the row counts are asked for, so partners are left out; each hot key's median support is resolved with it."""
-    return key_profile(table(spark, d, "step_03"), [("s", None), ("o", None)], "support", (0.5,), min_share=0.01).select("side", "key_value")
+    """The keys of the full profile, histograms, quantiles and partners of all keys included, that hold a hundredth of all rows; cut, or the partners, which are not asked for, would be planned away."""
+    x = table(spark, d, "step_03")
+    return cut(key_profile(x, TRIPLE_SIDES, "support", (0.5,))).where(F.col("n_rows") >= x.count() * 0.01).select("side", "key_value")
 
 
 def p4_profile(spark: SparkSession, d: str) -> DataFrame:
