@@ -38,7 +38,7 @@ class Category:
     keep: tuple[str, ...] = ()
 
     def value(self, c: Column) -> Column:
-        v = F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
+        v = F.btrim(c.cast("string"), F.lit(" \t\n\r\f\v"))
         bare = F.lower(F.regexp_replace(v, r"[^\p{L}\p{Nd}]+", ""))
         return F.when(v.isin(*self.keep) | ~bare.isin(*NOTHING_KNOWN), v) if self.keep else F.when(~bare.isin(*NOTHING_KNOWN), v)
 
@@ -47,30 +47,39 @@ class Category:
 class FillSpec:
     """fields: name to Number or Category. determinants: columns, or tuples of them, that may determine a field.
     groups: per field the group keys tried in order when no dependency answers; () is the whole table. A group
-    key may be a column or one of derived (name to expression over the table's own columns)."""
+    key may be a column or one of derived (name to expression over the table's own columns). canonical: per text column a table
+    (form, name) whose forms are read as one name in keys, however they are punctuated; the column itself stays."""
 
     id_col: str
     fields: Mapping[str, Number | Category]
     determinants: Sequence[tuple[str, ...]]
     groups: Mapping[str, Sequence[tuple[str, ...]]]
     derived: Mapping[str, Column] = field(default_factory=dict)
+    canonical: Mapping[str, DataFrame] = field(default_factory=dict)
     min_confidence: float = 0.95
     min_keys: int = 20
     min_group: int = 5
 
+    def key_sets(self) -> list[tuple[str, ...]]:
+        """All determinants and groups once; a key set's place names its two hash columns."""
+        return list(dict.fromkeys([*self.determinants, *[g for gs in self.groups.values() for g in gs]]))
 
-def _key(cols: Sequence[str]) -> Column:
-    """The determinant or group key of a row as one string, null if a part is missing; parts cannot run into each other."""
-    if not cols:
-        return F.lit("*")
-    parts = [F.col(f"g_{c}") for c in cols]
-    whole = reduce(lambda a, b: a & b, [p.isNotNull() for p in parts])
-    return F.when(whole, parts[0] if len(parts) == 1 else F.concat(*[y for p in parts for y in (F.char_length(p).cast("string"), F.lit(":"), p)]))
+    def levels(self) -> list[tuple[int, str, tuple[str, ...]]]:
+        return [(i, name, cols) for i, (name, cols) in enumerate((f, g) for f, gs in self.groups.items() for g in gs)]
+
+
+def _plain(v: Column) -> Column:
+    return F.lower(F.regexp_replace(v, r"[^\p{L}\p{Nd}]+", " "))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df for a join that broadcasts it only if it was counted and is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def prepared(df: DataFrame, spec: FillSpec) -> DataFrame:
-    """row_id, f_<field> (the cleaned value, null if missing) and g_<column> (comparable key parts)."""
-    parts = sorted({c for d in spec.determinants for c in d} | {c for gs in spec.groups.values() for g in gs for c in g})
+    """row_id, f_<field> (the cleaned value, null if missing) and per key set a<i>, b<i>: 96 bits of hash of its parts, null if a part is missing."""
+    parts = sorted({c for k in spec.key_sets() for c in k})
     sel = [F.col(f"`{spec.id_col}`").alias("row_id")]
     sel += [kind.value(F.col(f"`{name}`")).alias(f"f_{name}") for name, kind in spec.fields.items()]
     for c in parts:
@@ -79,94 +88,156 @@ def prepared(df: DataFrame, spec: FillSpec) -> DataFrame:
         else:
             kind = spec.fields.get(c, Category())
             v = kind.value(F.col(f"`{c}`"))
-            sel.append((F.lower(F.regexp_replace(v, r"[^\p{L}\p{Nd}]+", " ")) if isinstance(kind, Category) else v.cast("string")).alias(f"g_{c}"))
-    return df.select(*sel)
+            sel.append((_plain(v) if isinstance(kind, Category) else v.cast("string")).alias(f"g_{c}"))
+    x = df.select(*sel)
+    for c, forms in spec.canonical.items():
+        f = forms.select(_plain(F.col("form")).alias("__form"), _plain(F.col("name")).alias("__name")).where("__form IS NOT NULL AND __name IS NOT NULL").groupBy("__form").agg(F.min("__name").alias("__name"))
+        x = x.join(_small(f), F.col(f"g_{c}") == F.col("__form"), "left").withColumn(f"g_{c}", F.coalesce("__name", f"g_{c}")).drop("__form", "__name")
+    keys = []
+    for i, cols in enumerate(spec.key_sets()):
+        ps = [F.col(f"g_{c}") for c in cols] or [F.lit("*")]
+        whole = reduce(lambda a, b: a & b, [p.isNotNull() for p in ps])
+        keys += [F.when(whole, F.xxhash64(*ps)).alias(f"a{i}"), F.when(whole, F.hash(*ps)).alias(f"b{i}")]
+    return x.select("row_id", *[f"f_{n}" for n in spec.fields], *keys)
+
+
+def _keyed(x: DataFrame, spec: FillSpec, sets: Sequence[tuple[int, tuple[str, ...]]], *keep: Column) -> DataFrame:
+    """One row per row and (rank, key set): keep and rank, a, b; rows without the key give none."""
+    at = {cols: i for i, cols in enumerate(spec.key_sets())}
+    rows = [F.when(F.col(f"a{at[c]}").isNotNull(), F.struct(F.lit(r).alias("rank"), F.col(f"a{at[c]}").alias("a"), F.col(f"b{at[c]}").alias("b"))) for r, c in sets]
+    return x.select(*keep, F.explode(F.array(*rows)).alias("k")).where("k IS NOT NULL").select(*[c for c in x.select(*keep).columns], "k.rank", "k.a", "k.b")
 
 
-def _long(x: DataFrame, spec: FillSpec, pairs: Sequence[tuple[int, str, tuple[str, ...]]], missing: bool) -> DataFrame:
-    """One row per row and (rank, field, key columns): rank, field, key, value; of rows that miss the field, or of those that have it."""
-    rows = []
-    for rank, name, cols in pairs:
-        have = F.col(f"f_{name}").isNotNull()
-        rows.append(F.when((~have if missing else have) & _key(cols).isNotNull(), F.struct(F.lit(rank).alias("rank"), F.lit(name).alias("field"), _key(cols).alias("key"), F.col(f"f_{name}").cast("string").alias("value"))))
-    return x.select("row_id", F.explode(F.array(*rows)).alias("r")).where("r IS NOT NULL").select("row_id", "r.*")  # stays in generated code
+_KEY = ["rank", "a", "b"]
 
 
 def mine_dependencies(x: DataFrame, spec: FillSpec) -> tuple[DataFrame, DataFrame]:
-    """Functional dependencies determinant -> field, verified over all complete records.
+    """Functional dependencies determinant -> field, verified over all complete records of x = prepared(df, spec).
 
-    Returns the report (field, determinant, keys, repeated_keys, confidence, verified) and the dictionary
-    (rank, key, value, seen; the rank stands for field and determinant). Confidence is the share of rows under keys that occur at least twice
-    which agree with their key's most frequent value; a dependency is verified at min_confidence over at
+    Returns the report (field, determinant, repeated_keys, repeated_rows, confidence, verified) and the dictionary
+    (rank, a, b, field, value, seen; rank is the determinant's place). Confidence is the share of rows under keys that occur at least twice
+    which agree with their key's most frequent value (of a refuted candidate: a bound that it does not exceed); a dependency is verified at min_confidence over at
     least min_keys such keys. The dictionary holds only keys with a single value, or whose most frequent value
-    holds min_confidence of the key's rows (ties break to the smaller value). Counting combines map-side, so a
-    determinant value that holds a third of all rows is one row a task.
+    holds min_confidence of the key's rows (ties break to the smaller value). Keys of a single row answer nothing and are dropped at once.
+
+    One aggregation of all determinants and fields together keeps per key the count, the least and greatest value and how many values have
+    each of two hash bits set. All combine map-side, so a determinant value that holds a third of all rows is one row a task. A value that fills a share of a
+    key pushes both bits' shares that far from the middle, which refutes most candidates without a look at single values; only keys
+    with several values of candidates still open are counted value by value.
     """
-    pairs = [(i, name, cols) for i, (name, cols) in enumerate((f, d) for f in spec.fields for d in spec.determinants if f not in d)]
-    counts = _long(x, spec, pairs, missing=False).groupBy("rank", "key", "value").agg(F.count(F.lit(1)).alias("n"))
-    per_key = cut(
-        counts.groupBy("rank", "key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.min_by("value", F.struct((-F.col("n")).alias("a"), F.col("value").alias("b"))).alias("value"))
-    )
-    names = F.create_map(*[y for i, _, cols in pairs for y in (F.lit(i), F.lit("+".join(cols)))])
-    fields = F.create_map(*[y for i, name, _ in pairs for y in (F.lit(i), F.lit(name))])
-    report = per_key.groupBy("rank").agg(
-        F.count(F.lit(1)).alias("keys"),
-        F.count_if(F.col("n") > 1).alias("repeated_keys"),
-        (F.sum(F.when(F.col("n") > 1, F.col("most"))) / F.sum(F.when(F.col("n") > 1, F.col("n")))).alias("confidence"),
-    )
-    report = report.withColumn("field", fields[F.col("rank")]).withColumn("determinant", names[F.col("rank")]).withColumn("verified", F.coalesce((F.col("confidence") >= spec.min_confidence) & (F.col("repeated_keys") >= spec.min_keys), F.lit(False)))
-    report = cut(report)
-    ok = [r["rank"] for r in report.where("verified").select("rank").collect()]  # one row per candidate dependency
-    dictionary = per_key.where(F.col("rank").isin(ok) & (F.col("most") >= F.col("n") * spec.min_confidence)).select("rank", "key", "value", F.col("n").alias("seen"))
-    return report, dictionary
-
-
-def _join_bounded(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join with a broadcast of right only if it was counted and is small."""
-    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on)
+    names = list(spec.fields)
+    number = {f: isinstance(k, Number) for f, k in spec.fields.items()}
+    held, sets = {f: F.col(f"f_{f}").isNotNull() for f in names}, list(enumerate(spec.determinants))
+    hashed = [F.when(held[f], F.xxhash64(f"f_{f}")).alias(f"h{j}") for j, f in enumerate(names)]
+    v = _keyed(x, spec, sets, *hashed, *[F.col(f"f_{f}").alias(f"v{j}") for j, f in enumerate(names) if number[f]])
+    low = lambda j: f"v{j}" if number[names[j]] else f"h{j}"
+    aggs = [
+        g.alias(f"{n}{j}")
+        for j in range(len(names))
+        for n, g in (("n", F.count(f"h{j}")), ("lo", F.min(low(j))), ("hi", F.max(low(j))), ("p", F.sum(F.col(f"h{j}").bitwiseAND(1))), ("q", F.sum(F.shiftright(f"h{j}", 1).bitwiseAND(1))))
+    ]
+    per = cut(v.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("rows"), *aggs).where("rows > 1"))
+    one = []
+    for i, j, f in [(i, j, f) for i, cols in sets for j, f in enumerate(names) if f not in cols]:
+        n, pure, num, word = F.col(f"n{j}"), F.col(f"lo{j}") == F.col(f"hi{j}"), F.col(f"lo{j}") if number[f] else F.lit(None).cast("double"), F.lit(None).cast("bigint") if number[f] else F.col(f"lo{j}")
+        bound = F.when(pure, n).otherwise(F.least(*[F.greatest(F.col(f"{c}{j}"), n - F.col(f"{c}{j}")) for c in "pq"]))
+        one.append(F.when((F.col("rank") == i) & (n > 0), F.struct(F.lit(f).alias("field"), n.alias("n"), pure.alias("pure"), bound.alias("most"), num.alias("num"), word.alias("word"))))
+    flat = per.select(*_KEY, F.explode(F.array(*one)).alias("y")).where("y IS NOT NULL").select(*_KEY, "y.*")
+    bounds = flat.where("n > 1").groupBy("rank", "field").agg((F.sum("most") / F.sum("n")).alias("c"), F.count(F.lit(1)).alias("k"))
+    open_ = [(r["rank"], r["field"]) for r in bounds.where((F.col("c") >= spec.min_confidence) & (F.col("k") >= spec.min_keys)).collect()]  # at most determinants times fields
+    mixed = flat.where(~F.col("pure")).join(F.broadcast(x.sparkSession.createDataFrame(open_, "rank int, field string")), ["rank", "field"], "left_semi").select(*_KEY, "field")
+    if open_ and not (mixed := cut(mixed)).isEmpty():
+        each = [F.when(F.col(f"h{j}").isNotNull(), F.struct(F.lit(f).alias("field"), (F.col(f"v{j}") if number[f] else F.lit(None).cast("double")).alias("num"), F.col(f"h{j}").alias("word"))) for j, f in enumerate(names)]
+        counts = v.join(_small(mixed.select(*_KEY).distinct()), _KEY).select(*_KEY, F.explode(F.array(*each)).alias("y")).where("y IS NOT NULL").groupBy(*_KEY, "y.field", "y.num", "y.word").agg(F.count(F.lit(1)).alias("c"))
+        top = counts.groupBy(*_KEY, "field").agg(F.min(F.struct((-F.col("c")).alias("c"), "num", "word")).alias("m")).join(_small(mixed), [*_KEY, "field"], "left_semi")
+        flat = flat.join(top, [*_KEY, "field"], "left")
+        flat = flat.select(*_KEY, "field", "n", F.coalesce(-F.col("m.c"), "most").alias("most"), F.coalesce("m.num", "num").alias("num"), F.coalesce("m.word", "word").alias("word"))
+    flat = cut(flat.select(*_KEY, "field", "n", "most", "num", "word"))
+    label = F.create_map(*[y for i, cols in sets for y in (F.lit(i), F.lit("+".join(cols)))])
+    report = flat.where("n > 1").groupBy("rank", "field").agg(F.count(F.lit(1)).alias("repeated_keys"), F.sum("n").alias("repeated_rows"), (F.sum("most") / F.sum("n")).alias("confidence"))
+    report = cut(report.withColumn("determinant", label[F.col("rank")]).withColumn("verified", F.coalesce((F.col("confidence") >= spec.min_confidence) & (F.col("repeated_keys") >= spec.min_keys), F.lit(False))))
+    ok = report.where("verified").select("rank", "field")
+    kept = flat.join(F.broadcast(ok), ["rank", "field"], "left_semi").where(F.col("most") >= F.col("n") * spec.min_confidence)
+    value, words = F.col("num").cast("string"), [f for f in names if not number[f]]
+    if words:
+        spelt = x.select(F.explode(F.array(*[F.when(held[f], F.struct(F.lit(f).alias("field"), F.xxhash64(f"f_{f}").alias("word"), F.col(f"f_{f}").alias("text"))) for f in words])).alias("y")).where("y IS NOT NULL").select("y.*").distinct()
+        kept = kept.join(_small(spelt), ["field", "word"], "left")
+        value = F.coalesce("text", value)
+    return report, kept.select(*_KEY, "field", value.alias("value"), F.col("n").alias("seen"))
+
+
+def _gaps(x: DataFrame, spec: FillSpec, pairs: Sequence[tuple[int, str, tuple[str, ...]]], always: bool) -> DataFrame:
+    """row_id, field, rank, a, b for each missing value and rank; always: also one of rank -1 without a key for each missing value."""
+    at = {cols: i for i, cols in enumerate(spec.key_sets())}
+    none = [F.when(F.col(f"f_{f}").isNull(), F.struct(F.lit(f).alias("field"), F.lit(-1).alias("rank"), F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("int").alias("b"))) for f in spec.fields] if always else []
+    rows = [F.when(F.col(f"f_{f}").isNull() & F.col(f"a{at[c]}").isNotNull(), F.struct(F.lit(f).alias("field"), F.lit(r).alias("rank"), F.col(f"a{at[c]}").alias("a"), F.col(f"b{at[c]}").alias("b"))) for r, f, c in pairs]
+    return x.select("row_id", F.explode(F.array(*none, *rows)).alias("k")).where("k IS NOT NULL").select("row_id", "k.*")
+
+
+def _group_values(x: DataFrame, spec: FillSpec) -> DataFrame | None:
+    """The value of each gap's first group with min_group records: row_id, field, rank, value, n.
+
+    Groups are counted first; values are looked at only in groups that some gap needs."""
+    levels = spec.levels()
+    if not levels:
+        return None
+    have = F.array(*[F.when(F.col(f"f_{f}").isNotNull(), F.lit(f)) for f in spec.fields]).alias("have")
+    rows = _keyed(x, spec, [(r, c) for r, _, c in levels], have, *[F.col(f"f_{f}") for f in spec.fields])
+    of = F.create_map(*[y for r, f, _ in levels for y in (F.lit(r), F.lit(f))])
+    counts = rows.where(F.array_contains("have", of[F.col("rank")])).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= spec.min_group)
+    asked = _gaps(x, spec, levels, False).join(_small(cut(counts)), _KEY)
+    first = F.min(F.struct("rank", "a", "b", "n")).alias("m")
+    chosen = cut(asked.groupBy("row_id", "field").agg(first).select("row_id", "field", "m.*"))
+    needed = chosen.select(*_KEY).distinct()
+    rows = rows.join(_small(needed), _KEY, "left_semi")
+    stats = None
+    number = {f for f, k in spec.fields.items() if isinstance(k, Number)}
+    for which in (True, False):
+        mine = [(r, f) for r, f, _ in levels if (f in number) == which]
+        if not mine:
+            continue
+        kind = "double" if which else "string"
+        value = reduce(lambda a, b: F.when(F.col("rank").isin([r for r, f in mine if f == b]), F.col(f"f_{b}")).otherwise(a), sorted({f for _, f in mine}), F.lit(None).cast(kind))
+        v = rows.where(F.col("rank").isin([r for r, _ in mine])).select(*_KEY, value.alias("v")).where("v IS NOT NULL")
+        if which:
+            s = exact_quantiles(v, _KEY, "v", [0.5]).select(*_KEY, F.col("q").cast("string").alias("value"))
+        else:
+            s = v.groupBy(*_KEY, "v").agg(F.count(F.lit(1)).alias("c")).groupBy(*_KEY).agg(F.min(F.struct((-F.col("c")).alias("c"), "v")).alias("m")).select(*_KEY, F.col("m.v").alias("value"))
+        stats = s if stats is None else stats.unionByName(s)
+    return chosen.join(stats, _KEY).select("row_id", "field", "rank", "value", "n")
 
 
 def fill_missing(df: DataFrame, spec: FillSpec) -> DataFrame:
     """One row for each missing value of the spec's fields: row_id, field_name, value (string), source, basis.
 
-    source is dependency (basis: the determinant), group (basis: the group key and the number of
-    records), or none where nothing answers (an empty or wholly missing field); basis names the columns used.
-    Numbers are filled with a verified dependency's value, else with the lower median of the first group
-    of spec.groups that has min_group records; categories with the dependency's value, else the group's most
-    frequent (ties to the smaller). Values that are there are never changed and never listed. Row ids should
+    Each missing value is left-joined to the dictionaries of the verified dependencies; of several answers the one of the
+    highest confidence counts (ties: the smaller value). What they do not answer comes from the first of spec.groups that has min_group records: for
+    a number the lower median, for a category the most frequent value (ties to the smaller). source is dependency (basis: the
+    determinant), group (basis: the group key and the number of records), or none where nothing answers (an empty or wholly
+    missing field). Values that are there are never changed and never listed. Row ids should
     be unique; rows that repeat one are filled each on their own keys and give one row together. Empty tables
-    give no rows; very long texts are keys like any other; columns besides the named ones do not matter.
+    give no rows; very long texts are keys like any other, by 96 bits of hash; columns besides the named ones do not matter.
     """
     x = cut(prepared(df, spec))  # read by every step; cleaning is the costly part
     report, dictionary = mine_dependencies(x, spec)
+    best = [(r["rank"], r["field"], r["determinant"], r["confidence"]) for r in report.where("verified").collect()]  # at most determinants times fields
     gaps = x.where(reduce(lambda a, b: a | b, [F.col(f"f_{f}").isNull() for f in spec.fields]))
-    pairs = [(i, name, cols) for i, (name, cols) in enumerate((f, d) for f in spec.fields for d in spec.determinants if f not in d)]
-    best = report.where("verified").select("rank", "determinant", "confidence")
-    asked = _long(gaps, spec, pairs, missing=True).select("row_id", "rank", "field", "key")
-    by_fd = _join_bounded(asked, dictionary, ["rank", "key"]).join(F.broadcast(best), "rank")
-    by_fd = by_fd.select("row_id", "field", F.lit(0).alias("level"), (-F.col("confidence")).alias("o"), F.lit("dependency").alias("source"), F.concat(F.col("determinant"), F.lit(" n="), F.col("seen")).alias("basis"), "value")
-
-    levels = [(i, name, cols) for i, (name, cols) in enumerate((f, g) for f, gs in spec.groups.items() for g in gs)]
-    label = F.create_map(*[y for i, _, cols in levels for y in (F.lit(i), F.lit("+".join(cols) or "all"))])
-    numbers = [p for p in levels if isinstance(spec.fields[p[1]], Number)]
-    words = [p for p in levels if isinstance(spec.fields[p[1]], Category)]
-    stats = None
-    if numbers:
-        rows = _long(x, spec, numbers, missing=False).select("rank", "field", "key", F.col("value").cast("double").alias("v"))
-        stats = exact_quantiles(rows, ["rank", "field", "key"], "v", [0.5]).where(F.col("n") >= spec.min_group).select("rank", "field", "key", F.col("q").cast("string").alias("value"), "n")
-    if words:
-        rows = _long(x, spec, words, missing=False).groupBy("rank", "field", "key", "value").agg(F.count(F.lit(1)).alias("n"))
-        rows = rows.groupBy("rank", "field", "key").agg(F.min_by("value", F.struct((-F.col("n")).alias("a"), F.col("value").alias("b"))).alias("value"), F.sum("n").alias("n")).where(F.col("n") >= spec.min_group)
-        stats = rows if stats is None else stats.unionByName(rows)
-    found = by_fd
-    if stats is not None:
-        asked = _long(gaps, spec, levels, missing=True).select("row_id", "rank", "field", "key")
-        by_group = _join_bounded(asked, cut(stats), ["rank", "field", "key"])
-        found = found.unionByName(by_group.select("row_id", "field", F.lit(1).alias("level"), F.col("rank").cast("double").alias("o"), F.lit("group").alias("source"), F.concat(label[F.col("rank")], F.lit(" n="), F.col("n")).alias("basis"), "value"))
-    every = gaps.select("row_id", F.explode(F.filter(F.array(*[F.when(F.col(f"f_{f}").isNull(), F.lit(f)) for f in spec.fields]), lambda f: f.isNotNull())).alias("field"))
-    every = every.select("row_id", "field", F.lit(2).alias("level"), F.lit(0.0).alias("o"), F.lit("none").alias("source"), F.lit(None).cast("string").alias("basis"), F.lit(None).cast("string").alias("value"))
-    first = F.min(F.struct("level", "o", "basis", "value", "source")).alias("m")
-    return found.unionByName(every).groupBy("row_id", F.col("field").alias("field_name")).agg(first).select("row_id", "field_name", "m.value", "m.source", "m.basis")
+    asked = _gaps(gaps, spec, [(r, f, spec.determinants[r]) for r, f, _, _ in best], True)
+    got = asked.join(_small(dictionary), [*_KEY, "field"], "left") if best else asked.withColumns({"value": F.lit(None).cast("string"), "seen": F.lit(None).cast("bigint")})
+    met = F.col("value").isNotNull()
+    sure = F.create_map(*[y for r, f, _, c in best for y in (F.lit(f"{r} {f}"), F.lit(-c))]) if best else F.create_map(F.lit(""), F.lit(0.0))
+    name = F.create_map(*[y for i, cols in enumerate(spec.determinants) for y in (F.lit(i), F.lit("+".join(cols)))]) if spec.determinants else F.create_map(F.lit(-1), F.lit(""))
+    cols = ["row_id", "field", "level", "o", "basis", "value", "source"]
+    found = got.select(
+        "row_id", "field", F.when(met, 0).otherwise(2).alias("level"), F.when(met, F.try_element_at(sure, F.concat_ws(" ", "rank", "field"))).otherwise(0.0).alias("o"),
+        F.when(met, F.concat(F.try_element_at(name, F.col("rank")), F.lit(" n="), F.col("seen"))).alias("basis"), "value", F.when(met, "dependency").otherwise("none").alias("source"),
+    )
+    by_group = _group_values(x, spec)
+    if by_group is not None:
+        label = F.create_map(*[y for i, _, c in spec.levels() for y in (F.lit(i), F.lit("+".join(c) or "all"))])
+        found = found.unionByName(by_group.select("row_id", "field", F.lit(1).alias("level"), F.col("rank").cast("double").alias("o"), F.concat(label[F.col("rank")], F.lit(" n="), F.col("n")).alias("basis"), "value", F.lit("group").alias("source")))
+    first = F.min(F.struct(*cols[2:])).alias("m")
+    return found.groupBy("row_id", F.col("field").alias("field_name")).agg(first).select("row_id", "field_name", "m.value", "m.source", "m.basis")
 
 
 def fill_table(df: DataFrame, spec: FillSpec) -> DataFrame:

@@ -11,30 +11,33 @@ from trellis.operators.quantiles import key_profile
 from trellis.session import cut, table
 
 
-def patient_fill_spec() -> FillSpec:
+def patient_fill_spec(spark: SparkSession, d: str) -> FillSpec:
+    terms = table(spark, d, "canonical_terms").select("field_name", F.col("term").alias("name"), F.explode(F.array_union(F.array("term"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form"))
     numeric = [("cancer_type", "sample_type", "gene_panel", "quarter"), ("cancer_type", "gene_panel"), ("cancer_type",), ("quarter",), ()]
     return FillSpec(
         id_col="row_id",
         fields={"tmb": Number(0, 500), "tumor_purity": Number(1, 100), "cancer_type": Category()},
         determinants=[("sample_id",), ("patient_id",), ("cancer_type_detailed",), ("primary_site",), ("cancer_type_detailed", "primary_site"), ("patient_id", "month")],
         groups={"tmb": numeric, "tumor_purity": numeric, "cancer_type": [("primary_site", "sex"), ("primary_site",), ("sex",), ()]},
+        canonical={c: terms.where(F.col("field_name") == c) for c in ("cancer_type_detailed", "primary_site")},
         derived={"month": F.date_format("recorded_at", "yyyy-MM"), "quarter": F.date_trunc("quarter", F.col("recorded_at"))},
     )
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return fill_missing(table(spark, d, "msk_chord_patient_level"), patient_fill_spec()).select("row_id", "field_name")
+    """Every missing value, as the operator filled and marked it."""
+    return fill_missing(table(spark, d, "msk_chord_patient_level"), patient_fill_spec(spark, d)).where("source IS NOT NULL").select("row_id", "field_name")
 
 
 def p1_filled(spark: SparkSession, d: str) -> DataFrame:
     """The whole table with its three fields filled and marked."""
-    return fill_table(table(spark, d, "msk_chord_patient_level"), patient_fill_spec())
+    return fill_table(table(spark, d, "msk_chord_patient_level"), patient_fill_spec(spark, d))
 
 
 def p1_dependencies(spark: SparkSession, d: str) -> DataFrame:
-    spec = patient_fill_spec()
+    spec = patient_fill_spec(spark, d)
     report, _ = mine_dependencies(prepared(table(spark, d, "msk_chord_patient_level"), spec), spec)
-    return report.select("field", "determinant", "keys", "repeated_keys", F.round("confidence", 6).alias("confidence"), "verified")
+    return report.select("field", "determinant", "repeated_keys", "repeated_rows", F.round("confidence", 6).alias("confidence"), "verified")
 
 
 def _references(spark: SparkSession, d: str) -> list[Reference]:
