@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.operators.fill import NOTHING_KNOWN, Category, FillSpec, Number, fill_missing, fill_table, mine_dependencies, prepared
-from trellis.operators.orphans import Reference, orphan_report, orphans
+from trellis.operators.orphans import Reference, orphan_counts, orphans
 from trellis.operators.quantiles import key_profile
 from trellis.session import cut, table
 
@@ -53,7 +53,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    return orphan_report(orphans(_references(spark, d)))
+    return orphan_counts(_references(spark, d))
 
 
 TRIPLE_SIDES = [("s", "o"), ("o", "s")]
