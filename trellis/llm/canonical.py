@@ -1,14 +1,14 @@
 """Free-entered values mapped to the entries of a reference list, misses reported.
 
-A symmetric-delete dictionary of the reference forms (terms and aliases) goes to the workers; each distinct
-value of a batch is looked up once. Rows never move: the lookup is a map over the values where they lie.
+A symmetric-delete dictionary of the reference forms (terms and aliases) is broadcast to the workers. Values are counted
+first, each distinct one that is no term is looked up once, and the answers are joined back to the rows.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -16,21 +16,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trellis.session import BROADCAST_ROWS, cut
+
 #: Reference rows that one dictionary may hold; a longer list is looked up block by block, each of this size.
 BLOCK_TERMS = 20_000
-#: Distinct answers that a worker remembers; beyond that it starts anew.
-REMEMBERED = 100_000
 #: Leading characters that the delete neighbourhoods are made of.
 PREFIX = 12
 #: Neighbours on a keyboard, row by row; a slip to one costs less than another letter.
 KEY_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
-#: Words around a name that say how, how much or how surely, and stand for no entry. Fixed values.
-NOISE = frozenset(
-    "mg mcg ug g ml iu units inj injection iv po im sc oral generic brand tabs tab tablet tablets caps cap capsule capsules daily weekly monthly cycle support sodium hcl hydrochloride "
-    "dose q6h q8h q12h q24h bid tid qd qid prn plus with and the of hx history dx sx diagnosis probable possible likely suspected confirmed recurrent nos site biopsy left right l r grade g1 g2 g3 g4 s p status post new old known".split()
-)
-
-
 def _near() -> frozenset[tuple[str, str]]:
     out = set()
     for r, row in enumerate(KEY_ROWS):
@@ -122,13 +115,21 @@ class Dictionary:
         self.bag: dict[tuple[str, ...], list[Form]] = defaultdict(list)
         self.near: dict[str, list[Form]] = defaultdict(list)
         self.starts: dict[str, list[Form]] = defaultdict(list)
+        self.weight = defaultdict(int)  # of a word: in how many forms it is; of a word that is in none: 0
+        self.near_word: dict[str, set[str]] = defaultdict(set)
         for f in self.forms:
+            for w in set(f.tokens):
+                self.weight[w] += 1
             self.exact[f.text].append(f)
             self.bag[tuple(sorted(f.tokens))].append(f)
             for d in deletes(f.text, edits_allowed(len(f.text))):
                 self.near[d].append(f)
             for w in f.tokens if len(f.tokens) > 1 else ():
                 self.starts[w[0]].append(f)
+        self.weight = dict(self.weight)
+        for w in self.weight:
+            for d in deletes(w, edits_allowed(len(w))):
+                self.near_word[d].add(w)
         self.longest = max(longest, max((len(f.tokens) for f in self.forms), default=0))
         self.letters = max((len(f.text) for f in self.forms), default=0) + 3
 
@@ -145,6 +146,15 @@ class Dictionary:
         met = {id(f): (d[1], f) for f in seen.values() if (d := damerau(text, f.text, edits_allowed(len(f.text))))}
         return self._offer([f for _, f in met.values()], lambda f: met[id(f)][0], stage, length, run) if met else None
 
+    def _weighs(self, word: str) -> bool:
+        """A word has weight if it is in some form of the field, or within the allowed edits of one that is; a word with a digit only if it is in one."""
+        if word in self.weight:
+            return True
+        most = edits_allowed(len(word) + 1)
+        if not most or any(c.isdigit() for c in word) or len(word) > self.letters:
+            return False
+        return any(damerau(word, x, edits_allowed(len(x))) for x in {x for d in deletes(word, most) for x in self.near_word.get(d, ())})
+
     def _shortened(self, tokens: list[str]) -> set[int]:
         """The terms whose words these are, in order, some of them cut short or without inner letters (neopl, ca, jct, r); one word must be whole."""
 
@@ -159,7 +169,7 @@ class Dictionary:
         """(ref_id, weighted edits, how); ref_id 0 if the value means no entry.
 
         In order: the same letters and digits; the same words in another order; within the allowed edits;
-        words cut short; and then the same for what is left without the words of NOISE and numbers, then for every run of words
+        words cut short; and then the same for what is left without the words that have no weight in the reference, then for every run of words
         inside the value that is long enough to be no accident. Ties go to the more frequent term, then to the smaller id.
         """
         return settle(self.offers(value))
@@ -171,7 +181,7 @@ class Dictionary:
         if not w:
             return []
         out = []
-        for part, first in ((w, 0), ([x for x in w if x not in NOISE and not x[0].isdigit()], STAGES)):
+        for part, first in ((w, 0), ([x for x in w if self._weighs(x)], STAGES)):
             if part and (not first or part != w):
                 got, sure = self._one(part, first)
                 out += got
@@ -236,27 +246,21 @@ def settle(offers: Sequence[tuple]) -> tuple[int, float, str]:
 OFFER = "struct<stage:int,cost:double,size:int,run:int,freq:bigint,ref_id:int>"
 
 
-def _lookup(block: dict[str, list[tuple[int, str, list[str], int]]], longest: dict[str, int], last: bool):
-    """A vectorised lookup over one block's fields; dictionaries are built once a worker and field. last: the answer, else the offers."""
+def _lookup(books, last: bool):
+    """A vectorised lookup in books, a broadcast of one block's dictionaries by field. last: the answer, else the offers."""
+
+    def offers(fields: pd.Series, values: pd.Series) -> list:
+        return [books.value[f].offers(v) if f in books.value else [] for f, v in zip(fields, values)]
+
+    @F.pandas_udf("struct<ref_id:int,cost:double,how:string>")
+    def answer(fields: pd.Series, values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([settle(o) for o in offers(fields, values)], columns=["ref_id", "cost", "how"]).astype({"ref_id": "int32"})
 
-    @F.pandas_udf("struct<ref_id:int,cost:double,how:string>" if last else f"array<{OFFER}>")
-    def find(values: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        books, known = {}, {}
-        for fields, v in values:
-            if len(known) > REMEMBERED:
-                known.clear()
-            rows = []
-            for key in zip(fields, v):
-                if key not in known:
-                    f, u = key
-                    if f in block and f not in books:
-                        books[f] = Dictionary(block[f], longest.get(f, 0))
-                    got = books[f].offers(u) if f in books else []
-                    known[key] = settle(got) if last else [dict(zip(("stage", "cost", "size", "run", "freq", "ref_id"), o)) for o in got]
-                rows.append(known[key])
-            yield pd.DataFrame(rows, columns=["ref_id", "cost", "how"]).astype({"ref_id": "int32"}) if last else pd.Series(rows, dtype=object)
+    @F.pandas_udf(f"array<{OFFER}>")
+    def several(fields: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("stage", "cost", "size", "run", "freq", "ref_id"), o)) for o in of] for of in offers(fields, values)], dtype=object)
 
-    return find
+    return answer if last else several
 
 
 def _settled(offers: Column) -> Column:
@@ -283,17 +287,20 @@ def map_to_list(values: DataFrame, reference: DataFrame, block_terms: int = BLOC
     give no row, nor do values written exactly as a term of their field. A value of a field without reference rows is unmatched.
     Blank values are unmatched. Very long values are read to their end, in time linear in their length.
     Repeated rows come out as often as they are there. The reference is collected in blocks of block_terms
-    rows; each block is one map over the values that offers its candidates, and settle takes of all blocks' the
-    one that a single dictionary would give.
+    rows, each broadcast as one dictionary; each block offers its candidates for the distinct values, and settle takes of all blocks' the
+    one that a single dictionary would give. Counting values combines map-side, so one that a third of all rows hold is one row a task;
+    the answers go back to the rows by a broadcast if they were counted and are few, else by a shuffle join.
     """
     x = values.select("row_id", "field_name", "item_no", F.col("value").cast("string").alias("value")).where("value IS NOT NULL AND value <> ''")
     ref = reference.select(F.col("ref_id").cast("int").alias("ref_id"), "field_name", "term", "aliases").where("ref_id IS NOT NULL AND term IS NOT NULL AND field_name IS NOT NULL")
     size = ref.count()
     if not size:
         return x.select("row_id", "field_name", "item_no", "value", F.lit(0).alias("ref_id"), F.lit(0.0).alias("cost"), F.lit("none").alias("how"))
-    terms = ref.select(F.col("field_name").alias("f"), F.col("term").alias("t")).distinct()
-    counts = x.join(F.broadcast(terms) if size <= block_terms else terms, (F.col("field_name") == F.col("f")) & (F.col("value") == F.col("t"))).groupBy("field_name", F.col("value").alias("term")).count()
-    ref = ref.join(counts, ["field_name", "term"], "left").select("ref_id", "field_name", "term", "aliases", F.coalesce("count", F.lit(0)).alias("freq"))
+    small = F.broadcast if size <= block_terms else (lambda y: y)
+    terms = ref.select("field_name", F.col("term").alias("value"), F.lit(True).alias("is_term")).distinct()
+    counted = cut(x.groupBy("field_name", "value").agg(F.count(F.lit(1)).alias("times")).join(small(terms), ["field_name", "value"], "left"))
+    freq = counted.where("is_term").select("field_name", F.col("value").alias("term"), "times")
+    ref = ref.join(freq, ["field_name", "term"], "left").select("ref_id", "field_name", "term", "aliases", F.coalesce("times", F.lit(0)).alias("freq"))
     one = size <= block_terms
     if one:
         ref = ref.withColumn("longest", F.lit(0))
@@ -301,17 +308,20 @@ def map_to_list(values: DataFrame, reference: DataFrame, block_terms: int = BLOC
         ref = ref.join(ref.groupBy("field_name").agg(F.max(_most_words(F.col("term"), F.col("aliases"))).alias("longest")), "field_name")
     n = -(-size // block_terms) * 2
     blocks = [ref] if one else [ref.where(F.pmod(F.hash("ref_id"), F.lit(n)) == b) for b in range(n)]
-    typed = x.join(F.broadcast(terms) if size <= block_terms else terms, (F.col("field_name") == F.col("f")) & (F.col("value") == F.col("t")), "left_anti")
-    columns = []
+    typed, columns = counted.where("is_term IS NULL").select("field_name", "value"), []
     for block in blocks:
         rows, longest = defaultdict(list), {}
         for r in block.collect():  # at most about block_terms rows
             rows[r["field_name"]].append((r["ref_id"], r["term"], list(r["aliases"] or []), int(r["freq"])))
             longest[r["field_name"]] = r["longest"]
         if rows:
-            columns.append(_lookup({f: sorted(x) for f, x in rows.items()}, longest, one)("field_name", "value"))
-    typed = typed.withColumn("best", columns[0] if one else _settled(F.concat(*columns)))
-    return typed.select("row_id", "field_name", "item_no", "value", "best.ref_id", "best.cost", "best.how")
+            books = x.sparkSession.sparkContext.broadcast({f: Dictionary(sorted(y), longest[f]) for f, y in rows.items()})
+            columns.append(_lookup(books, one)("field_name", "value"))
+    tasks = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = typed.repartition(tasks, "field_name", "value")  # a lookup costs far more than a row's way, so the few bytes are not put together again
+    found = spread.withColumn("best", columns[0] if one else _settled(F.concat(*columns)))
+    found = cut(found.select("field_name", "value", "best.ref_id", "best.cost", "best.how"))
+    return x.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, ["field_name", "value"]).select("row_id", "field_name", "item_no", "value", "ref_id", "cost", "how")
 
 
 def unmatched_report(mapped: DataFrame) -> DataFrame:

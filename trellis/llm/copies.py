@@ -17,7 +17,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.session import cut
+from trellis.session import cut, stored
+
+#: Rows of one range on average; more rows make more ranges.
+RANGE_ROWS = 2_000_000
 
 
 def _is_ascii(c: Column) -> Column:
@@ -144,8 +147,10 @@ def _scan_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sorted(records: DataFrame) -> DataFrame:
-    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return records.select("record", "id").repartitionByRange(n, "record", "id").sortWithinPartitions("record", "id")
+    """The records in order over ranges of about RANGE_ROWS rows. They are stored first, as finding the ranges reads them once more."""
+    r = stored(records.where("record IS NOT NULL").select("record", "id"))
+    n = max(int(r.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-r.count() // RANGE_ROWS))
+    return r.repartitionByRange(n, "record", "id").sortWithinPartitions("record", "id")
 
 
 def _moved(edges: DataFrame) -> DataFrame:
@@ -160,7 +165,7 @@ def copy_pairs(records: DataFrame) -> DataFrame:
     Null records are left out by TripleRecord; here they would be one record. Rows that repeat an id give no
     pair with themselves. An empty table gives no rows; records of any length are compared in full.
     """
-    scan = cut(_sorted(records.where("record IS NOT NULL")).mapInArrow(_scan_pairs, "keep bigint, copy bigint, edge string"))
+    scan = cut(_sorted(records).mapInArrow(_scan_pairs, "keep bigint, copy bigint, edge string"))
     moved = _moved(scan.where("edge IS NOT NULL"))
     pairs = scan.where("copy IS NOT NULL").select("keep", "copy")
     found = pairs.join(F.broadcast(moved), "keep", "left").select(F.coalesce("real", "keep").alias("keep_id"), F.col("copy").alias("copy_id"))
@@ -169,7 +174,7 @@ def copy_pairs(records: DataFrame) -> DataFrame:
 
 def collapse(records: DataFrame) -> DataFrame:
     """records (id, record): keep_id and copies (rows of the record, itself included), one row per record. Edge cases as in copy_pairs."""
-    scan = cut(_sorted(records.where("record IS NOT NULL")).mapInArrow(_scan_counts, "keep bigint, n bigint, edge string"))
+    scan = cut(_sorted(records).mapInArrow(_scan_counts, "keep bigint, n bigint, edge string"))
     moved = _moved(scan.where("edge IS NOT NULL"))
     inner = scan.where("edge IS NULL").select(F.col("keep").alias("keep_id"), F.col("n").alias("copies"))
     outer = scan.where("edge IS NOT NULL").join(F.broadcast(moved), "keep", "left").groupBy(F.coalesce("real", "keep").alias("keep_id")).agg(F.sum("n").alias("copies"))

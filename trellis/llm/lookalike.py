@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 import pyarrow as pa
@@ -38,12 +38,14 @@ INVISIBLE = (
 class _Table(dict):
     """A translation that works a character out when it first occurs."""
 
+    def __init__(self, others: Mapping[str, str]):
+        self.others = others
+
     def __missing__(self, cp: int) -> str | None:
         out = self[cp] = self.of(chr(cp), cp)
         return out
 
-    @staticmethod
-    def of(c: str, cp: int) -> str | None:
+    def of(self, c: str, cp: int) -> str | None:
         if cp < 0x80:
             return c
         if any(a <= cp <= b for a, b in INVISIBLE):
@@ -56,45 +58,63 @@ class _Table(dict):
         apart = unicodedata.normalize("NFKD", c)
         if how.startswith("<compat> 0020"):
             return c  # an accent standing alone
-        return "".join(SIGNS.get(x) or LOOKALIKES.get(x, x) for x in apart)
+        return "".join(SIGNS.get(x) or LOOKALIKES.get(x) or self.others.get(x, x) for x in apart)
+
+
+def confusables(path: str) -> dict[str, str]:
+    """Further letters with the shape of an ASCII letter, read from a file of the public confusables data (lines source ; target ; type # comment).
+
+    Only single letters outside ASCII whose target is one ASCII letter of the same case are taken, and no lower-case Greek
+    ones, most of which have a shape of their own that the data sets equal to a Latin letter.
+    """
+    out = {}
+    with open(path, encoding="utf-8-sig") as f:
+        for line in f:
+            parts = [p.strip() for p in line.split("#")[0].split(";")]
+            if len(parts) < 2 or " " in parts[0] or " " in parts[1] or not parts[0] or not parts[1]:
+                continue
+            c, t = chr(int(parts[0], 16)), chr(int(parts[1], 16))
+            greek = unicodedata.name(c, "").startswith("GREEK SMALL")
+            if c.isalpha() and not c.isascii() and t.isascii() and t.isalpha() and c.isupper() == t.isupper() and not greek:
+                out[c] = t
+    return out
+
 
+_TABLES: dict[frozenset, _Table] = {}
 
-_TABLE = _Table()
 
+def table_of(others: Mapping[str, str] | None = None) -> _Table:
+    key = frozenset((others or {}).items())
+    if key not in _TABLES:
+        _TABLES[key] = _Table(dict(key))
+    return _TABLES[key]
 
-def normal(s: str) -> str:
+
+def normal(s: str, table: _Table | None = None) -> str:
     """The one form of all texts that look like s; case, accents, raised digits and ASCII characters stay as they are."""
     if s.isascii():
         return s
-    return unicodedata.normalize("NFC", s.translate(_TABLE))
+    return unicodedata.normalize("NFC", s.translate(table_of() if table is None else table))
 
 
-def folded(s: str) -> str:
+def folded(s: str, table: _Table | None = None) -> str:
     """normal(s) in full case folding, composed again."""
-    n = normal(s).casefold()
+    n = normal(s, table).casefold()
     return n if n.isascii() else unicodedata.normalize("NFC", n)
 
 
-def _per_distinct(values: pd.Series, f) -> pd.Series:
-    codes, uniques = pd.factorize(values)
-    done = [f(u) for u in uniques]
-    return pd.Series([done[c] if c >= 0 else None for c in codes], dtype=object)
-
+def normalised(df: DataFrame, column: str, into: str | None = None, fold: bool = True, others: Mapping[str, str] | None = None) -> DataFrame:
+    """df with column (or into) holding the one form of each text; fold also folds case, others are further look-alike letters (see confusables). Null stays null."""
+    pairs = dict(others or {})
 
-@F.pandas_udf(T.StringType())
-def normal_udf(values: pd.Series) -> pd.Series:
-    return _per_distinct(values, normal)
+    @F.pandas_udf(T.StringType())
+    def form(values: pd.Series) -> pd.Series:
+        table, f = table_of(pairs), folded if fold else normal
+        codes, uniques = pd.factorize(values)  # once per distinct value
+        done = [f(u, table) for u in uniques]
+        return pd.Series([done[c] if c >= 0 else None for c in codes], dtype=object)
 
-
-@F.pandas_udf(T.StringType())
-def folded_udf(values: pd.Series) -> pd.Series:
-    return _per_distinct(values, folded)
-
-
-def normalised(df: DataFrame, column: str, into: str | None = None, fold: bool = True) -> DataFrame:
-    """df with column (or into) holding the one form of each text; fold also folds case. Null stays null."""
-    f = folded_udf if fold else normal_udf
-    return df.withColumn(into or column, f(F.col(f"`{column}`").cast("string")))
+    return df.withColumn(into or column, form(F.col(f"`{column}`").cast("string")))
 
 
 def _digest(s: str) -> bytes:
@@ -104,47 +124,53 @@ def _digest(s: str) -> bytes:
 _PRINTS = pa.schema([("id", pa.int64()), ("look", pa.binary()), ("exact", pa.binary()), ("text", pa.binary())])
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        d = b.column(1).dictionary_encode()
-        looks, exacts, texts = [], [], []
-        for v in d.dictionary.to_pylist():
-            n = normal(v)
-            c = n.casefold()
-            looks.append(_digest(c if c.isascii() else unicodedata.normalize("NFC", c)))
-            exacts.append(_digest(n))
-            texts.append(_digest(v))
-        at = d.indices
-        yield pa.record_batch([b.column(0), *[pa.array(x, pa.binary()).take(at) for x in (looks, exacts, texts)]], schema=_PRINTS)
-
-
-def fingerprints(df: DataFrame, id_col: str, column: str) -> DataFrame:
+def fingerprints(df: DataFrame, id_col: str, column: str, others: Mapping[str, str] | None = None) -> DataFrame:
     """id, and 128-bit digests of each non-null text: look (its folded form), exact (its form with case) and text (itself). Texts stay where they are."""
+    pairs = dict(others or {})
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = table_of(pairs)
+        for b in batches:
+            d = b.column(1).dictionary_encode()
+            looks, exacts, texts = [], [], []
+            for v in d.dictionary.to_pylist():
+                n = normal(v, table)
+                c = n.casefold()
+                looks.append(_digest(c if c.isascii() else unicodedata.normalize("NFC", c)))
+                exacts.append(_digest(n))
+                texts.append(_digest(v))
+            at = d.indices
+            yield pa.record_batch([b.column(0), *[pa.array(x, pa.binary()).take(at) for x in (looks, exacts, texts)]], schema=_PRINTS)
+
     x = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{column}`").cast("string").alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
-    return x.mapInArrow(_prints, "id bigint, look binary, exact binary, text binary")
+    return x.mapInArrow(prints, "id bigint, look binary, exact binary, text binary")
 
 
-def same_looking(df: DataFrame, id_col: str, column: str) -> DataFrame:
+def same_looking(df: DataFrame, id_col: str, column: str, others: Mapping[str, str] | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of ids whose texts differ but look the same.
 
     Candidates agree in the operator's folded form; the exact check then holds their forms with case, in which
     raised digits, accents and Greek letters of their own shape differ. Equal texts are no case, nor are null
-    texts; an empty text and one of invisible characters alone look the same. Only classes with at least two
-    different texts leave the first aggregation, whose state is two digests a class however many rows it has; a class that holds
-    a third of all rows is split by Spark's skew join, its pairs being the result asked for.
+    texts; an empty text and one of invisible characters alone look the same. Equal texts collapse to one row each before anything is paired, so
+    plain repeats are never compared: of a class the different texts are paired, and only those pairs are given out for each
+    of their documents. A class that holds a third of all rows is split by Spark's skew join, its pairs being the result asked for.
     """
-    x = cut(fingerprints(df, id_col, column))  # 56 bytes a row, so that texts are read once
-    mixed = x.groupBy("look", "exact").agg(F.min("text").alias("t0"), F.max("text").alias("t1")).where("t0 <> t1").select("look", "exact")
-    y = x.join(mixed, ["look", "exact"], "left_semi")
-    a, b = (y.select(F.col("look").alias(f"l{i}"), F.col("exact").alias(f"e{i}"), F.col("text").alias(f"t{i}"), F.col("id").alias(i)) for i in "ab")
-    return a.join(b, (F.col("la") == F.col("lb")) & (F.col("ea") == F.col("eb")) & (F.col("ta") != F.col("tb")) & (F.col("a") < F.col("b"))).select("a", "b")
-
-
-def look_classes(df: DataFrame, id_col: str, column: str) -> DataFrame:
+    x = cut(fingerprints(df, id_col, column, others))  # 56 bytes a row, so that texts are read once
+    texts = x.select("look", "exact", "text").distinct()  # combines map-side
+    mixed = texts.groupBy("look", "exact").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("look", "exact")
+    texts = cut(texts.join(mixed, ["look", "exact"], "left_semi"))
+    a, b = (texts.select("look", "exact", F.col("text").alias(t)) for t in ("ta", "tb"))
+    pairs = a.join(b, ["look", "exact"]).where("ta < tb").select("ta", "tb")
+    docs = x.join(texts.select("text"), "text", "left_semi").select("id", "text")
+    met = pairs.join(docs.withColumnsRenamed({"id": "i", "text": "ta"}), "ta").join(docs.withColumnsRenamed({"id": "j", "text": "tb"}), "tb")
+    return met.where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+
+
+def look_classes(df: DataFrame, id_col: str, column: str, others: Mapping[str, str] | None = None) -> DataFrame:
     """One row per id with a text: id, class_id (the smallest id of those that look the same) and variants (different texts in the class)."""
-    x = cut(fingerprints(df, id_col, column))
+    x = cut(fingerprints(df, id_col, column, others))
     sizes = x.groupBy("look", "exact", "text").agg(F.min("id").alias("id")).groupBy("look", "exact").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("variants"))
     return x.join(sizes, ["look", "exact"]).select("id", "class_id", "variants")
 
 
-__all__ = ["INVISIBLE", "LOOKALIKES", "SIGNS", "fingerprints", "folded", "look_classes", "normal", "normalised", "same_looking"]
+__all__ = ["INVISIBLE", "LOOKALIKES", "SIGNS", "confusables", "fingerprints", "folded", "look_classes", "normal", "normalised", "same_looking"]
