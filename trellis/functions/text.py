@@ -38,28 +38,58 @@ def norm_predicate(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.replace(F.lower(trimmed(F.coalesce(c, F.lit("")))), F.lit("_"), F.lit("-")), r"\s+", "-"), r"-+", "-")
 
 
-#: Passes of clean_text in their order. What is dropped is LaTeX packages, citations, times of day (with a specimen), doses and commands.
+#: White space of any script, as a character class.
+SPACE = r"[\t-\r\x1C-\x20\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+#: Passes of clean_text in their order, pattern and replacement. What is dropped is LaTeX packages, citations with and without a year, times of day
+#: (alone, then with a specimen, of which the first leaves the second nothing but what it is), doses and LaTeX commands; then all but ASCII letters, digits, hyphens and slashes becomes a blank.
 CLEANING = (
-    (r"(?i)\\usepackage\{[^}]*\}", " "),
-    (r"(?i)\b([a-z]+ )?(et al\.?|al\.?),? \(?\d{4}[a-z]?\)?", " "),
-    (r"(?i)\b(et al|al)\b\.?", " "),
-    (r"(?i)\b\d{1,2}:\d{2}( ?[ap]m)?\b", " "),
-    (r"(?i)\b\d+ ?(mg|g|mcg|ug|ml|iu)\b", " "),
-    (r"\\[a-zA-Z]+", " "),
-    (r"[^a-zA-Z0-9\s\-/]", " "),
-    (r"\s+", " "),
+    (r"\\usepackage\{[^}]+\}", ""),
+    (r"(?iuU)\b([a-z]+ )?(et al|al)\s*\d{4}[a-z]?\b", ""),
+    (r"(?iuU)\b(et al|al)\b", ""),
+    (r"(?iuU)\b\d{1,2}(\s?\d{2})?\s?(am|pm)\b", ""),
+    (r"(?iuU)\b\d{1,2}(\s?\d{2})?\s?(am|pm)\s+(blood|urine|serum|plasma)\b", ""),
+    (r"(?iuU)\b\d+\s?(mg|g|mcg|ug|ml|iu)\b", ""),
+    (r"\\[a-zA-Z]+", ""),
+    (r"[^a-zA-Z0-9\-/]+", " "),
 )
+#: The short variant. Fixed values.
+CLEANING_SHORT = (CLEANING[0], CLEANING[6], CLEANING[7])
 
 
 def clean_text(c: Column, passes=CLEANING) -> Column:
+    """c after the passes, trimmed, in lower case; null stays null."""
     for pattern, by in passes:
         c = F.regexp_replace(c, pattern, by)
     return F.lower(F.trim(c))
 
 
 def words(c: Column) -> Column:
-    """Non-empty runs of letters and digits of lower-case text."""
-    return F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != "")
+    """Non-empty runs of letters, marks and digits of any script, in lower case."""
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{M}\p{Nd}]+"), lambda w: w != "")
+
+
+def tokens(c: Column) -> Column:
+    """Parts between white space."""
+    return F.filter(F.split(c, SPACE + "+"), lambda w: w != "")
+
+
+#: Plural nouns whose singular no ending tells. Fixed values.
+IRREGULAR = {
+    "mice": "mouse", "feet": "foot", "teeth": "tooth", "children": "child", "men": "man", "women": "woman", "vertebrae": "vertebra", "metastases": "metastasis", "diagnoses": "diagnosis", "prognoses": "prognosis",
+    "bacteria": "bacterium", "criteria": "criterion", "phenomena": "phenomenon", "nuclei": "nucleus", "stimuli": "stimulus", "foci": "focus", "data": "datum", "indices": "index", "biopsies": "biopsy",
+}
+
+
+def singularize(c: Column, lemmas: Mapping[str, str] = IRREGULAR) -> Column:
+    """Each word between blanks in the singular: by the dictionary of lemmas (a parameter), else by its ending; words in ss, us, is and of up to three letters stay."""
+
+    def one(w: Column) -> Column:
+        stays = (F.length(w) <= 3) | w.rlike("(ss|us|is)$")
+        es = F.when(w.rlike("[^aeiou]ies$"), F.regexp_replace(w, "ies$", "y")).when(w.rlike("(x|z|ch|sh|ss)es$"), F.regexp_replace(w, "es$", "")).when(w.rlike("s$"), F.regexp_replace(w, "s$", ""))
+        return F.coalesce(lookup(w, lemmas), F.when(~stays, es), w)
+
+    return F.array_join(F.transform(tokens(F.coalesce(c, F.lit(""))), one), " ")
 
 
 def ngrams(w: Column, lo: int, hi: int) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Collection, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from trellis.functions.text import ngrams, words
 from trellis.operators.ranking import global_index, top_per_key
 from trellis.session import BROADCAST_ROWS, cut
 
+#: Slots of the tables that n-grams are sifted by.
+SLOTS = 1 << 20
+
 #: The English stop words of the reference's vectorizer (scikit-learn's list). Fixed values.
 STOP_WORDS = frozenset(
     (
@@ -37,15 +41,17 @@ def document_lines(lines: DataFrame, with_title: bool = False) -> DataFrame:
 
 
 def domain_filter(text: Column, keywords: Sequence[str]) -> Column:
-    """Any of the keywords occurs, whatever the case."""
-    return F.lower(text).rlike("|".join(k.lower() for k in keywords))
+    """Any of the keywords occurs as it is written, whatever the case; no keywords match nothing."""
+    return reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(k.lower())) for k in keywords], F.lit(False))
 
 
-def term_counts(docs: DataFrame, id_col: str, class_col: str, text_col: str, lo: int = 1, hi: int = 1, stop: Collection[str] = (), min_docs: int = 1) -> DataFrame:
-    """How often each n-gram occurs in each class: class, term, n. Words of stop are dropped first, n-grams of fewer than min_docs documents (rows of docs with a class) last."""
+def term_counts(docs: DataFrame, id_col: str, class_col: str, text_col: str, lo: int = 1, hi: int = 1, stop: Collection[str] = (), min_docs: int = 1, min_chars: int = 1) -> DataFrame:
+    """How often each n-gram occurs in each class: class, term, n. Words of stop and of fewer than min_chars characters are dropped first, n-grams of fewer than min_docs documents (rows of docs with a class) last."""
     w = words(F.col(text_col))
     if stop:
         w = F.filter(w, lambda x: ~x.isin(*sorted(stop)))
+    if min_chars > 1:
+        w = F.filter(w, lambda x: F.length(x) >= min_chars)
     grams = ngrams(w, lo, hi)
     x = docs.where(F.col(class_col).isNotNull())
     if min_docs <= 1:
@@ -107,7 +113,8 @@ def evidence(concepts: DataFrame, docs: DataFrame, id_col: str, text_col: str, c
 
     Instead of a regular expression for every pair, documents explode into their distinct n-grams (as many words as
     concepts have, at most max_words), those that are concepts are kept where they arise, and the rest is an equality join.
-    A concept of more words is met by the rarest of its n-grams of max_words words and then sought whole in the document.
+    A concept of more words is met by the rarest of its n-grams of max_words words and then sought whole in the document. Concepts beyond
+    BROADCAST_ROWS meet the n-grams by a shuffle, from which two broadcast tables of hash slots keep most n-grams that are no concept.
     """
     c = cut(concepts.select("concept", F.array_join(words(F.col("concept")), " ").alias("phrase")).where("phrase <> ''").distinct())
     length = F.size(F.split("phrase", " "))
@@ -119,14 +126,24 @@ def evidence(concepts: DataFrame, docs: DataFrame, id_col: str, text_col: str, c
     def grams(lo: int, hi: int) -> Column:
         return F.explode(F.array_distinct(ngrams(F.col("w"), lo, hi))).alias("gram")
 
-    met = text.select("doc", grams(1, size["short"] or 1)).join(hint(c.where(length <= max_words).withColumnRenamed("phrase", "gram")), "gram").select("concept", "doc")
+    def likely(x: DataFrame, wanted: DataFrame) -> DataFrame:
+        """x without most n-grams that no concept has, before anything moves: two hash slots of each must be taken. Lossless; a slot table has at most SLOTS rows whatever the concepts are."""
+        if small:
+            return x
+        for seed in (1, 2):
+            slot = F.pmod(F.xxhash64("gram", F.lit(seed)), F.lit(SLOTS)).cast("int")
+            x = x.withColumn("slot", slot).join(F.broadcast(wanted.select(slot.alias("slot")).distinct()), "slot", "left_semi").drop("slot")
+        return x
+
+    brief = c.where(length <= max_words).withColumnRenamed("phrase", "gram")
+    met = likely(text.select("doc", grams(1, size["short"] or 1)), brief).join(hint(brief), "gram").select("concept", "doc")
     if (size["longest"] or 0) > max_words:
-        long = hint(_anchored(c.where(length > max_words), max_words))
+        long = hint(cut(_anchored(c.where(length > max_words), max_words)))
         whole, sought = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")), F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))
         if small:  # documents stay where they are
             held = text.select("doc", "w", grams(max_words, max_words)).join(long, "gram").where(F.contains(whole, sought))
         else:  # n-grams move without their documents, which then meet the candidates once
-            found = text.select("doc", grams(max_words, max_words)).join(long, "gram").select("concept", "phrase", "doc")
+            found = likely(text.select("doc", grams(max_words, max_words)), long).join(long, "gram").select("concept", "phrase", "doc")
             held = found.join(text.select(F.col("doc").alias("of"), whole.alias("t")), (F.col("doc") == F.col("of")) & F.contains(F.col("t"), sought), "left_semi")
         met = met.unionByName(held.select("concept", "doc"))
     if cap is None:
@@ -139,7 +156,9 @@ def fuzzy_evidence(concepts: DataFrame, docs: DataFrame, id_col: str, text_col:
 
     Sharing a word is no condition of partial similarity, so concepts, a stated list, meet all documents; they must be few.
     """
-    c = concepts.select("concept").distinct().limit(BROADCAST_ROWS)
+    c = concepts.select("concept").where("concept IS NOT NULL").distinct()
+    if c.count() > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} concepts to be compared with every document")
     x = docs.select(F.col(id_col).alias("doc"), F.lower(F.col(text_col)).alias("t")).where("t <> ''").join(F.broadcast(c))
     return x.select("concept", "doc", F.round(partial_ratio_udf("concept", "t"), 6).alias("score")).where(F.col("score") >= least)
 

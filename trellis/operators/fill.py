@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis.operators.quantiles import exact_quantiles
-from trellis.session import BROADCAST_ROWS, cut
+from trellis.session import BROADCAST_ROWS, cut, stored
 
 #: What a text says when it only says that nothing is known or recorded, compared in lower case by letters and digits alone.
 NOTHING_KNOWN = (
@@ -19,6 +19,14 @@ NOTHING_KNOWN = (
 )
 
 
+#: White space at the ends of a value.
+WHITE = " \t\n\r\f\v"
+
+
+def _plain(v: Column) -> Column:
+    return F.lower(F.regexp_replace(v, r"[^\p{L}\p{Nd}]+", " "))
+
+
 @dataclass(frozen=True)
 class Number:
     """A numeric field: missing if null, NaN, unreadable or outside [low, high]."""
@@ -38,9 +46,13 @@ class Category:
     keep: tuple[str, ...] = ()
 
     def value(self, c: Column) -> Column:
-        v = F.btrim(c.cast("string"), F.lit(" \t\n\r\f\v"))
-        bare = F.lower(F.regexp_replace(v, r"[^\p{L}\p{Nd}]+", ""))
-        return F.when(v.isin(*self.keep) | ~bare.isin(*NOTHING_KNOWN), v) if self.keep else F.when(~bare.isin(*NOTHING_KNOWN), v)
+        v = F.btrim(c.cast("string"), F.lit(WHITE))
+        return F.when(self.known(v, _plain(v)), v)
+
+    def known(self, v: Column, plain: Column) -> Column:
+        """Whether a trimmed value says something; plain is its form for comparison: lower case, letters and digits, single blanks between."""
+        says = ~F.replace(plain, F.lit(" "), F.lit("")).isin(*NOTHING_KNOWN)
+        return (v.isin(*self.keep) | says) if self.keep else says
 
 
 @dataclass(frozen=True)
@@ -68,10 +80,6 @@ class FillSpec:
         return [(i, name, cols) for i, (name, cols) in enumerate((f, g) for f, gs in self.groups.items() for g in gs)]
 
 
-def _plain(v: Column) -> Column:
-    return F.lower(F.regexp_replace(v, r"[^\p{L}\p{Nd}]+", " "))
-
-
 def _small(df: DataFrame) -> DataFrame:
     """df for a join that broadcasts it only if it was counted and is small."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -79,25 +87,31 @@ def _small(df: DataFrame) -> DataFrame:
 
 def prepared(df: DataFrame, spec: FillSpec) -> DataFrame:
     """row_id, f_<field> (the cleaned value, null if missing) and per key set a<i>, b<i>: 96 bits of hash of its parts, null if a part is missing."""
+    # One select a step: the steps read each other's columns more than once, so they stay apart and each becomes a method of its own, small
+    # enough for the compiler of the JVM, which leaves a single large one interpreted.
     parts = sorted({c for k in spec.key_sets() for c in k})
-    sel = [F.col(f"`{spec.id_col}`").alias("row_id")]
-    sel += [kind.value(F.col(f"`{name}`")).alias(f"f_{name}") for name, kind in spec.fields.items()]
-    for c in parts:
-        if c in spec.derived:
-            sel.append(spec.derived[c].cast("string").alias(f"g_{c}"))
-        else:
-            kind = spec.fields.get(c, Category())
-            v = kind.value(F.col(f"`{c}`"))
-            sel.append((_plain(v) if isinstance(kind, Category) else v.cast("string")).alias(f"g_{c}"))
-    x = df.select(*sel)
+    kinds = {c: spec.fields.get(c, Category()) for c in [*spec.fields, *parts] if c not in spec.derived}
+    words = [c for c, k in kinds.items() if isinstance(k, Category)]
+    derived = {f"g_{c}": spec.derived[c].cast("string") for c in parts if c in spec.derived}
+    x = df.select(F.col(f"`{spec.id_col}`").alias("row_id"), *[F.col(f"`{c}`").alias(f"r_{c}") for c in kinds], *[v.alias(n) for n, v in derived.items()])
+    x = x.select("*", *[F.btrim(F.col(f"r_{c}").cast("string"), F.lit(WHITE)).alias(f"v_{c}") for c in words])
+    x = x.select("*", *[_plain(F.col(f"v_{c}")).alias(f"p_{c}") for c in words])
+    x = x.select("*", *[kinds[c].known(F.col(f"v_{c}"), F.col(f"p_{c}")).alias(f"k_{c}") for c in words])
+    number = lambda c: kinds[c].value(F.col(f"r_{c}"))
+    f = [(F.when(F.col(f"k_{c}"), F.col(f"v_{c}")) if c in words else number(c)).alias(f"f_{c}") for c in spec.fields]
+    g = [(F.when(F.col(f"k_{c}"), F.col(f"p_{c}")) if c in words else number(c).cast("string")).alias(f"g_{c}") for c in parts if c not in spec.derived]
+    x = x.select("row_id", *f, *g, *derived)
     for c, forms in spec.canonical.items():
         f = forms.select(_plain(F.col("form")).alias("__form"), _plain(F.col("name")).alias("__name")).where("__form IS NOT NULL AND __name IS NOT NULL").groupBy("__form").agg(F.min("__name").alias("__name"))
         x = x.join(_small(f), F.col(f"g_{c}") == F.col("__form"), "left").withColumn(f"g_{c}", F.coalesce("__name", f"g_{c}")).drop("__form", "__name")
+    x = x.select(*[f"f_{n}" for n in spec.fields], "row_id", *[h for c in parts for h in (F.when(F.col(f"g_{c}").isNotNull(), F.xxhash64(f"g_{c}")).alias(f"x_{c}"), F.hash(f"g_{c}").alias(f"y_{c}"))])
     keys = []
     for i, cols in enumerate(spec.key_sets()):
-        ps = [F.col(f"g_{c}") for c in cols] or [F.lit("*")]
-        whole = reduce(lambda a, b: a & b, [p.isNotNull() for p in ps])
-        keys += [F.when(whole, F.xxhash64(*ps)).alias(f"a{i}"), F.when(whole, F.hash(*ps)).alias(f"b{i}")]
+        if len(cols) == 1:
+            keys += [F.col(f"x_{cols[0]}").alias(f"a{i}"), F.col(f"y_{cols[0]}").alias(f"b{i}")]
+        else:
+            whole = reduce(lambda a, b: a & b, [F.col(f"x_{c}").isNotNull() for c in cols], F.lit(True))
+            keys += [F.when(whole, F.xxhash64(*[F.col(f"x_{c}") for c in cols] or [F.lit(0)])).alias(f"a{i}"), F.hash(*[F.col(f"y_{c}") for c in cols] or [F.lit(0)]).alias(f"b{i}")]
     return x.select("row_id", *[f"f_{n}" for n in spec.fields], *keys)
 
 
@@ -177,34 +191,38 @@ def _gaps(x: DataFrame, spec: FillSpec, pairs: Sequence[tuple[int, str, tuple[st
 def _group_values(x: DataFrame, spec: FillSpec) -> DataFrame | None:
     """The value of each gap's first group with min_group records: row_id, field, rank, value, n.
 
-    Groups are counted first; values are looked at only in groups that some gap needs."""
+    Groups are counted first, each key set once for all fields; values are looked at only in groups that some gap needs."""
     levels = spec.levels()
     if not levels:
         return None
-    have = F.array(*[F.when(F.col(f"f_{f}").isNotNull(), F.lit(f)) for f in spec.fields]).alias("have")
-    rows = _keyed(x, spec, [(r, c) for r, _, c in levels], have, *[F.col(f"f_{f}") for f in spec.fields])
-    of = F.create_map(*[y for r, f, _ in levels for y in (F.lit(r), F.lit(f))])
-    counts = rows.where(F.array_contains("have", of[F.col("rank")])).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= spec.min_group)
-    asked = _gaps(x, spec, levels, False).join(_small(cut(counts)), _KEY)
-    first = F.min(F.struct("rank", "a", "b", "n")).alias("m")
+    names, used = list(spec.fields), sorted({c for _, _, c in levels})
+    place = {c: i for i, c in enumerate(used)}
+    rows = _keyed(x, spec, list(enumerate(used)), *[F.col(f"f_{f}").isNotNull().alias(f"h{j}") for j, f in enumerate(names)])
+    counts = rows.groupBy(*_KEY).agg(*[F.count_if(f"h{j}").alias(f"n{j}") for j in range(len(names))])
+    counts = counts.where(reduce(lambda a, b: a | b, [F.col(f"n{j}") >= spec.min_group for j in range(len(names))]))
+    n = reduce(lambda a, j: F.when(F.col("field") == names[j], F.col(f"n{j}")).otherwise(a), range(len(names)), F.lit(None).cast("bigint"))
+    asked = _gaps(x, spec, levels, False).withColumnsRenamed({"rank": "level"})
+    asked = asked.withColumn("rank", F.element_at(F.array(*[F.lit(place[c]) for _, _, c in levels]), F.col("level") + 1))
+    asked = asked.join(_small(cut(counts)), _KEY).select("row_id", "field", "level", "rank", "a", "b", n.alias("n")).where(F.col("n") >= spec.min_group)
+    first = F.min(F.struct("level", "rank", "a", "b", "n")).alias("m")
     chosen = cut(asked.groupBy("row_id", "field").agg(first).select("row_id", "field", "m.*"))
-    needed = chosen.select(*_KEY).distinct()
-    rows = rows.join(_small(needed), _KEY, "left_semi")
+    needed = chosen.select("field", *_KEY).distinct()
+    sets = [r[0] for r in needed.select("rank").distinct().collect()]  # key sets that answer some gap
+    few = _small(needed)
     stats = None
-    number = {f for f, k in spec.fields.items() if isinstance(k, Number)}
-    for which in (True, False):
-        mine = [(r, f) for r, f, _ in levels if (f in number) == which]
-        if not mine:
+    for which, kind in ((Number, "double"), (Category, "string")):
+        mine = [f for f, k in spec.fields.items() if isinstance(k, which) and f in spec.groups]
+        if not mine or not sets:
             continue
-        kind = "double" if which else "string"
-        value = reduce(lambda a, b: F.when(F.col("rank").isin([r for r, f in mine if f == b]), F.col(f"f_{b}")).otherwise(a), sorted({f for _, f in mine}), F.lit(None).cast(kind))
-        v = rows.where(F.col("rank").isin([r for r, _ in mine])).select(*_KEY, value.alias("v")).where("v IS NOT NULL")
-        if which:
-            s = exact_quantiles(v, _KEY, "v", [0.5]).select(*_KEY, F.col("q").cast("string").alias("value"))
+        each = F.filter(F.array(*[F.when(F.col(f"f_{f}").isNotNull(), F.struct(F.lit(f).alias("field"), F.col(f"f_{f}").cast(kind).alias("v"))) for f in mine]), lambda y: y.isNotNull()).alias("each")
+        v = _keyed(x, spec, [(place[c], c) for c in used if place[c] in sets], each).select(*_KEY, F.explode("each").alias("y")).select("y.field", *_KEY, "y.v").join(few, ["field", *_KEY], "left_semi")
+        by = ["field", *_KEY]
+        if which is Number:
+            s = exact_quantiles(v, by, "v", [0.5]).select(*by, F.col("q").cast("string").alias("value"))
         else:
-            s = v.groupBy(*_KEY, "v").agg(F.count(F.lit(1)).alias("c")).groupBy(*_KEY).agg(F.min(F.struct((-F.col("c")).alias("c"), "v")).alias("m")).select(*_KEY, F.col("m.v").alias("value"))
+            s = v.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c")).groupBy(*by).agg(F.min(F.struct((-F.col("c")).alias("c"), "v")).alias("m")).select(*by, F.col("m.v").alias("value"))
         stats = s if stats is None else stats.unionByName(s)
-    return chosen.join(stats, _KEY).select("row_id", "field", "rank", "value", "n")
+    return None if stats is None else chosen.join(stats, ["field", *_KEY]).select("row_id", "field", F.col("level").alias("rank"), "value", "n")
 
 
 def fill_missing(df: DataFrame, spec: FillSpec) -> DataFrame:
@@ -218,7 +236,7 @@ def fill_missing(df: DataFrame, spec: FillSpec) -> DataFrame:
     be unique; rows that repeat one are filled each on their own keys and give one row together. Empty tables
     give no rows; very long texts are keys like any other, by 96 bits of hash; columns besides the named ones do not matter.
     """
-    x = cut(prepared(df, spec))  # read by every step; cleaning is the costly part
+    x = stored(prepared(df, spec))  # every step reads a few of its columns; cleaning is the costly part
     report, dictionary = mine_dependencies(x, spec)
     best = [(r["rank"], r["field"], r["determinant"], r["confidence"]) for r in report.where("verified").collect()]  # at most determinants times fields
     gaps = x.where(reduce(lambda a, b: a | b, [F.col(f"f_{f}").isNull() for f in spec.fields]))

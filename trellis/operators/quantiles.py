@@ -127,6 +127,23 @@ def select_ranks(df: DataFrame, keys: Sequence[str], value: str, hist: DataFrame
     return reduce(DataFrame.unionByName, done)
 
 
+def _partners(df: DataFrame, base: DataFrame, sides: Sequence[tuple[str, str | None]], restricted: bool) -> DataFrame:
+    """k0 (side), k1 (key), partners: distinct non-null partners. Pairs are made distinct spread over both columns, so no key is hot; two columns
+    that are each other's partners share one set of distinct pairs."""
+    if restricted:
+        pairs = base.where("partner IS NOT NULL").select(F.col("side").alias("k0"), F.col("key").alias("k1"), "partner").distinct()
+        return pairs.groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("partners"))
+    out = None
+    for x, y in dict.fromkeys(tuple(sorted(s)) for s in sides if s[1]):
+        of = [k for k, p in sides if p and {k, p} == {x, y}]
+        c = {n: F.col(f"`{n}`").cast("string") for n in (x, y)}
+        pairs = df.select(c[x].alias("x"), c[y].alias("y")).where("x IS NOT NULL AND y IS NOT NULL").distinct()
+        ends = pairs.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k0"), F.col("x" if k == x else "y").alias("k1")) for k in of])).alias("e")).select("e.*")
+        n = ends.groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("partners"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 def key_profile(
     df: DataFrame,
     sides: Sequence[tuple[str, str | None]],
@@ -153,9 +170,7 @@ def key_profile(
     hist = cut(key_histogram(base, ["side", "key"], "v"))
     out = hist.groupBy("k0", "k1").agg(F.sum("rows").alias("n_rows"), F.sum("n").alias("n_values"), F.sum("total").alias("value_sum"))
     if any(p for _, p in sides):
-        part = base.where("partner IS NOT NULL")
-        pairs = part.select(F.col("side").alias("k0"), F.col("key").alias("k1"), "partner").distinct()  # spread over both columns, so no key is hot
-        out = out.join(pairs.groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("partners")), ["k0", "k1"], "left")
+        out = out.join(_partners(df, base, sides, min_share > 0), ["k0", "k1"], "left")
     else:
         out = out.withColumn("partners", F.lit(None).cast("bigint"))
     if value and probs:

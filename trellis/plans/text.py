@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.functions import jsonx as J
-from trellis.functions.text import clean_text, count_label, words
+from trellis.functions.text import CLEANING_SHORT, clean_text, count_label, singularize, tokens
 from trellis.operators import evidence as E
 from trellis.operators import retrieval as R
 from trellis.session import cut, table
@@ -34,8 +34,8 @@ def terms(s: SparkSession, d: str) -> DataFrame:
 
 
 def topic_terms(s: SparkSession, d: str) -> DataFrame:
-    """1-3-grams without stop words that at least two documents hold."""
-    return cut(E.term_counts(docs(s, d), "doc_id", "source", "text", 1, 3, E.STOP_WORDS, 2))
+    """1-3-grams of words of at least two characters, without stop words, that at least two documents hold."""
+    return cut(E.term_counts(docs(s, d), "doc_id", "source", "text", 1, 3, E.STOP_WORDS, 2, 2))
 
 
 def vectors(s: SparkSession, d: str) -> DataFrame:
@@ -72,9 +72,11 @@ def aligned(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "docs_clean": lambda s, d: docs(s, d).select("doc_id", F.md5(clean_text(F.regexp_replace("text", r"[^\x00-\x7F]", " "))).alias("digest")),
+    "docs_clean": lambda s, d: docs(s, d).select("doc_id", F.md5(clean_text(F.col("text"))).alias("digest")),
+    "docs_clean_short": lambda s, d: docs(s, d).select("doc_id", F.md5(clean_text(F.col("text"), CLEANING_SHORT)).alias("digest")),
+    "docs_singular_titles": lambda s, d: docs(s, d).select("doc_id", singularize(F.lower("title")).alias("title")),
     "docs_min_length": lambda s, d: docs(s, d).where(F.length("text") >= 10).select("doc_id"),
-    "docs_min_words": lambda s, d: docs(s, d).where(F.size(words(F.col("text"))) >= 3).select("doc_id"),
+    "docs_min_words": lambda s, d: docs(s, d).where(F.size(tokens(F.col("text"))) >= 3).select("doc_id"),
     "docs_domain_filter": lambda s, d: docs(s, d).where(E.domain_filter(F.col("text"), KEYWORDS)).select("doc_id", "source"),
     "docs_source_stats": lambda s, d: docs(s, d).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest")),
     "docs_term_counts": lambda s, d: terms(s, d).where("n >= 20"),
@@ -93,31 +95,34 @@ QUERIES = {
     "count_labels": lambda s, d: docs(s, d).groupBy("source").agg(F.sum("n_chars").alias("chars")).select("source", count_label(F.col("chars")).alias("label")),
 }
 
-_W = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')"
+_WORDS = "list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}]+'), lambda w: w <> '')"
+_W = _WORDS.format(c="text")
 _TERMS = f"terms AS (SELECT source AS class, term, count(*) AS n FROM (SELECT source, unnest({_W}) AS term FROM documents) WHERE class IS NOT NULL GROUP BY 1, 2)"
-_IDF = f"WITH {_TERMS}, c AS (SELECT class, sum(n) AS words FROM terms GROUP BY 1), m AS (SELECT floor(avg(words)) AS a FROM c), f AS (SELECT term, sum(n) AS f FROM terms GROUP BY 1), w AS (SELECT class, term, round(n / words * ln(1 + a / f), 9) AS weight FROM terms JOIN c USING (class) JOIN f USING (term), m)"
+_WEIGHTS = "c AS (SELECT class, sum(n) AS words FROM terms GROUP BY 1), m AS (SELECT floor(avg(words)) AS a FROM c), f AS (SELECT term, sum(n) AS f FROM terms GROUP BY 1), w AS (SELECT class, term, round(n / words * ln(1 + a / f), 9) AS weight FROM terms JOIN c USING (class) JOIN f USING (term), m)"
+_IDF = f"WITH {_TERMS}, {_WEIGHTS}"
+_STOPS = ", ".join(f"'{w}'" for w in sorted(E.STOP_WORDS))
+_GRAMS = "SELECT {k}, unnest(w) AS term FROM d UNION ALL SELECT {k}, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d UNION ALL SELECT {k}, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM d"
+_TOPIC = f"""WITH d AS (SELECT source AS class, doc_id, list_filter({_W}, lambda w: length(w) >= 2 AND w NOT IN ({_STOPS})) AS w FROM documents WHERE source IS NOT NULL),
+g AS ({_GRAMS.format(k='class, doc_id')}), kept AS (SELECT term FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2),
+terms AS (SELECT class, term, count(*) AS n FROM g WHERE term IN (SELECT term FROM kept) GROUP BY ALL), {_WEIGHTS}"""
 _C = ", ".join(f"('{c}')" for c in CONCEPTS)
-_CLEAN = "regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g')"
-for _p, _by in (
-    (r"\\usepackage\{[^}]*\}", " "), (r"\b([a-z]+ )?(et al\.?|al\.?),? \(?\d{4}[a-z]?\)?", " "), (r"\b(et al|al)\b\.?", " "), (r"\b\d{1,2}:\d{2}( ?[ap]m)?\b", " "), (r"\b\d+ ?(mg|g|mcg|ug|ml|iu)\b", " "),
-    (r"\\[a-zA-Z]+", " "), (r"[^a-zA-Z0-9\s\-/]", " "), (r"\s+", " "),
-):
-    _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', '{_by}', 'gi')"
+_FOUND = f"""WITH d AS (SELECT doc_id, ' ' || array_to_string({_W}, ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL),
+c AS (SELECT concept, ' ' || array_to_string({_WORDS.format(c='concept')}, ' ') || ' ' AS phrase FROM (SELECT s AS concept FROM step_03 UNION SELECT o FROM step_03 UNION SELECT term FROM canonical_terms) WHERE concept IS NOT NULL),
+met AS (SELECT concept, doc_id FROM c JOIN d ON contains(t, phrase) WHERE trim(phrase) <> '')"""
 
 ORACLE = {
-    "docs_clean": f"SELECT doc_id, md5(lower(trim({_CLEAN}))) AS digest FROM documents WHERE lang = 'en'",
     "docs_min_length": "SELECT doc_id FROM documents WHERE length(text) >= 10",
-    "docs_min_words": f"SELECT doc_id FROM documents WHERE len({_W}) >= 3",
+    "docs_min_words": "SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(text, '[\\t-\\r\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda w: w <> '')) >= 3",
     "docs_domain_filter": f"SELECT doc_id, source FROM documents WHERE regexp_matches(lower(text), '{'|'.join(KEYWORDS)}')",
     "docs_source_stats": "SELECT source, lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, max(n_chars) AS longest FROM documents GROUP BY ALL",
     "docs_term_counts": f"WITH {_TERMS} SELECT * FROM terms WHERE n >= 20",
     "docs_ctfidf_topk": _IDF + " SELECT class, term, round(weight, 6) AS weight FROM w QUALIFY row_number() OVER (PARTITION BY class ORDER BY w.weight DESC, term) <= 10",
-    "docs_ctfidf_boosted": _IDF
-    + ", t AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY class ORDER BY w.weight DESC, term) <= 50), b AS (SELECT class, term, round(weight + CASE WHEN term IN (SELECT lower(trim(term)) FROM canonical_terms) THEN 0.5 ELSE 0 END, 9) AS weight FROM t) SELECT class, term, round(weight, 6) AS weight FROM b QUALIFY row_number() OVER (PARTITION BY class ORDER BY b.weight DESC, term) <= 5",
-    "concept_frequent": f"WITH d AS (SELECT list_filter({_W}, lambda w: length(w) >= 4) AS w FROM documents), g AS (SELECT unnest(w) AS concept FROM d UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d) SELECT concept, count(*) AS n FROM g GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, concept LIMIT 100",
+    "docs_ctfidf_boosted": _TOPIC
+    + ", b AS (SELECT class, term, round(weight + CASE WHEN term IN (SELECT lower(trim(term)) FROM canonical_terms) THEN 0.5 ELSE 0 END, 9) AS weight FROM w) SELECT class, term, round(weight, 6) AS weight FROM b QUALIFY row_number() OVER (PARTITION BY class ORDER BY b.weight DESC, term) <= 5",
+    "concept_frequent": f"WITH d AS (SELECT 1 AS k, list_filter({_W}, lambda w: length(w) >= 4) AS w FROM documents), g AS ({_GRAMS.format(k='k')}) SELECT term AS concept, count(*) AS n FROM g GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, concept LIMIT 100",
     "concept_ids": "SELECT concept, row_number() OVER (ORDER BY concept) AS id FROM (SELECT DISTINCT s AS concept FROM step_03 WHERE s IS NOT NULL)",
-    "concept_evidence_top3": f"WITH d AS (SELECT doc_id, ' ' || array_to_string({_W}, ' ') || ' ' AS t FROM documents) SELECT concept, doc_id AS doc, row_number() OVER (PARTITION BY concept ORDER BY doc_id) AS rank FROM (VALUES {_C}) c(concept) JOIN d ON contains(t, ' ' || concept || ' ') QUALIFY rank <= 3",
-    "concept_evidence_all": f"WITH d AS (SELECT doc_id, ' ' || array_to_string({_W}, ' ') || ' ' AS t FROM documents) SELECT concept, count(*) AS docs FROM (VALUES {_C}) c(concept) JOIN d ON contains(t, ' ' || concept || ' ') GROUP BY 1",
+    "concept_evidence_top3": _FOUND + " SELECT concept, doc_id AS doc, row_number() OVER (PARTITION BY concept ORDER BY doc_id) AS rank FROM met QUALIFY rank <= 3",
+    "concept_evidence_all": _FOUND + " SELECT concept, count(*) AS docs FROM met GROUP BY 1",
     "concept_gold_labels": f"WITH g AS (SELECT DISTINCT lower(trim(term)) AS concept FROM canonical_terms) SELECT concept, CAST(concept IN (SELECT concept FROM g) AS INT) AS label FROM (SELECT concept FROM (VALUES {_C}) c(concept) UNION SELECT concept FROM g)",
     "vec_topk_cosine": "SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0) WHERE rank <= 5",
     "task_hit_rate": "SELECT id, CASE WHEN contains(lower(s || ' -> ' || p || ' -> ' || o), lower(p)) THEN 1 ELSE 0 END AS hits, 1 AS needed, true AS success FROM step_03 WHERE s IS NOT NULL AND o IS NOT NULL",

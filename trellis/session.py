@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 #: Largest number of rows that any operator broadcasts; every broadcast is of a side counted first or bounded by construction.
 BROADCAST_ROWS = 200_000
@@ -54,3 +55,16 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, most: int, what: str) -> list[Row]:
+    """All rows of a parameter list; an error, not a cut, where there are more than most."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{what}: more than {most} rows")
+    return rows
+
+
+def broadcast_bounded(df: DataFrame) -> DataFrame:
+    """df for a join: broadcast if it was counted and has at most BROADCAST_ROWS rows, else left to a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
