@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -16,10 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.session import BROADCAST_ROWS, cut
+from trellis.session import BROADCAST_ROWS, bounded, cut
 
 #: Reference rows that one dictionary may hold; a longer list is looked up block by block, each of this size.
 BLOCK_TERMS = 20_000
+#: Different words that all forms of the reference may have; the blocks of a long list share them. More are an error.
+MOST_WORDS = 5_000_000
 #: Leading characters that the delete neighbourhoods are made of.
 PREFIX = 12
 #: Neighbours on a keyboard, row by row; a slip to one costs less than another letter.
@@ -108,25 +110,22 @@ class Form:
 class Dictionary:
     """The forms of one field with their delete neighbourhoods."""
 
-    def __init__(self, rows: Sequence[tuple[int, str, Sequence[str], int]], longest: int = 0):
-        """rows: ref_id, term, aliases, how often the term occurs as such; longest: words of the field's longest form, where rows are a block of it."""
+    def __init__(self, rows: Sequence[tuple[int, str, Sequence[str], int]], longest: int = 0, vocabulary: Iterable[str] | None = None):
+        """rows: ref_id, term, aliases, how often the term occurs as such; longest and vocabulary: words of the field's longest form and of all its forms, where rows are a block of it."""
         self.forms = [Form(ref, "".join(w), tuple(w), freq) for ref, term, aliases, freq in rows for t in (term, *(aliases or ())) if t and (w := words(t))]
         self.exact: dict[str, list[Form]] = defaultdict(list)
         self.bag: dict[tuple[str, ...], list[Form]] = defaultdict(list)
         self.near: dict[str, list[Form]] = defaultdict(list)
         self.starts: dict[str, list[Form]] = defaultdict(list)
-        self.weight = defaultdict(int)  # of a word: in how many forms it is; of a word that is in none: 0
+        self.weight = set(vocabulary) if vocabulary is not None else {w for f in self.forms for w in f.tokens}  # words that count
         self.near_word: dict[str, set[str]] = defaultdict(set)
         for f in self.forms:
-            for w in set(f.tokens):
-                self.weight[w] += 1
             self.exact[f.text].append(f)
             self.bag[tuple(sorted(f.tokens))].append(f)
             for d in deletes(f.text, edits_allowed(len(f.text))):
                 self.near[d].append(f)
             for w in f.tokens if len(f.tokens) > 1 else ():
                 self.starts[w[0]].append(f)
-        self.weight = dict(self.weight)
         for w in self.weight:
             for d in deletes(w, edits_allowed(len(w))):
                 self.near_word[d].add(w)
@@ -272,6 +271,14 @@ def _settled(offers: Column) -> Column:
     return run(offers)
 
 
+def _all_words(term: Column, aliases: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def run(terms: pd.Series, others: pd.Series) -> pd.Series:
+        return pd.Series([sorted({w for x in (t, *(a if a is not None else ())) if x is not None for w in words(x)}) for t, a in zip(terms, others)], dtype=object)
+
+    return run(term, aliases)
+
+
 def _most_words(term: Column, aliases: Column) -> Column:
     @F.pandas_udf("int")
     def run(terms: pd.Series, others: pd.Series) -> pd.Series:
@@ -306,6 +313,11 @@ def map_to_list(values: DataFrame, reference: DataFrame, block_terms: int = BLOC
         ref = ref.withColumn("longest", F.lit(0))
     else:
         ref = ref.join(ref.groupBy("field_name").agg(F.max(_most_words(F.col("term"), F.col("aliases"))).alias("longest")), "field_name")
+    vocabulary: dict[str, set[str]] | None = None
+    if not one:
+        vocabulary = defaultdict(set)
+        for r in bounded(ref.select("field_name", F.explode(_all_words(F.col("term"), F.col("aliases"))).alias("w")).distinct(), MOST_WORDS, "different words of the reference"):
+            vocabulary[r["field_name"]].add(r["w"])
     n = -(-size // block_terms) * 2
     blocks = [ref] if one else [ref.where(F.pmod(F.hash("ref_id"), F.lit(n)) == b) for b in range(n)]
     typed, columns = counted.where("is_term IS NULL").select("field_name", "value"), []
@@ -315,7 +327,7 @@ def map_to_list(values: DataFrame, reference: DataFrame, block_terms: int = BLOC
             rows[r["field_name"]].append((r["ref_id"], r["term"], list(r["aliases"] or []), int(r["freq"])))
             longest[r["field_name"]] = r["longest"]
         if rows:
-            books = x.sparkSession.sparkContext.broadcast({f: Dictionary(sorted(y), longest[f]) for f, y in rows.items()})
+            books = x.sparkSession.sparkContext.broadcast({f: Dictionary(sorted(y), longest[f], vocabulary[f] if vocabulary is not None else None) for f, y in rows.items()})
             columns.append(_lookup(books, one)("field_name", "value"))
     tasks = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = typed.repartition(tasks, "field_name", "value")  # a lookup costs far more than a row's way, so the few bytes are not put together again

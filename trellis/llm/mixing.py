@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trellis.session import BROADCAST_ROWS, cut
+from trellis.session import BROADCAST_ROWS, bounded, cut
 
 #: Texts that are permuted together.
 BLOCK_ITEMS = 10_000
+#: Targets are a parameter list; a longer one is an error.
+MOST_TARGETS = 10_000
 
 
 @dataclass(frozen=True)
@@ -84,8 +86,8 @@ def _fill_rest(pdf: pd.DataFrame) -> pd.DataFrame:
 def mix(items: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 1, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """items (id, source, tokens, same) mixed to targets (source, target_share, max_repeats; a short list).
 
-    One row per use of a text: source, id, use_no (from 1), tokens and shuffle_key (sorting by it gives the
-    order of training). Texts are equal if same is equal; of equal texts one stands for all, the one whose
+    One row per use of a text: source, id, use_no (from 1), tokens, place (above 0, below 1; sorting by it gives the
+    order of training) and exponent (the plan's, the same everywhere). Texts are equal if same is equal; of equal texts one stands for all, the one whose
     source allows the fewest repeats (ties: the smaller source name, then the smaller id), so that no text is used more often than
     its copies' strictest limit. Texts without tokens, without a source or from a source without a target
     are not used. Repeated targets of a source: the first by share. Empty items or targets give no rows.
@@ -93,18 +95,23 @@ def mix(items: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     Each source takes whole passes over its texts and then, in blocks ordered by a seeded hash, as many whole blocks as the rest of
     its budget holds, and of the next block, in its permuted order, each text that still fits: what stays unfilled is less than
     any text left in that block. Only token sums per source and block are summed in order; one block a source is looked at text by text.
+
+    The order is made of block permutations: each pass of a source puts its blocks, and each block its texts, in an order of its own.
+    A use's place is the share of its source's tokens that come before its middle, so any stretch of the order holds the
+    sources in their weights. Running sums go over one block, or over a source's block sums.
     """
     goals = {}
-    for r in targets.select(F.col("source").alias("s"), F.col("target_share").cast("double").alias("t"), F.col("max_repeats").cast("int").alias("m")).where("s IS NOT NULL AND t IS NOT NULL AND m IS NOT NULL").orderBy("s", F.desc("t"), "m").limit(10_000).collect():
+    listed = targets.select(F.col("source").alias("s"), F.col("target_share").cast("double").alias("t"), F.col("max_repeats").cast("int").alias("m")).where("s IS NOT NULL AND t IS NOT NULL AND m IS NOT NULL")
+    for r in sorted(bounded(listed, MOST_TARGETS, "targets"), key=lambda r: (r["s"], -r["t"], r["m"])):
         goals.setdefault(r["s"], (r["t"], r["m"]))
     x = items.select(F.col("id").cast("bigint").alias("id"), F.col("source").cast("string").alias("source"), F.col("tokens").cast("bigint").alias("tokens"), "same").where("source IS NOT NULL AND tokens > 0 AND same IS NOT NULL")
     if not goals:
-        return x.select("source", "id", F.lit(1).alias("use_no"), "tokens", F.xxhash64("id").alias("shuffle_key")).where("false")
+        return x.select("source", "id", F.lit(1).alias("use_no"), "tokens", F.lit(0.5).alias("place"), F.lit(1.0).alias("exponent")).where("false")
     limits = F.create_map(*[v for s, (_, m) in goals.items() for v in (F.lit(s), F.lit(m))])
     x = x.withColumn("limit", limits[F.col("source")]).where("limit IS NOT NULL")
     one = cut(x.groupBy("same").agg(F.min(F.struct("limit", "source", "id", "tokens")).alias("u")).select("same", "u.source", "u.id", "u.tokens"))
     sums = {r["source"]: (r["n"], r["tokens"]) for r in one.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens")).collect()}  # one row per source with a target
-    _, b, weights = plan([Source(s, sums.get(s, (0, 0))[1], t, m) for s, (t, m) in goals.items()], budget)
+    a, b, weights = plan([Source(s, sums.get(s, (0, 0))[1], t, m) for s, (t, m) in goals.items()], budget)
     passes, rests, blocks = {}, {}, {}
     for s, (n, tokens) in sums.items():
         want = weights[s] * b
@@ -112,7 +119,7 @@ def mix(items: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
         rests[s] = max(0.0, want - passes[s] * tokens) if passes[s] < goals[s][1] else 0.0
         blocks[s] = max(1, -(-n // block_items))
     if not sums:
-        return x.select("source", "id", F.lit(1).alias("use_no"), "tokens", F.xxhash64("id").alias("shuffle_key")).where("false")
+        return x.select("source", "id", F.lit(1).alias("use_no"), "tokens", F.lit(0.5).alias("place"), F.lit(1.0).alias("exponent")).where("false")
     of = lambda d, kind: F.create_map(*[v for s, k in d.items() for v in (F.lit(s), F.lit(k).cast(kind))])[F.col("source")]
     one = one.withColumn("block", F.pmod(F.xxhash64("same", F.lit(seed)), of(blocks, "bigint")))
     sums_of = one.groupBy("source", "block").agg(F.sum("tokens").alias("held"))
@@ -127,18 +134,25 @@ def mix(items: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     edge = edge.withColumn("turn", F.xxhash64("same", F.lit(seed + 1))).select(*cols)
     edge = edge.groupBy("source").applyInPandas(_fill_rest, "source string, id bigint, tokens bigint, block bigint, passes int, more int")
     used = whole.select("source", "id", "tokens", "block", "passes", "more").unionByName(edge).withColumn("uses", F.col("passes") + F.col("more")).where("uses > 0")
-    used = used.select("source", "id", "tokens", "block", F.explode(F.sequence(F.lit(1), "uses")).alias("use_no"))
-    return used.select("source", "id", "use_no", "tokens", F.xxhash64("id", "source", "use_no", F.lit(seed)).alias("shuffle_key"))
+    used = cut(used.select("source", "id", "tokens", "block", F.explode(F.sequence(F.lit(1), "uses")).alias("use_no")))
+    deal = used.groupBy("source", "use_no", "block").agg(F.sum("tokens").alias("in_block"))
+    order = Window.partitionBy("source").orderBy("use_no", F.xxhash64("use_no", "block", F.lit(seed)), "block").rowsBetween(Window.unboundedPreceding, 0)
+    deal = cut(deal.withColumns({"ahead": F.sum("in_block").over(order) - F.col("in_block"), "of_source": F.sum("in_block").over(Window.partitionBy("source"))}).drop("in_block"))
+    own = Window.partitionBy("source", "use_no", "block").orderBy(F.xxhash64("id", "use_no", F.lit(seed)), "id").rowsBetween(Window.unboundedPreceding, 0)
+    y = used.withColumn("upto", F.sum("tokens").over(own)).join(F.broadcast(deal) if deal.count() <= BROADCAST_ROWS else deal, ["source", "use_no", "block"])
+    place = (F.col("ahead") + F.col("upto") - F.col("tokens") / 2) / F.col("of_source")
+    return y.select("source", "id", "use_no", "tokens", place.alias("place"), F.lit(a).alias("exponent"))
 
 
 def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source with a target: target_share, texts used, uses, tokens, share reached and the most times a text was used."""
-    per = mixed.groupBy("source", "id").agg(F.count(F.lit(1)).alias("uses"), F.sum("tokens").alias("tokens"))
-    per = per.groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum("uses").alias("uses"), F.max("uses").alias("most_repeats"), F.sum("tokens").alias("tokens"))
+    """Per source with a target: target_share, texts used, uses, tokens, share reached, the most times a text was used, and the plan's exponent (null if nothing was mixed)."""
+    bounded(targets, MOST_TARGETS, "targets")
+    per = mixed.groupBy("source", "id").agg(F.count(F.lit(1)).alias("uses"), F.sum("tokens").alias("tokens"), F.max("exponent").alias("exponent"))
+    per = per.groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum("uses").alias("uses"), F.max("uses").alias("most_repeats"), F.sum("tokens").alias("tokens"), F.max("exponent").alias("exponent"))
     t = targets.select("source", F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats")).where("source IS NOT NULL")
-    zero = F.lit(0).cast("bigint")
-    out = F.broadcast(t.limit(10_000)).join(per, "source", "left").select("source", "target_share", "max_repeats", *[F.coalesce(c, zero).alias(c) for c in ("texts", "uses", "most_repeats", "tokens")])
-    return out.withColumn("share", F.col("tokens") / F.sum("tokens").over(Window.partitionBy(F.lit(1))))
+    zero, every = F.lit(0).cast("bigint"), Window.partitionBy(F.lit(1))  # one row a target
+    out = F.broadcast(t).join(per, "source", "left").select("source", "target_share", "max_repeats", *[F.coalesce(c, zero).alias(c) for c in ("texts", "uses", "most_repeats", "tokens")], "exponent")
+    return out.withColumns({"share": F.col("tokens") / F.sum("tokens").over(every), "exponent": F.max("exponent").over(every)})
 
 
-__all__ = ["BLOCK_ITEMS", "Source", "entropy", "exponent_for_entropy", "mix", "mix_report", "plan", "tempered"]
+__all__ = ["BLOCK_ITEMS", "MOST_TARGETS", "Source", "entropy", "exponent_for_entropy", "mix", "mix_report", "plan", "tempered"]

@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.session import cut
+from trellis.session import bounded, cut
 
 #: Items that are packed together. A block leaves at most a few containers part-filled, so a larger one wastes less; its memory is in proportion.
 BLOCK_ITEMS = 20_000
+#: Capacities are a parameter list; a longer one is an error.
+MOST_SPECS = 1000
 
 
 def best_two_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -110,7 +112,7 @@ def pack(items: DataFrame, specs: DataFrame, block_items: int = BLOCK_ITEMS) ->
     x = stored.withColumn("mid", F.monotonically_increasing_id())
     x = x.withColumn("block", F.pmod(F.xxhash64("mid"), F.lit(blocks)))
     s = specs.select(F.col("spec_id").cast("int").alias("spec_id"), F.col("capacity").cast("bigint").alias("capacity")).where("capacity > 0 AND spec_id IS NOT NULL")
-    wanted = [tuple(r) for r in s.distinct().limit(1000).collect()]  # capacities are a parameter list, not data
+    wanted = [tuple(r) for r in bounded(s.distinct(), MOST_SPECS, "specs")]  # capacities are a parameter list, not data
     if not wanted:
         return x.select(F.lit(0).alias("spec_id"), F.lit(0).cast("bigint").alias("container"), "id", F.lit(0).cast("bigint").alias("piece"), F.lit(0).cast("bigint").alias("start"), "tokens").where("false")
     each = F.array(*[F.struct(F.lit(i).alias("spec_id"), F.lit(c).cast("bigint").alias("capacity")) for i, c in wanted])
@@ -122,5 +124,6 @@ def packing_report(packed: DataFrame, specs: DataFrame) -> DataFrame:
     """Per spec: containers, pieces, tokens, unused tokens and the share filled."""
     per = packed.groupBy("spec_id", "container").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("tokens"))
     per = per.groupBy("spec_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"))
+    bounded(specs, MOST_SPECS, "specs")
     s = specs.select(F.col("spec_id").alias("spec"), F.col("capacity").cast("bigint").alias("capacity"))
-    return per.join(F.broadcast(s.limit(1000)), F.col("spec_id") == F.col("spec")).select("spec_id", "capacity", "containers", "pieces", "tokens", (F.col("containers") * F.col("capacity") - F.col("tokens")).alias("unused"), (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("filled"))
+    return per.join(F.broadcast(s), F.col("spec_id") == F.col("spec")).select("spec_id", "capacity", "containers", "pieces", "tokens", (F.col("containers") * F.col("capacity") - F.col("tokens")).alias("unused"), (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("filled"))

@@ -67,6 +67,13 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(p7_mixed(spark, d), table(spark, d, "mix_targets"))
 
 
+def p7_epoch_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of a mix as large as one pass over all texts: a budget at which limits on repetition bind, so that the exponent is found by bisection."""
+    sizes, targets = _sizes(spark, d), table(spark, d, "mix_targets")
+    budget = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
+    return mix_report(mix(sizes, targets, budget), targets)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return same_looking(table(spark, d, "documents"), "doc_id", "text").withColumnsRenamed({"a": "doc_id_a", "b": "doc_id_b"})
 
@@ -80,7 +87,7 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     return look_classes(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p6_packed": p6_packed, "p6_report": p6_report, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found, "p8_normalised": p8_normalised, "p8_classes": p8_classes}
+QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p6_packed": p6_packed, "p6_report": p6_report, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p7_epoch_shares": p7_epoch_shares, "p8_found": p8_found, "p8_normalised": p8_normalised, "p8_classes": p8_classes}
 _BARE = "lower(regexp_replace(nfc_normalize({c}), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}{keep}]+', '', 'g'))"
 #: RE2 has no look-around: a point between two digits first becomes a sign that nothing else uses; twice, for 1.2.3.
 _POINT = "regexp_replace(regexp_replace({c}, '(\\p{{Nd}})\\.(\\p{{Nd}})', '\\1\u2400\\2', 'g'), '(\\p{{Nd}})\\.(\\p{{Nd}})', '\\1\u2400\\2', 'g')"
