@@ -10,7 +10,6 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +19,8 @@ from trellis.session import BROADCAST_ROWS, bounded, cut
 
 #: Reference rows that one dictionary may hold; a longer list is looked up block by block, each of this size.
 BLOCK_TERMS = 20_000
+#: Words that a dictionary remembers having weighed; beyond that it starts anew.
+REMEMBERED = 100_000
 #: Different words that all forms of the reference may have; the blocks of a long list share them. More are an error.
 MOST_WORDS = 5_000_000
 #: Leading characters that the delete neighbourhoods are made of.
@@ -87,9 +88,10 @@ def damerau(a: str, b: str, most: int) -> tuple[int, float] | None:
 def deletes(s: str, most: int) -> set[str]:
     """s and everything left of its prefix after up to most deletions."""
     s = s[:PREFIX]
-    out = {s}
-    for k in range(1, min(most, len(s)) + 1):
-        out |= {"".join(s[i] for i in range(len(s)) if i not in c) for c in map(set, combinations(range(len(s)), k))}
+    out, level = {s}, {s}
+    for _ in range(min(most, len(s))):
+        level = {x[:i] + x[i + 1 :] for x in level for i in range(len(x))}
+        out |= level
     return out
 
 
@@ -118,6 +120,7 @@ class Dictionary:
         self.near: dict[str, list[Form]] = defaultdict(list)
         self.starts: dict[str, list[Form]] = defaultdict(list)
         self.weight = set(vocabulary) if vocabulary is not None else {w for f in self.forms for w in f.tokens}  # words that count
+        self.weighed: dict[str, bool] = {}
         self.near_word: dict[str, set[str]] = defaultdict(set)
         for f in self.forms:
             self.exact[f.text].append(f)
@@ -149,6 +152,13 @@ class Dictionary:
         """A word has weight if it is in some form of the field, or within the allowed edits of one that is; a word with a digit only if it is in one."""
         if word in self.weight:
             return True
+        if word not in self.weighed:
+            if len(self.weighed) >= REMEMBERED:
+                self.weighed.clear()
+            self.weighed[word] = self._near_weight(word)
+        return self.weighed[word]
+
+    def _near_weight(self, word: str) -> bool:
         most = edits_allowed(len(word) + 1)
         if not most or any(c.isdigit() for c in word) or len(word) > self.letters:
             return False
