@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.functions.similarity import ratio_bound, ratio_udf, token_sort_udf
+from trellis.functions.similarity import ratio, token_sort
 from trellis.operators.ranking import top_per_key
-from trellis.session import BROADCAST_ROWS
+from trellis.session import cut
 
 #: Queries that one pass over the corpus answers.
 BLOCK_QUERIES = 20_000
+#: Entity names that one pass over the mentions is compared with.
+BLOCK_NAMES = 50_000
 
 
 def top_cosine(queries: DataFrame, corpus: DataFrame, k: int, block: int = BLOCK_QUERIES) -> DataFrame:
@@ -52,31 +55,106 @@ def top_cosine(queries: DataFrame, corpus: DataFrame, k: int, block: int = BLOCK
     return top_per_key(out, ["query_id"], [F.desc("score"), "vec_id"], k)
 
 
-def fuzzy_top(mentions: DataFrame, entities: DataFrame, k: int = 5, least: float = 60.0) -> DataFrame:
+def _letters(texts: list[str]) -> np.ndarray:
+    """Per text how often it has each of 64 groups of characters."""
+    out = np.zeros((len(texts), 64), np.uint8)
+    for i, t in enumerate(texts):
+        np.add.at(out[i], np.frombuffer(t.encode("utf-32-le"), np.uint32)[:255] % 64, 1)
+    return out
+
+
+class _Names:
+    """Entity names in order of the length of their sorted texts."""
+
+    def __init__(self, names: list[str]):
+        self.rows = sorted((len(t), t, n) for n in names for t in [token_sort(n)])
+        self.lengths = np.array([r[0] for r in self.rows], np.int64)
+        self.letters = _letters([r[1] for r in self.rows])
+
+    def best(self, mention: str, k: int, least: float) -> list[tuple[str, float]]:
+        """The k names of the highest ratio of at least least, ties by name.
+
+        No pair of that ratio is missed: lengths that cannot reach it are left out, then names that do not share enough characters, whatever their
+        order; the rest is compared in order of that bound until no bound reaches the k-th best.
+        """
+        t = token_sort(mention)
+        n = len(t)
+        if not n:
+            return sorted((r[2], 100.0) for r in self.rows if not r[0])[:k]
+        share = max(least, 1e-9) / 200.0
+        lo, hi = np.searchsorted(self.lengths, n * share / (1 - share) - 1e-9), np.searchsorted(self.lengths, n * (1 - share) / share + 1e-9, side="right")
+        size = self.lengths[lo:hi] + n
+        if n > 255:  # counts stop there
+            bound = 200.0 * np.minimum(self.lengths[lo:hi], n) / size
+        else:
+            shared = np.minimum(self.letters[lo:hi], _letters([t])[0]).sum(axis=1, dtype=np.int64)
+            bound = np.where(self.lengths[lo:hi] > 255, 200.0 * n / size, 200.0 * shared / size)
+        at = np.flatnonzero(np.round(bound, 6) >= least)
+        out: list[tuple[float, str]] = []
+        for i in at[np.argsort(-bound[at], kind="stable")]:
+            if len(out) >= k and round(bound[i], 6) < -out[k - 1][0]:
+                break
+            _, text, name = self.rows[lo + i]
+            if (score := round(ratio(t, text), 6)) >= least:
+                insort(out, (-score, name))
+                del out[k:]
+        return [(name, -s) for s, name in out]
+
+
+def fuzzy_top(mentions: DataFrame, entities: DataFrame, k: int = 5, least: float = 60.0, block: int = BLOCK_NAMES) -> DataFrame:
     """The k entities most like each mention by token-sort ratio of at least least: mention, entity, score, rank.
 
-    Both sides are made distinct and token-sorted once. Every mention meets every entity; the only filter is the length bound
-    of the sorted texts, which no pair of at least least fails. Entities are broadcast up to BROADCAST_ROWS, beyond that there is a cartesian product.
+    Both sides are made distinct. Every mention meets every entity, in blocks of entities that are broadcast one after the other, each of about block names;
+    bounds without loss keep most pairs from being compared letter by letter. Mentions are spread over tasks, and each block returns k rows a mention.
     """
-    m = mentions.select("mention").where("mention IS NOT NULL").distinct().withColumn("sorted_m", token_sort_udf("mention"))
+    m = mentions.select("mention").where("mention IS NOT NULL").distinct()
     e = entities.select("entity").where("entity IS NOT NULL").distinct()
-    small = e.count() <= BROADCAST_ROWS
-    e = e.withColumn("sorted_e", token_sort_udf("entity"))
-    a, b = F.col("sorted_m"), F.col("sorted_e")
-    x = m.join(F.broadcast(e) if small else e, (a == b) | (F.round(ratio_bound(a, b), 6) >= least))
-    x = x.withColumn("score", F.round(ratio_udf(a, b), 6)).where(F.col("score") >= least).select("mention", "entity", "score")
-    return top_per_key(x, ["mention"], [F.desc("score"), "entity"], k)
+    spark = m.sparkSession
+    n = max(1, -(-e.count() // block))
+    e = cut(e) if n > 1 else e
+    spread = m.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "mention")
+    out = None
+    for i in range(n):
+        mine = e if n == 1 else e.where(F.pmod(F.xxhash64("entity"), F.lit(n)) == i)
+        held = spark.sparkContext.broadcast(_Names([r[0] for r in mine.collect()]))  # about block names
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = [(x, name, s) for x in b.column(0).to_pylist() for name, s in held.value.best(x, k, least)]
+                yield pa.record_batch([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["mention", "entity", "score"])
+
+        part = spread.mapInArrow(run, "mention string, entity string, score double")
+        out = part if out is None else out.unionByName(part)
+    return top_per_key(out, ["mention"], [F.desc("score"), "entity"], k)
 
 
-def align(mentions: DataFrame, entities: DataFrame, accept: float = 80.0, ask: float = 60.0) -> DataFrame:
-    """mention, entity (null for a new one), how: exact, fuzzy (best at least accept), ask (between ask and accept, left to a model) or new."""
+def align(mentions: DataFrame, entities: DataFrame, accept: float = 80.0, ask: float = 60.0, rerank=None, confirm=None, accept_rerank: float = 0.85, k: int = 5) -> DataFrame:
+    """mention, entity (null for a new one), how: exact, fuzzy, semantic, model, ask or new.
+
+    In turn: the same name but for case and blanks at its ends; the best token-sort ratio of at least accept; of the k best
+    candidates of at least ask, the best by rerank, if given (a Column of mention and entity, such as the cosine of their embeddings), of at least accept_rerank; then what confirm says, if given
+    (a function from a table mention, candidates array<string> to one of mention, entity, null for none). Without confirm such mentions are left
+    as ask. Equal scores go to the smaller name.
+    """
     m = mentions.select("mention").where("mention IS NOT NULL").distinct()
     exact = m.join(entities.select(F.lower(F.trim("entity")).alias("n"), "entity").groupBy("n").agg(F.min("entity").alias("entity")), F.lower(F.trim("mention")) == F.col("n")).select("mention", "entity", F.lit("exact").alias("how"))
     rest = m.join(exact.select("mention"), "mention", "left_anti")
-    best = fuzzy_top(rest, entities, 1, ask).select("mention", "entity", "score")
+    top = fuzzy_top(rest, entities, k if rerank is not None or confirm is not None else 1, ask)
+    if rerank is not None or confirm is not None:
+        top = cut(top)
+    best = top.where("rank = 1").select("mention", "entity", "score")
     y = rest.join(best, "mention", "left")
-    how = F.when(F.col("score") >= accept, "fuzzy").when(F.col("score").isNotNull(), "ask").otherwise("new")
-    return exact.unionByName(y.select("mention", F.when(F.col("score") >= accept, F.col("entity")).alias("entity"), how.alias("how")))
+    sure = exact.unionByName(y.where(F.col("score").isNull()).select("mention", F.lit(None).cast("string").alias("entity"), F.lit("new").alias("how")))
+    sure = sure.unionByName(y.where(F.col("score") >= accept).select("mention", "entity", F.lit("fuzzy").alias("how")))
+    left = y.where(F.col("score") < accept)
+    if rerank is not None:
+        ranked = top.join(left.select("mention"), "mention", "left_semi").withColumn("__s", rerank(F.col("mention"), F.col("entity"))).where(F.col("__s") >= accept_rerank)
+        met = top_per_key(ranked, ["mention"], [F.desc("__s"), "entity"], 1, "__r").select("mention", "entity", F.lit("semantic").alias("how"))
+        sure, left = sure.unionByName(met), left.join(met.select("mention"), "mention", "left_anti")
+    if confirm is None:
+        return sure.unionByName(left.select("mention", F.lit(None).cast("string").alias("entity"), F.lit("ask").alias("how")))
+    asked = top.join(left.select("mention"), "mention", "left_semi").groupBy("mention").agg(F.array_sort(F.collect_list(F.struct("rank", "entity"))).alias("c")).select("mention", F.col("c.entity").alias("candidates"))
+    return sure.unionByName(confirm(asked).select("mention", "entity", F.when(F.col("entity").isNull(), "new").otherwise("model").alias("how")))
 
 
 def chunks(text: Column, most: int = 30) -> Column:

@@ -9,6 +9,7 @@ from trellis.functions import jsonx as J
 from trellis.functions.text import CLEANING_SHORT, clean_text, count_label, singularize, tokens
 from trellis.operators import evidence as E
 from trellis.operators import retrieval as R
+from trellis.plans.views import fuzzy_sql
 from trellis.session import cut, table
 
 CONCEPTS = ("tumor", "weight loss", "overall survival", "side effects", "blood sample", "daily", "no difference between", "marker of")
@@ -128,4 +129,7 @@ ORACLE = {
     "task_hit_rate": "SELECT id, CASE WHEN contains(lower(s || ' -> ' || p || ' -> ' || o), lower(p)) THEN 1 ELSE 0 END AS hits, 1 AS needed, true AS success FROM step_03 WHERE s IS NOT NULL AND o IS NOT NULL",
     "json_rescue": "SELECT id, s, p, o FROM step_03 WHERE s <> '' AND p <> '' AND o <> ''",
     "vec_label_hits": "WITH r AS (SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id, q.label AS want, v.label AS got, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0) WHERE rank <= 5 AND query_id <> vec_id) SELECT want, count(*) AS n, count(*) FILTER (WHERE want = got) AS hits, round(avg((want = got)::INT), 6) AS rate FROM r GROUP BY 1",
+    "align_fuzzy_topk": f"""WITH ent AS (SELECT DISTINCT term AS entity FROM canonical_terms WHERE field_name = 'primary_site'), ment AS (SELECT DISTINCT trim(primary_site, ' ') AS mention FROM msk_chord_patient_level WHERE trim(primary_site, ' ') <> ''),
+ex AS (SELECT mention, min(entity) AS entity FROM ment JOIN ent ON lower(trim(mention, ' ')) = lower(trim(entity, ' ')) GROUP BY 1), rest AS (SELECT mention FROM ment WHERE mention NOT IN (SELECT mention FROM ex)), {fuzzy_sql('rest', 'ent', 60)}
+SELECT mention, entity, 'exact' AS how FROM ex UNION ALL SELECT r.mention, CASE WHEN score >= 80 THEN f.entity END, CASE WHEN score >= 80 THEN 'fuzzy' WHEN score IS NOT NULL THEN 'ask' ELSE 'new' END FROM rest r LEFT JOIN (SELECT * FROM fuzzy WHERE rank = 1) f ON f.mention = r.mention""",
 }

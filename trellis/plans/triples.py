@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.functions.text import norm_predicate
+from trellis.functions.text import norm_predicate, slug, trimmed
 from trellis.operators import merge as M
 from trellis.operators import triples as T
 from trellis.operators import rules as R
+from trellis.operators.ranking import global_index
+from trellis.plans.views import fuzzy_sql
 from trellis.session import cut, table
 
 MERGE_FROM = "2024-01-01"
@@ -25,6 +27,26 @@ def base_and_new(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return e.where(F.col("at") < day), e.where(F.col("at") >= day)
 
 
+def names(spark: SparkSession, d: str) -> DataFrame:
+    return raw(spark, d).select(F.explode(F.array(F.lower(trimmed(F.col("s"))), F.lower(trimmed(F.col("o"))))).alias("name")).where("name IS NOT NULL")
+
+
+def base_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The triples loaded before MERGE_FROM as an edge table: entities numbered from 0 in order of name and type."""
+    e = M.typed_edges(raw(spark, d).where(F.col("loaded_at") < F.lit(MERGE_FROM).cast("timestamp")))
+    e = cut(e.groupBy("x_name", "y_name", "relation").agg(F.min("display_relation").alias("display_relation"), F.min("x_type").alias("x_type"), F.min("y_type").alias("y_type")))
+    ends = e.select(F.explode(F.array(*[F.struct(F.col(f"{c}_name").alias("name"), F.col(f"{c}_type").alias("type")) for c in "xy"])).alias("n")).select("n.*").distinct()
+    ids = cut(global_index(ends, ["name", "type"], "index").select("name", "type", "index", slug(F.col("name"), "custom_entity").alias("id")))
+    for c in "xy":
+        e = e.join(ids.withColumnsRenamed({"name": f"{c}_name", "type": f"{c}_type", "index": f"{c}_index", "id": f"{c}_id"}), [f"{c}_name", f"{c}_type"])
+    return cut(e.withColumns({"x_source": F.lit("BASE"), "y_source": F.lit("BASE")}).select(*M.MERGED_COLUMNS[:12]))
+
+
+def merged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Later triples merged into the base graph with alignment."""
+    return M.merge_full(base_graph(spark, d), raw(spark, d).where(F.col("loaded_at") >= F.lit(MERGE_FROM).cast("timestamp")))
+
+
 QUERIES = {
     "triples_whitelist": lambda s, d: T.valid(raw(s, d), RELATIONS).select("id"),
     "triples_min_support": lambda s, d: T.min_support(raw(s, d), 2).select("id"),
@@ -38,18 +60,22 @@ QUERIES = {
     "merge_conflicts": lambda s, d: M.merge_status(*base_and_new(s, d)),
     "merge_stats": lambda s, d: M.merge_stats(*base_and_new(s, d)),
     "merge_new_ids": lambda s, d: M.new_entities(*base_and_new(s, d)),
-    "merge_result": lambda s, d: M.merged_edges(*base_and_new(s, d)),
+    "merge_edges": lambda s, d: M.merged_edges(*base_and_new(s, d)),
+    "merge_alignment": lambda s, d: merged(s, d)[1],
+    "merge_result": lambda s, d: merged(s, d)[0],
+    "merge_valid_types": lambda s, d: M.valid_types(M.name_types(names(s, d))),
+    "merge_all_relations": lambda s, d: M.all_relations(M.typed_edges(raw(s, d))),
 }
 
 _PRED = "regexp_replace(regexp_replace(replace(lower(regexp_replace({p}, '^\\s+|\\s+$', '', 'g')), '_', '-'), '\\s+', '-', 'g'), '-+', '-', 'g')"
 
 
 def _type(c: str, otherwise: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(lower({c}), '{'|'.join(R.listed(ws))}') THEN '{t}'" for t, ws in R.TYPE_KEYWORDS) + f" ELSE {otherwise} END"
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower({c}), '{'|'.join(ws)}') THEN '{t}'" for t, ws in R.TYPE_KEYWORDS) + f" ELSE {otherwise} END"
 
 
 _RULES = (
-    "pr(p, xt, yt, rel, disp) AS (VALUES " + ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in R.pair_rules()) + "),\n"
+    "pr(p, xt, yt, rel, disp) AS (VALUES " + ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in R.PAIR_RULES) + "),\n"
     "fx(p, rel, disp) AS (VALUES " + ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in R.CONSTANT_RULES) + "),\n"
     "df(p, rel, disp) AS (VALUES " + ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in R.DEFAULT_RULES) + ")"
 )
@@ -80,6 +106,23 @@ status AS (SELECT n.x_name, n.y_name, n.relation, n.f[2] AS first_id, n.statemen
 """
 _TYPED = _TYPED.replace("min((came, id)) AS f FROM (SELECT *, row(came, id) AS k FROM fresh WHERE support >= 1)", "min({'c': came, 'i': id}) AS f FROM fresh WHERE support >= 1").replace("n.f[2]", "n.f.i").replace("GROUP BY 1, 2, 3),\nopp", "GROUP BY 1, 2, 3),\nopp")
 
+_SLUG = "coalesce(nullif(regexp_replace(regexp_replace({c}, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'custom_entity')"
+_FULL = f"""{_TYPED}, be AS (SELECT x_name, y_name, relation, min(display_relation) AS display_relation, min(x_type) AS x_type, min(y_type) AS y_type FROM typed WHERE came < TIMESTAMPTZ '{MERGE_FROM} 00:00:00+00' GROUP BY 1, 2, 3),
+ents AS (SELECT name, type, row_number() OVER (ORDER BY name, type) - 1 AS index, {_SLUG.format(c='name')} AS id FROM (SELECT x_name AS name, x_type AS type FROM be UNION SELECT y_name, y_type FROM be)),
+nw AS (SELECT id, came, support, pn, x_name AS x, y_name AS y, x_type AS xt, y_type AS yt FROM typed WHERE came >= TIMESTAMPTZ '{MERGE_FROM} 00:00:00+00' AND support >= 1),
+ment AS (SELECT name, min(type) AS type, min(k) AS k FROM (SELECT x AS name, xt AS type, {{'c': came, 'i': id, 's': 0}} AS k FROM nw UNION ALL SELECT y, yt, {{'c': came, 'i': id, 's': 1}} FROM nw) GROUP BY 1),
+mm AS (SELECT name AS mention FROM ment WHERE name NOT IN (SELECT name FROM ents)), en AS (SELECT DISTINCT name AS entity FROM ents),
+{fuzzy_sql('mm', 'en', 80)},
+met AS (SELECT mention, entity, 'fuzzy' AS how FROM fuzzy WHERE rank = 1 UNION ALL SELECT name, name, 'exact' FROM ment WHERE name IN (SELECT name FROM ents)),
+ch AS (SELECT mention, ment.type, how, entity AS name, ents.type AS entity_type, index, id, 'BASE' AS source FROM met JOIN ment ON ment.name = mention JOIN ents ON ents.name = entity QUALIFY row_number() OVER (PARTITION BY mention ORDER BY ents.type <> ment.type, ents.type) = 1),
+al AS (SELECT * FROM ch UNION ALL SELECT name, type, 'new', name, type, row_number() OVER (ORDER BY k, name) - 1 + (SELECT count(*) FROM ents), {_SLUG.format(c='name')}, 'CUSTOM' FROM ment WHERE name NOT IN (SELECT mention FROM ch)),
+n0 AS (SELECT n.id, came, support, pn, a.name AS x_name, a.entity_type AS x_type, a.index AS x_index, a.id AS x_id, a.source AS x_source, b.name AS y_name, b.entity_type AS y_type, b.index AS y_index, b.id AS y_id, b.source AS y_source FROM nw n JOIN al a ON a.mention = x JOIN al b ON b.mention = y),
+n1 AS ({_mapped("n0")}),
+nk AS (SELECT x_name, y_name, relation, min({{'c': came, 'i': id}}) AS f FROM n1 GROUP BY 1, 2, 3),
+st AS (SELECT nk.f.i AS id, CASE WHEN EXISTS (SELECT 1 FROM be o JOIN opp ON opp.a = o.relation WHERE o.x_name = nk.x_name AND o.y_name = nk.y_name AND opp.b = nk.relation) OR EXISTS (SELECT 1 FROM nk o JOIN opp ON opp.a = o.relation WHERE o.x_name = nk.x_name AND o.y_name = nk.y_name AND opp.b = nk.relation AND o.f < nk.f) THEN 'conflict' ELSE 'added' END AS status
+  FROM nk WHERE NOT EXISTS (SELECT 1 FROM be o WHERE o.x_name = nk.x_name AND o.y_name = nk.y_name AND o.relation = nk.relation))
+"""
+
 ORACLE = {
     "triples_whitelist": f"SELECT id FROM step_03 WHERE s IS NOT NULL AND o IS NOT NULL AND {_PRED.format(p='p')} IN ({', '.join(repr(r) for r in RELATIONS)})",
     "triples_min_support": "SELECT id FROM step_03 WHERE coalesce(support, 1) >= 2",
@@ -101,5 +144,13 @@ SELECT pn AS p, x_type, y_type, n, relation, display_relation FROM ({_mapped("m"
     + """, e AS (SELECT x_name AS name, x_type AS type, came, id, 0 AS side, support FROM typed UNION ALL SELECT y_name, y_type, came, id, 1, support FROM typed), known AS (SELECT DISTINCT name, type FROM e WHERE came < TIMESTAMPTZ '2024-01-01 00:00:00+00'),
 f AS (SELECT name, type, min({'c': came, 'i': id, 's': side}) AS f FROM e WHERE came >= TIMESTAMPTZ '2024-01-01 00:00:00+00' AND support >= 1 AND NOT EXISTS (SELECT 1 FROM known k WHERE k.name = e.name AND k.type = e.type) GROUP BY 1, 2)
 SELECT name, type, row_number() OVER (ORDER BY f, name) - 1 + (SELECT count(*) FROM known) AS index, coalesce(nullif(regexp_replace(regexp_replace(name, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'custom_entity') AS entity_id FROM f""",
-    "merge_result": _TYPED + "SELECT x_name, y_name, relation, 'BASE' AS source FROM old UNION ALL SELECT x_name, y_name, relation, CASE WHEN status = 'conflict' THEN 'CUSTOM|CONFLICT' ELSE 'CUSTOM' END FROM status WHERE status <> 'duplicate'",
+    "merge_edges": _TYPED + "SELECT x_name, y_name, relation, 'BASE' AS source FROM old UNION ALL SELECT x_name, y_name, relation, CASE WHEN status = 'conflict' THEN 'CUSTOM|CONFLICT' ELSE 'CUSTOM' END FROM status WHERE status <> 'duplicate'",
+    "merge_alignment": _FULL + "SELECT * FROM al",
+    "merge_result": _FULL
+    + f"""SELECT relation, display_relation, a.index AS x_index, a.id AS x_id, x_type, x_name, 'BASE' AS x_source, b.index AS y_index, b.id AS y_id, y_type, y_name, 'BASE' AS y_source, '' AS _origins, NULL::INT AS _support, '' AS _input_predicate, 'base' AS status
+FROM be JOIN ents a ON a.name = x_name AND a.type = x_type JOIN ents b ON b.name = y_name AND b.type = y_type
+UNION ALL SELECT relation, display_relation, x_index, x_id, x_type, x_name, x_source || CASE WHEN status = 'conflict' THEN '|CONFLICT' ELSE '' END, y_index, y_id, y_type, y_name, y_source, coalesce('[' || array_to_string(list_transform(t.origins, lambda x: coalesce('"' || replace(replace(x, '\\', '\\\\'), '"', '\\"') || '"', 'null')), ',') || ']', '[]'), n1.support::INT, {_TRIM.format(c='t.p')}, status
+FROM n1 JOIN st USING (id) JOIN step_03 t USING (id)""",
+    "merge_valid_types": "SELECT unnest([" + ", ".join(repr(t) for t in R.NATIVE_TYPES) + "]) AS type, true AS native",
+    "merge_all_relations": _TYPED + f"SELECT DISTINCT relation, false AS native FROM typed WHERE relation NOT IN ({', '.join(repr(r) for r in R.NATIVE_RELATIONS)}) UNION ALL SELECT unnest([{', '.join(repr(r) for r in R.NATIVE_RELATIONS)}]), true",
 }

@@ -72,3 +72,15 @@ def _kg_sql(name: str, base: bool) -> str:
 
 
 KG_SQL = "WITH " + _kg_sql("kg", False) + ",\n" + _kg_sql("base", True) + ",\nends AS (SELECT x_id AS node_id, x_type AS node_type, x_name AS name, x_source AS source FROM kg UNION ALL SELECT y_id, y_type, y_name, y_source FROM kg),\nbase_ends AS (SELECT x_id AS node_id, x_type AS node_type FROM base UNION ALL SELECT y_id, y_type FROM base)\n"
+
+
+_SORTED = "array_to_string(list_sort(list_filter(regexp_split_to_array({c}, '[\\t-\\r\\x1C-\\x20\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+'), lambda w: w <> '')), ' ')"
+
+
+def fuzzy_sql(mentions: str, entities: str, least: float) -> str:
+    """CTE fuzzy (mention, entity, score, rank) over tables mentions (mention) and entities (entity), for SQL to check with: the longest common subsequence of the sorted texts,
+    up to 120 characters, in bit-parallel form; the edit distance (of bytes, up to four a character), which the indel distance cannot fall below, leaves out hopeless pairs."""
+    return f"""fz AS (SELECT mention, entity, a, b, length(a) AS n, length(b) AS m FROM (SELECT mention, {_SORTED.format(c='mention')} AS a FROM {mentions}), (SELECT entity, {_SORTED.format(c='entity')} AS b FROM {entities})),
+fy AS (SELECT mention, entity, a, b, n + m AS size, m, (1::HUGEINT << m::INT) - 1 AS whole FROM fz WHERE 200.0 * least(n, m) >= {least} * (n + m) AND levenshtein(a, b) <= (1 - {least} / 100.0) * (n + m) * CASE WHEN strlen(a) = n AND strlen(b) = m THEN 1 ELSE 4 END + 1e-6),
+fs AS (SELECT mention, entity, CASE WHEN size = 0 THEN 100.0 ELSE round(200.0 * (m - bit_count(list_reduce(list_transform(string_split(a, ''), lambda c: list_sum(list_transform(range(1, m + 1), lambda i: CASE WHEN b[i] = c THEN (1::HUGEINT << (i - 1)::INT) ELSE 0::HUGEINT END))::HUGEINT), lambda v, k: ((v + (v & k)) | (v - (v & k))) & whole, whole))) / size, 6) END AS score FROM fy),
+fuzzy AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, entity) AS rank FROM fs WHERE score >= {least})"""
