@@ -168,10 +168,10 @@ def merge_full(base: DataFrame, triples: DataFrame, min_support: int = 1, accept
     came = x.select(F.explode(F.array(*[F.struct(F.col(c).alias("name"), F.struct("at", "id", F.lit(i).alias("side")).alias("came")) for i, c in enumerate("xy")])).alias("n")).select("n.*").groupBy("name").agg(F.min("came").alias("came"))
     mentions = cut(came.join(name_types(came, answers), "name"))
     known = cut(entity_table(base))
-    met = align(mentions.select(F.col("name").alias("mention")), known.select(F.col("name").alias("entity")), accept, rerank=rerank, confirm=confirm)
+    met = cut(align(mentions.select(F.col("name").alias("mention")), known.select(F.col("name").alias("entity")), accept, accept if rerank is None and confirm is None else 60.0, rerank, confirm))
     pick = F.min(F.struct((F.col("type") != F.col("entity_type")).alias("other"), "entity_type", "index", "id", "source")).alias("e")
     chosen = met.join(mentions.select(F.col("name").alias("mention"), "type"), "mention").join(known.select(F.col("name").alias("entity"), F.col("type").alias("entity_type"), "index", "id", "source"), "entity")
-    chosen = chosen.groupBy("mention", "type", "how", F.col("entity").alias("name")).agg(pick).select("mention", "type", "how", "name", "e.entity_type", "e.index", "e.id", "e.source")
+    chosen = cut(chosen.groupBy("mention", "type", "how", F.col("entity").alias("name")).agg(pick).select("mention", "type", "how", "name", "e.entity_type", "e.index", "e.id", "e.source"))
     fresh = mentions.join(chosen.select(F.col("mention").alias("name")), "name", "left_anti")
     fresh = global_index(fresh, ["came", "name"], "index", next_index(base))
     fresh = fresh.select(F.col("name").alias("mention"), "type", F.lit("new").alias("how"), "name", F.col("type").alias("entity_type"), "index", slug(F.col("name"), "custom_entity").alias("id"), F.lit("CUSTOM").alias("source"))

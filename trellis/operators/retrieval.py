@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.functions.similarity import ratio, token_sort
+from trellis.functions.similarity import token_sort
 from trellis.operators.ranking import top_per_key
 from trellis.session import cut
 
@@ -63,6 +63,15 @@ def _letters(texts: list[str]) -> np.ndarray:
     return out
 
 
+def _neighbours(texts: list[str]) -> np.ndarray:
+    """Per text how often it has each of 256 groups of two characters side by side."""
+    out = np.zeros((len(texts), 256), np.uint8)
+    for i, t in enumerate(texts):
+        c = np.frombuffer(t.encode("utf-32-le"), np.uint32)[:255].astype(np.int64)
+        np.add.at(out[i], (c[:-1] * 31 + c[1:]) % 256, 1)
+    return out
+
+
 class _Names:
     """Entity names in order of the length of their sorted texts."""
 
@@ -70,12 +79,14 @@ class _Names:
         self.rows = sorted((len(t), t, n) for n in names for t in [token_sort(n)])
         self.lengths = np.array([r[0] for r in self.rows], np.int64)
         self.letters = _letters([r[1] for r in self.rows])
+        self.pairs = _neighbours([r[1] for r in self.rows])
 
     def best(self, mention: str, k: int, least: float) -> list[tuple[str, float]]:
         """The k names of the highest ratio of at least least, ties by name.
 
         No pair of that ratio is missed: lengths that cannot reach it are left out, then names that do not share enough characters, whatever their
-        order; the rest is compared in order of that bound until no bound reaches the k-th best.
+        order, then names whose pairs of neighbouring characters differ too much (a character more or less changes three of them at most); the rest is
+        compared in order of the bound until no bound reaches the k-th best.
         """
         t = token_sort(mention)
         n = len(t)
@@ -90,12 +101,25 @@ class _Names:
             shared = np.minimum(self.letters[lo:hi], _letters([t])[0]).sum(axis=1, dtype=np.int64)
             bound = np.where(self.lengths[lo:hi] > 255, 200.0 * n / size, 200.0 * shared / size)
         at = np.flatnonzero(np.round(bound, 6) >= least)
+        if n <= 255 and len(at):
+            apart = np.abs(self.pairs[lo + at].astype(np.int16) - _neighbours([t])[0].astype(np.int16)).sum(axis=1, dtype=np.int64)
+            tight = 100.0 - 100.0 * -(-apart // 3) / size[at]
+            bound[at] = np.where(self.lengths[lo + at] > 255, bound[at], np.minimum(bound[at], tight))
+            at = at[np.round(bound[at], 6) >= least]
+        masks: dict[str, int] = {}
+        for j, c in enumerate(t):
+            masks[c] = masks.get(c, 0) | 1 << j
+        whole = (1 << n) - 1
         out: list[tuple[float, str]] = []
         for i in at[np.argsort(-bound[at], kind="stable")]:
             if len(out) >= k and round(bound[i], 6) < -out[k - 1][0]:
                 break
             _, text, name = self.rows[lo + i]
-            if (score := round(ratio(t, text), 6)) >= least:
+            v = whole  # longest common subsequence, all of t's characters at once
+            for c in text:
+                u = v & masks.get(c, 0)
+                v = ((v + u) | (v - u)) & whole
+            if (score := round(200.0 * (n - v.bit_count()) / (n + len(text)), 6)) >= least:
                 insort(out, (-score, name))
                 del out[k:]
         return [(name, -s) for s, name in out]
@@ -112,7 +136,8 @@ def fuzzy_top(mentions: DataFrame, entities: DataFrame, k: int = 5, least: float
     spark = m.sparkSession
     n = max(1, -(-e.count() // block))
     e = cut(e) if n > 1 else e
-    spread = m.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "mention")
+    # by a hash of its own: the partitioning that made the mentions distinct may have been put together into a few tasks
+    spread = m.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("mention"))
     out = None
     for i in range(n):
         mine = e if n == 1 else e.where(F.pmod(F.xxhash64("entity"), F.lit(n)) == i)
@@ -140,8 +165,7 @@ def align(mentions: DataFrame, entities: DataFrame, accept: float = 80.0, ask: f
     exact = m.join(entities.select(F.lower(F.trim("entity")).alias("n"), "entity").groupBy("n").agg(F.min("entity").alias("entity")), F.lower(F.trim("mention")) == F.col("n")).select("mention", "entity", F.lit("exact").alias("how"))
     rest = m.join(exact.select("mention"), "mention", "left_anti")
     top = fuzzy_top(rest, entities, k if rerank is not None or confirm is not None else 1, ask)
-    if rerank is not None or confirm is not None:
-        top = cut(top)
+    top = cut(top)  # read by each of the following stages
     best = top.where("rank = 1").select("mention", "entity", "score")
     y = rest.join(best, "mention", "left")
     sure = exact.unionByName(y.where(F.col("score").isNull()).select("mention", F.lit(None).cast("string").alias("entity"), F.lit("new").alias("how")))
