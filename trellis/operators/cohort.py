@@ -24,6 +24,12 @@ def unknown(c: Column) -> Column:
     return F.when(t.isNull() | t.isin("nan", "NA"), "Unknown").otherwise(t)
 
 
+def stage_group(stage: Column) -> Column:
+    """Stage IV, Stage I-III, or null where the stage is not known."""
+    t = unknown(stage)
+    return F.when(F.contains(t, F.lit("4")) | F.contains(F.upper(t), F.lit("IV")), "Stage IV").when(t != "Unknown", "Stage I-III")
+
+
 def os_event(status: Column) -> Column:
     """1 for 1:DECEASED and the like, 0 for 0:LIVING, null otherwise."""
     s = F.upper(trimmed(F.coalesce(status, F.lit(""))))

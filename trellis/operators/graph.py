@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trellis.functions.text import compact_text, norm_text
 from trellis.operators.ranking import top_per_key
-from trellis.session import BROADCAST_ROWS, cut
+from trellis.session import BROADCAST_ROWS, broadcast_bounded, cut
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -23,11 +23,15 @@ def last_edge(edges: DataFrame, ordinal: str) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.max_by("relation", ordinal).alias("relation"))
 
 
-def to_ids(edges: DataFrame, nodes: DataFrame, relations: DataFrame) -> DataFrame:
-    """Edges over ids; an edge with an unknown name has no id and is an error of the caller's tables, so it is dropped."""
+def to_ids(edges: DataFrame, nodes: DataFrame, relations: DataFrame, strict: bool = True) -> DataFrame:
+    """Edges over ids: src_id, relation_id, dst_id. An unknown name or relation is an error when the rows are read; not strict: such edges are left out."""
     n = nodes.select("name", F.col("id").alias("nid"))
-    x = edges.join(n.withColumnsRenamed({"name": "src", "nid": "src_id"}), "src").join(n.withColumnsRenamed({"name": "dst", "nid": "dst_id"}), "dst")
-    return x.join(F.broadcast(relations.select(F.col("name").alias("relation"), F.col("id").alias("relation_id")).limit(BROADCAST_ROWS)), "relation").select("src_id", "relation_id", "dst_id")
+    how = "left" if strict else "inner"
+    x = edges.join(n.withColumnsRenamed({"name": "src", "nid": "src_id"}), "src", how).join(n.withColumnsRenamed({"name": "dst", "nid": "dst_id"}), "dst", how)
+    x = x.join(broadcast_bounded(relations.select(F.col("name").alias("relation"), F.col("id").alias("relation_id"))), "relation", how)
+    def known(c: str, of: str) -> Column:
+        return F.coalesce(c, F.raise_error(F.concat(F.lit("unknown name: "), F.coalesce(of, F.lit("null"))))).alias(c) if strict else F.col(c)
+    return x.select(known("src_id", "src"), known("relation_id", "relation"), known("dst_id", "dst"))
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, mode: str = "bidirectional") -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trellis.session import cut
+from trellis.session import broadcast_bounded, cut
 
 
 def global_index(df: DataFrame, order: Sequence[str], name: str = "index", start: int = 0) -> DataFrame:
@@ -41,12 +41,12 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
 
 
-def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 42, name: str = "fold") -> DataFrame:
-    """df with a fold from 0 to k - 1: rows are numbered within each label in the order of a seeded hash of key, modulo k, so a label's folds differ by one row at most.
+def stratified_folds(df: DataFrame, label: str, key: str, k: int | Column, seed: int = 42, name: str = "fold") -> DataFrame:
+    """df with a fold from 0 to k - 1: rows are numbered within each label in the order of a seeded hash (md5 of key:seed) and of key, modulo k, so a label's folds differ by one row at most.
 
-    The numbers are places in one global order less the place where the label starts; no label needs to fit a task.
+    The numbers are places in one global order less the place where the label starts; no label needs to fit a task. k may be a column that is the same for all rows of a label.
     """
-    x = global_index(df.withColumn("__hash", F.xxhash64(F.col(key), F.lit(seed))), [label, "__hash", key], "__place")
+    x = global_index(df.withColumn("__hash", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))), [label, "__hash", key], "__place")
     first = x.groupBy(F.col(label).alias("__label")).agg(F.min("__place").alias("__first"))
-    x = x.join(first, F.col(label).eqNullSafe(F.col("__label")))
-    return x.withColumn(name, ((F.col("__place") - F.col("__first")) % k).cast("int")).drop("__hash", "__place", "__label", "__first")
+    x = x.join(broadcast_bounded(first), F.col(label).eqNullSafe(F.col("__label")))
+    return x.withColumn(name, F.pmod(F.col("__place") - F.col("__first"), k if isinstance(k, Column) else F.lit(k)).cast("int")).drop("__hash", "__place", "__label", "__first")

@@ -31,10 +31,6 @@ def oof(s: SparkSession, d: str) -> DataFrame:
     return m.select("row_id", "patient_id", "cancer_type", "stage", "os_time", "os_event", "fold", models.alias("m")).select("row_id", "patient_id", "cancer_type", "stage", "os_time", "os_event", "fold", "m.model", "m.risk_score")
 
 
-def folds(s: SparkSession, d: str) -> DataFrame:
-    return oof(s, d).groupBy(F.col("cancer_type").alias("dataset"), "model", "fold").agg(F.avg("risk_score").alias("c_index"))
-
-
 NUMBERS = ("age", "tmb", "tumor_purity", "os_time")
 
 
@@ -64,11 +60,6 @@ def eval_times(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(float(round(t, 4)),) for t in V.eval_times(x, "os_time", "os_event")], "time double")
 
 
-def paired_t(s: SparkSession, d: str) -> DataFrame:
-    rows = [(r["dataset"], r["n"], r["t"], r["p"]) for r in V.paired_t(folds(s, d), "clinical_only", "clinical_molecular", "c_index")]
-    return s.createDataFrame(rows, "dataset string, n long, t double, p double")
-
-
 QUERIES = {
     "cohort_index_sample": lambda s, d: C.index_sample(table(s, d, "data_clinical_sample")).select("patient_id", "sample_id", "sample_type", "gene_panel"),
     "cohort_treatment_lists": lambda s, d: C.list_per(table(s, d, "data_timeline_treatment"), "patient_id", "agent", "treatments").select("patient_id", "num_treatments"),
@@ -83,8 +74,6 @@ QUERIES = {
     "feat_topk_multihot": multi_hot_agents,
     "feat_one_hot": lambda s, d: C.one_hot(table(s, d, "msk_chord_patient_level"), "row_id", "stage", ["Stage 1-3", "Stage 4"]),
     "feat_median_impute": lambda s, d: C.impute_by_fold(table(s, d, "msk_chord_patient_level").select("row_id", (F.col("row_id") % 5).cast("int").alias("fold"), "tmb", "tumor_purity"), "fold", ["tmb", "tumor_purity"], range(5)).select("row_id", "test_fold", "part", "tmb", "tumor_purity"),
-    "ablation_summary": lambda s, d: V.summary(folds(s, d), ["model"], ["c_index"]).select("model", F.round("c_index_mean", 6).alias("c_index_mean"), F.round("c_index_std", 6).alias("c_index_std")),
-    "ablation_by_dataset": lambda s, d: V.summary(folds(s, d), ["dataset", "model"], ["c_index"]).select("dataset", "model", F.round("c_index_mean", 6).alias("c_index_mean"), F.round("c_index_std", 6).alias("c_index_std")),
     "oof_first_fold": lambda s, d: C.first_per(oof(s, d), ["patient_id", "model"], ["fold", "row_id"]).select("patient_id", "model", "fold", "risk_score"),
     "oof_risk_quartiles": lambda s, d: risk_groups(s, d).select("patient_id", "risk_score", F.col("quartile").cast("int").alias("quartile")),
     "oof_high_risk_patients": lambda s, d: risk_groups(s, d).where("quartile = 4").orderBy(F.desc("risk_score"), "row_id").limit(20).select("patient_id", "risk_score"),
@@ -95,7 +84,6 @@ QUERIES = {
     "stratified_folds": lambda s, d: stratified_folds(table(s, d, "msk_chord_patient_level").where("os_event IS NOT NULL").select("row_id", "os_event"), "os_event", "row_id", 5),
     "log_rank": log_rank,
     "dynamic_auc": dynamic_auc,
-    "paired_t_test": paired_t,
     "hash_sample": lambda s, d: hash_sample(table(s, d, "step_03").select("id", "s", "p", "o"), "id", 100),
 }
 
@@ -118,7 +106,6 @@ strict AS (SELECT lvl.*, {_UNK.format(f=_f('cancer_type'))} AS ct FROM lvl JOIN
 _OOF = f"""WITH o0 AS (SELECT row_id, patient_id, {_UNK.format(f=_f('cancer_type'))} AS cancer_type, {_UNK.format(f=_f('stage'))} AS stage, os_time, os_event, CAST(row_id % 5 AS INT) AS fold, round(coalesce(age, 60.0) / 100 + CASE WHEN stage = 'Stage 4' THEN 1.0 ELSE 0.0 END, 4) AS risk, CASE WHEN sample_type = 'Metastasis' THEN 1.0 ELSE 0.0 END AS met FROM msk_chord_patient_level WHERE os_time > 0 AND os_event IS NOT NULL),
 oof AS (SELECT * EXCLUDE (risk, met), 'clinical_only' AS model, risk AS risk_score FROM o0 UNION ALL SELECT * EXCLUDE (risk, met), 'clinical_molecular', round(risk * 0.5 + met, 4) FROM o0),
 one AS (SELECT * FROM oof WHERE model = 'clinical_only'),
-fold AS (SELECT cancer_type AS dataset, model, fold, avg(risk_score) AS c_index FROM oof GROUP BY ALL),
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY patient_id, model ORDER BY fold, row_id) AS i FROM oof) WHERE i = 1),
 ed AS (SELECT quantile_cont(risk_score, 0.25) AS a, quantile_cont(risk_score, 0.5) AS b, quantile_cont(risk_score, 0.75) AS c FROM firsts WHERE model = 'clinical_only'),
 grp AS (SELECT f.*, CAST(1 + (risk_score > a)::INT + (risk_score > b AND b > a)::INT + (risk_score > c AND c > b)::INT AS INT) AS quartile FROM firsts f, ed WHERE model = 'clinical_only')
@@ -145,8 +132,6 @@ ORACLE = {
     "feat_median_impute": """WITH e AS (SELECT row_id, CASE WHEN isnan(tmb) THEN NULL ELSE tmb END AS tmb, CASE WHEN isnan(tumor_purity) THEN NULL ELSE tumor_purity END AS tumor_purity, f AS test_fold, CASE WHEN row_id % 5 = f THEN 'test' ELSE 'train' END AS part FROM msk_chord_patient_level, (SELECT unnest([0, 1, 2, 3, 4]) AS f)),
 m AS (SELECT test_fold, quantile_cont(tmb, 0.5) AS a, quantile_cont(tumor_purity, 0.5) AS b FROM e WHERE part = 'train' GROUP BY 1)
 SELECT row_id, test_fold, part, coalesce(tmb, a, 0.0) AS tmb, coalesce(tumor_purity, b, 0.0) AS tumor_purity FROM e LEFT JOIN m USING (test_fold)""",
-    "ablation_summary": _OOF + "SELECT model, round(avg(c_index), 6) AS c_index_mean, round(stddev_samp(c_index), 6) AS c_index_std FROM fold GROUP BY 1",
-    "ablation_by_dataset": _OOF + "SELECT dataset, model, round(avg(c_index), 6) AS c_index_mean, round(stddev_samp(c_index), 6) AS c_index_std FROM fold GROUP BY 1, 2",
     "oof_first_fold": _OOF + "SELECT patient_id, model, fold, risk_score FROM firsts",
     "oof_risk_quartiles": _OOF + "SELECT patient_id, risk_score, quartile FROM grp",
     "oof_high_risk_patients": _OOF + "SELECT patient_id, risk_score FROM grp WHERE quartile = 4 ORDER BY risk_score DESC, row_id LIMIT 20",
@@ -156,7 +141,6 @@ SELECT row_id, test_fold, part, coalesce(tmb, a, 0.0) AS tmb, coalesce(tumor_pur
     + "SELECT *, round((concordant + tied / 2) / comparable, 6) AS c_index FROM (SELECT count(*) FILTER (WHERE j.risk_score < i.risk_score) AS concordant, count(*) FILTER (WHERE j.risk_score = i.risk_score) AS tied, count(*) AS comparable FROM one i JOIN one j ON i.os_event = 1 AND (j.os_time > i.os_time OR (j.os_time = i.os_time AND j.os_event = 0)))",
     "eval_times": _OOF
     + "SELECT DISTINCT round(t, 4) AS time FROM (SELECT unnest([quantile_cont(os_time, 0.25), quantile_cont(os_time, 0.5), quantile_cont(os_time, 0.75)]) AS t FROM one WHERE os_event = 1) WHERE t > (SELECT min(os_time) FROM one) AND t < (SELECT max(os_time) FROM one)",
+    "stratified_folds": "SELECT row_id, os_event, CAST((row_number() OVER (PARTITION BY os_event ORDER BY md5(row_id || ':42'), row_id) - 1) % 5 AS INT) AS fold FROM msk_chord_patient_level WHERE os_event IS NOT NULL",
     "dataset_specs": _OOF + "SELECT cancer_type, stage, count(*) AS n, CAST(sum(os_event) AS BIGINT) AS events FROM one GROUP BY GROUPING SETS ((), (cancer_type), (cancer_type, stage)) HAVING count(*) >= 20 AND least(sum(os_event), count(*) - sum(os_event)) >= 2",
-    "paired_t_test": None,
 }
-ORACLE = {k: v for k, v in ORACLE.items() if v}
