@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -65,6 +66,19 @@ def as_triples(values: list) -> list[dict]:
     return out
 
 
+#: What stands for an answer of which nothing can be read. Fixed values.
+PARSE_ERROR = {"s": "None", "p": "None", "o": "ParseError"}
+
+
+def strict_triples(text: str | None) -> list[dict]:
+    """The triples of the first list of objects in text, code fences aside; an answer without a readable one gives the parse-error triple."""
+    m = re.search(r"\[\s*\{.*?\}\s*\]", _FENCE.sub("", text or ""), re.S)
+    try:
+        return as_triples(json.loads(m[0])) if m else [dict(PARSE_ERROR)]
+    except ValueError:
+        return [dict(PARSE_ERROR)]
+
+
 @F.pandas_udf(TRIPLES)
 def rescued_triples(text: pd.Series) -> pd.Series:
     return text.map(lambda t: as_triples(rescue_array(t)))
@@ -111,20 +125,35 @@ def parse_graph_log(df: DataFrame) -> DataFrame:
     return x.groupBy(F.col("f")[1].alias("head"), F.col("f")[2].alias("tail"), F.col("f")[3].alias("description")).agg(F.min(weight).alias("weight"))
 
 
-def answers(df: DataFrame, prompt_col: str, backend, into: str = "answer", retries: int = 3) -> DataFrame:
-    """df with a model's answer to each prompt; backend.complete(list of prompts) -> list of texts. Equal prompts of a batch are asked once, a failed batch is retried, then null."""
-    schema = T.StructType([*df.schema.fields, T.StructField(into, T.StringType())])
+def answers(df: DataFrame, prompt_col: str, backend, into: str = "answer", retries: int = 3, delay: float = 0.0) -> DataFrame:
+    """df with a model's answer to each prompt; backend.complete(list of prompts) -> list of texts.
+
+    Equal prompts of a batch are asked once. A failed batch is asked again after delay seconds, up to retries times in all; if it fails still, its answers are null and the last error is in
+    <into>_error, so that nothing is lost in silence.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField(into, T.StringType()), T.StructField(f"{into}_error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             codes, prompts = pd.factorize(b[prompt_col])
-            got: list = [None] * len(prompts)
-            for _ in range(retries):
+            got, error = [None] * len(prompts), None
+            for attempt in range(retries):
                 try:
-                    got = backend.complete(list(prompts))
+                    got, error = backend.complete(list(prompts)), None
                     break
-                except Exception:  # noqa: BLE001 - whatever a model client raises
-                    continue
-            yield b.assign(**{into: [got[c] if c >= 0 else None for c in codes]})
+                except Exception as e:  # noqa: BLE001 - whatever a model client raises
+                    error = f"{type(e).__name__}: {e}"
+                    if attempt + 1 < retries:
+                        time.sleep(delay)
+            yield b.assign(**{into: [got[c] if c >= 0 else None for c in codes], f"{into}_error": error})
 
     return df.mapInPandas(run, schema)
+
+
+@F.udtf(returnType="s: string, p: string, o: string")
+class RescueTriples:
+    """rescue_triples(text) as a table function: one row per complete triple of a text."""
+
+    def eval(self, text: str):
+        for t in as_triples(rescue_array(text)):
+            yield t["s"], t["p"], t["o"]

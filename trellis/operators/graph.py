@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -58,10 +58,17 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def common_neighbours(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of each pair (a, b) the nodes that both touch. Pairs restrict the edges first, so the two-hop join is never built for the whole graph."""
-    u = undirected(edges)
-    left = pairs.join(u.select(F.col("src").alias("a"), F.col("dst").alias("mid")), "a")
-    return left.join(u.select(F.col("src").alias("mid"), F.col("dst").alias("b")), ["b", "mid"]).select("a", "b", "mid").distinct()
+    """Of each pair (a, b) the nodes that both touch.
+
+    The neighbours of the different a and those of the different b meet once on the node in the middle, so the pairs, which may be all of one set with all of another, multiply nothing.
+    """
+    return _common(undirected(edges), pairs)
+
+
+def _common(u: DataFrame, pairs: DataFrame) -> DataFrame:
+    of_a = u.join(broadcast_bounded(pairs.select(F.col("a").alias("src")).distinct()), "src").select(F.col("src").alias("a"), F.col("dst").alias("mid"))
+    of_b = u.join(broadcast_bounded(pairs.select(F.col("b").alias("src")).distinct()), "src").select(F.col("src").alias("b"), F.col("dst").alias("mid"))
+    return of_a.join(of_b, "mid").select("a", "b", "mid").join(broadcast_bounded(pairs.select("a", "b").distinct()), ["a", "b"], "left_semi")
 
 
 def distances(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, max_hops: int = 6, directed: bool = False) -> DataFrame:
@@ -154,30 +161,47 @@ def mapping_rates(wanted: DataFrame, resolved: DataFrame) -> DataFrame:
     return x.withColumn("rate", F.when(F.col("queries") > 0, F.col("mapped") / F.col("queries")))
 
 
-def two_hop_segments(edges: DataFrame, pairs: DataFrame, is_new: DataFrame, pathway_types: Sequence[str], k: int = 6) -> DataFrame:
+def two_hop_segments(
+    edges: DataFrame, pairs: DataFrame, is_new: DataFrame, pathway: Sequence[str] | Callable[[Column, Column], Column], k: int = 6, focus: str | None = None,
+    allow_direct: bool = True, allow_disease: bool = False, allow_odd: bool = True, odd: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
     """Scored ways from a to b, direct or over one node in the middle; the k best of each pair.
 
-    edges: src, dst, dst_type by either direction is looked up in is_new (u, v of new unordered pairs).
-    Score: 8 per new edge, 7 if the middle is pathway-like, -16 if it is a disease, -2.5 times ln(1 + its
-    degree), -1.2 per edge, and -4 for a direct way without a pathway. Ties: fewer edges, then the middle's name.
+    edges: src, dst, dst_type, every edge in both directions (a node's type is the smallest it is given); is_new: u, v of new unordered pairs. pathway (or a list of types) and odd say of a type and a
+    name whether a node is pathway-like, or odd in the middle; nodes whose name contains focus are in focus.
+    Score: 8 per new edge, 7 per pathway-like node and 6 per node in focus (ends included), -16 for a disease in the middle, -2.5 times ln(1 + the degree of the middle), -1.2 per edge, and -4
+    for a direct way without a pathway-like node. Middles that are diseases or odd are left out unless allowed. Ties: fewer edges, then the middle's name.
     """
-    u = undirected(edges)
-    direct = pairs.join(u.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"]).withColumn("mid", F.lit(None).cast("string"))
-    seg = direct.select("a", "b", "mid").unionByName(common_neighbours(edges, pairs).where("mid <> a AND mid <> b"))
-    new = is_new.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    def flag(x: DataFrame, p: Column, q: Column, name: str) -> DataFrame:
-        y = new.select(F.col("u").alias("__u"), F.col("v").alias("__v"), F.lit(1).alias(name))
-        return x.join(y, (F.least(p, q) == F.col("__u")) & (F.greatest(p, q) == F.col("__v")), "left").drop("__u", "__v")
-    seg = flag(seg, F.col("a"), F.coalesce("mid", "b"), "n1")
-    seg = flag(seg, F.coalesce("mid", F.col("b")), F.col("b"), "n2")
-    deg = degrees(edges).select(F.col("node").alias("mid"), "degree")
-    kinds = edges.select(F.col("dst").alias("mid"), F.col("dst_type").alias("mid_type")).distinct().groupBy("mid").agg(F.min("mid_type").alias("mid_type"))
-    seg = seg.join(deg, "mid", "left").join(kinds, "mid", "left")
-    hops = F.when(F.col("mid").isNull(), 1).otherwise(2)
-    n_new = F.coalesce("n1", F.lit(0)) + F.when(F.col("mid").isNotNull(), F.coalesce("n2", F.lit(0))).otherwise(0)
-    way = F.coalesce(F.col("mid_type").isin(*pathway_types), F.lit(False)).cast("int")
-    disease = F.coalesce(F.col("mid_type") == "disease", F.lit(False)).cast("int")
-    hub = F.when(F.col("mid").isNotNull(), F.log1p(F.greatest(F.lit(1), F.coalesce("degree", F.lit(1))))).otherwise(0.0)
-    score = 8 * n_new + 7 * way - 16 * disease - 2.5 * hub - 1.2 * hops - F.when(hops == 1, 4.0).otherwise(0.0)
+    like = pathway if callable(pathway) else (lambda kind, _: kind.isin(*pathway))
+    u = cut(undirected(edges))
+    kinds = cut(edges.groupBy(F.col("dst").alias("node")).agg(F.min("dst_type").alias("type")))
+    seg = _common(u, pairs).where("mid <> a AND mid <> b")
+    if allow_direct:
+        direct = u.join(broadcast_bounded(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()), ["src", "dst"], "left_semi")
+        seg = seg.unionByName(direct.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(None).cast("string").alias("mid")))
+    seg = cut(seg)
+    touched = cut(seg.select(F.explode(F.array("a", "b", "mid")).alias("node")).where("node IS NOT NULL").distinct())
+    few = broadcast_bounded(touched)
+    facts = kinds.join(few, "node", "left_semi").join(u.join(few.withColumnRenamed("node", "src"), "src", "left_semi").groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree")), "node", "left")
+    facts = cut(facts)
+    facts = F.broadcast(facts) if facts.count() <= BROADCAST_ROWS else facts
+    for n in ("a", "b", "mid"):
+        seg = seg.join(facts.select(F.col("node").alias(n), F.col("type").alias(f"{n}_type"), F.col("degree").alias(f"{n}_degree")), n, "left")
+    new = broadcast_bounded(is_new.select(F.least("u", "v").alias("__u"), F.greatest("u", "v").alias("__v"), F.lit(1).alias("__n")).distinct())
+    for i, (p, q) in enumerate(((F.col("a"), F.coalesce("mid", "b")), (F.coalesce("mid", "b"), F.col("b")))):
+        seg = seg.join(new.withColumnRenamed("__n", f"n{i}"), (F.least(p, q) == F.col("__u")) & (F.greatest(p, q) == F.col("__v")), "left").drop("__u", "__v")
+    there = F.col("mid").isNotNull()
+    no = F.lit(False)
+    is_disease = F.coalesce(F.col("mid_type") == "disease", no)
+    if not allow_disease:
+        seg = seg.where(~is_disease)
+    if not allow_odd and odd is not None:
+        seg = seg.where(~(there & F.coalesce(odd(F.col("mid_type"), F.col("mid")), no)))
+    hops = F.when(there, 2).otherwise(1)
+    n_new = F.coalesce("n0", F.lit(0)) + F.when(there, F.coalesce("n1", F.lit(0))).otherwise(0)
+    way = sum((F.coalesce(like(F.col(f"{n}_type"), F.col(n)), no).cast("int") for n in ("a", "b", "mid")), F.lit(0))
+    near = sum((F.coalesce(F.contains(n, F.lit(focus)), no).cast("int") for n in (F.col("a"), F.col("b"), F.col("mid"))), F.lit(0)) if focus else F.lit(0)
+    hub = F.when(there, F.log1p(F.greatest(F.lit(1), F.coalesce("mid_degree", F.lit(1))))).otherwise(0.0)
+    score = 8 * n_new + 7 * way + 6 * near - 16 * is_disease.cast("int") - 2.5 * hub - 1.2 * hops - F.when(~there & (way == 0), 4.0).otherwise(0.0)
     seg = seg.select("a", "b", "mid", hops.alias("hops"), n_new.alias("n_new"), F.round(score, 6).alias("score"))
     return top_per_key(seg, ["a", "b"], [F.desc("score"), "hops", F.asc_nulls_first("mid")], k)

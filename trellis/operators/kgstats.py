@@ -6,12 +6,14 @@ two hash aggregations; path counts come from degree products, never from enumera
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trellis.functions.text import lookup
+from trellis.operators import rules as R
 from trellis.session import cut
 
 
@@ -281,3 +283,32 @@ def edge_source(origins: Column) -> Column:
     return F.when(t.isin("", "[]", "nan", "none"), "base").otherwise("literature")
 
 
+
+
+def type_name(c: Column, names: Mapping[str, str] = R.TYPE_NAMES) -> Column:
+    """A type in lower case with underscores for blanks, by names where listed; null is empty under TYPE_NAMES and stays null under TYPE_NAMES_WIDE."""
+    t = F.replace(F.lower(F.trim(F.coalesce(c, F.lit("")) if names is R.TYPE_NAMES else c)), F.lit(" "), F.lit("_"))
+    return F.coalesce(lookup(t, names), t)
+
+
+def shown_relations(edges: DataFrame, shown: Sequence[str] = R.SHOWN_RELATIONS, top_k: int = 6, min_pct: float = 0.05) -> DataFrame:
+    """relation, relation_total, pair, pair_count: edges between ends of a type, by display relation (those not shown as Other) and type pair; of each relation the pairs as in top_pairs_other, the rest as Other."""
+    x = edges.select(F.trim("display_relation").alias("r"), type_name(F.col("x_type")).alias("x_type"), type_name(F.col("y_type")).alias("y_type"))
+    x = x.where(~F.col("x_type").isin("", "none") & ~F.col("y_type").isin("", "none"))
+    x = x.select(F.when(F.col("r").isin(*shown), F.col("r")).otherwise("Other").alias("display_relation"), "x_type", "y_type")
+    y = top_pairs_other(x, top_k, min_pct)
+    return y.select(F.col("display_relation").alias("relation"), F.sum("edges").over(Window.partitionBy("display_relation")).alias("relation_total"), "pair", F.col("edges").alias("pair_count"))
+
+
+def unique_columns(df: DataFrame, name: str = "table") -> DataFrame:
+    """df, or an error if a column name occurs twice, whatever its case."""
+    seen: set[str] = set()
+    if twice := [c for c in df.columns if c.lower() in seen or seen.add(c.lower())]:
+        raise ValueError(f"{name}: columns more than once: {', '.join(sorted(set(twice)))}")
+    return df
+
+
+def top_pairs_per_relation(edges: DataFrame, k: int = 15) -> DataFrame:
+    """relation, pair, edges, rank: the k pairs of each display relation with most edges."""
+    w = Window.partitionBy("display_relation").orderBy(F.desc("edges"), "pair")
+    return relation_pair_counts(edges).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

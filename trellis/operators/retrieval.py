@@ -182,9 +182,10 @@ def align(mentions: DataFrame, entities: DataFrame, accept: float = 80.0, ask: f
 
 
 def chunks(text: Column, most: int = 30) -> Column:
-    """An answer's parts: split at line ends, | ; : and commas, then at arrows; at least two characters, in order, without repeats."""
-    parts = F.split(F.regexp_replace(text, r"(--?>|=>|→)", "|"), r"[\n\r|;:,]+")
-    return F.slice(F.array_distinct(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: F.length(p) >= 2)), 1, most)
+    """An answer's parts between line ends, | ; : and commas, each followed by its own parts between arrows; at least two characters, in order, without repeats, the first most."""
+    parts = F.filter(F.transform(F.split(text, r"[\n\r|;:,]+"), lambda p: F.trim(p)), lambda p: F.length(p) >= 2)
+    each = F.flatten(F.transform(parts, lambda p: F.concat(F.array(p), F.transform(F.split(p, r"--\[.*?\]-->|<--\[.*?\]--|->"), lambda q: F.trim(q)))))
+    return F.slice(F.array_distinct(F.filter(each, lambda p: F.length(p) >= 2)), 1, most)
 
 
 def middle_hits(answer: Column, path: Column) -> Column:

@@ -214,3 +214,24 @@ TYPE_KEYWORDS = (
     ("molecular_function", ("molecular function", "binding", "catalysis", "enzymatic activity", "transport activity")),
     ("exposure", ("exposure", "toxin", "chemical", "pollutant", "radiation", "environmental", "stressor")),
 )
+
+# Names of entity types and the one each is counted under; a type that is not listed stays. Blanks are underscores before the lookup, so keys with a blank never match.
+TYPE_NAMES = {
+    "gene": "gene/protein", "protein": "gene/protein", "gene_protein": "gene/protein", "gene/protein": "gene/protein",
+    "effect": "effect/phenotype", "phenotype": "effect/phenotype", "effect_phenotype": "effect/phenotype", "effect/phenotype": "effect/phenotype",
+    "biological_process": "biological_process", "molecular_function": "molecular_function", "cellular_component": "cellular_component",
+}
+# The same for the type-pair matrix, with what says nothing as none.
+TYPE_NAMES_WIDE = {
+    "gene": "gene/protein", "protein": "gene/protein", "gene_protein": "gene/protein", "genes/proteins": "gene/protein", "gene/proteins": "gene/protein", "genes": "gene/protein", "proteins": "gene/protein",
+    "phenotype": "effect/phenotype", "phenotypes": "effect/phenotype", "effect": "effect/phenotype", "effects": "effect/phenotype", "effect_phenotype": "effect/phenotype", "effect/phenotypes": "effect/phenotype",
+    "biological process": "biological_process", "biological_processes": "biological_process", "bp": "biological_process",
+    "molecular function": "molecular_function", "molecular_functions": "molecular_function", "mf": "molecular_function",
+    "cellular component": "cellular_component", "cellular_components": "cellular_component", "cc": "cellular_component",
+    "diseases": "disease", "anatomical_entity": "anatomy", "anatomical_structure": "anatomy",
+    "chemical": "drug", "compound": "drug", "drug/compound": "drug", "drugs": "drug",
+    "environmental_exposure": "exposure", "environment": "exposure", "medical_procedure": "procedure", "procedures": "procedure",
+    "": "none", "na": "none", "nan": "none", "null": "none", "unknown": "none", "other": "none",
+}
+# Display relations that are shown apart, in their order; the others are Other.
+SHOWN_RELATIONS = ("associated with", "used for", "part of", "phenotype present", "parent-child", "indication", "causes", "affects expression", "located in", "expressed in")

@@ -24,8 +24,10 @@ def ranked(s: SparkSession, d: str) -> DataFrame:
     added = e.where("fresh").select(F.col("x_name").alias("u"), F.col("y_name").alias("v"))
     def pairs(a: tuple, b: tuple) -> DataFrame:
         return s.createDataFrame([(x, y) for x in a for y in b], "a string, b string")
-    ag = G.two_hop_segments(both, pairs(ANCHORS, GENES), added, ["pathway", "biological_process"], 6)
-    gd = G.two_hop_segments(both, pairs(GENES, DRUGS), added, ["pathway", "biological_process"], 6)
+    node = lambda kind, name: F.struct(kind.alias("type"), name.alias("name"))
+    ways = {"pathway": lambda kind, name: X.is_pathway_like(node(kind, name)), "odd": lambda kind, name: X.is_odd(node(kind, name)), "focus": "pancrea", "allow_disease": True}
+    ag = G.two_hop_segments(both, pairs(ANCHORS, GENES), added, k=6, **ways)
+    gd = G.two_hop_segments(both, pairs(GENES, DRUGS), added, k=6, **ways)
     p = X.join_segments(cut(ag), cut(gd))
     kinds = both.groupBy(F.col("dst").alias("name")).agg(F.min("dst_type").alias("type"))
     typed = p.select("path_id", F.posexplode("names").alias("i", "name")).join(kinds, "name", "left").groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("type", F.lit("none")).alias("type"), "name"))).alias("n"))
