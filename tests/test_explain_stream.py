@@ -34,7 +34,7 @@ def test_paths_are_scored_by_mode_and_chosen_apart(spark):
     got = {r.path_id: r for r in X.rank_paths(f).collect()}
     assert set(got) == {"a > g > d", "a > p > g > d"}  # a path from disease in general is never allowed
     long = got["a > p > g > d"]
-    assert (long["mode"], long.n_new, long.n_pathway, long.novel, long.tier) == ("strict_pathway", 1, 1, 1, "novel pathway")
+    assert (long["mode"], long.n_new, long.n_pathway, long.novel, long.tier) == ("strict_pathway", 1, 1, 1, "mechanistic_novel")
     hub = 2.2 * 0.6931471805599453  # the gene at 1.2 and one node between
     assert abs(long.score - (30 + 10 + 14 + 4 - 3.2 * hub - 6 + 14 + 6 + 8 - 4)) < 1e-5
     many = spark.createDataFrame([("p", f"{g}{i}", g, [g, str(i)], 100.0 - i) for g in "xy" for i in range(4)], "patient string, path_id string, gene string, names array<string>, score double")

@@ -6,13 +6,18 @@ edges come from one exploded join each.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
+from trellis.functions.text import pretty_name
 from trellis.operators.ranking import top_per_key
+from trellis.operators.survival import quantile_groups
 
 # Hints of pathway-like types and names, entity types allowed between the ends, names of disease in general and of cancers.
 PATHWAY_TYPES = ("pathway", "biological_process", "go_term", "molecular_function", "cellular_component", "process", "function", "signaling", "signalling", "hallmark")
@@ -95,7 +100,7 @@ def score(bonus: Column) -> Column:
 
 def tier() -> Column:
     c = F.col
-    return F.when((c("novel") == 1) & (c("n_pathway") > 0), "novel pathway").when(c("n_pathway") > 0, "pathway").when(c("novel") == 1, "novel association").otherwise("association")
+    return F.when((c("novel") == 1) & (c("n_pathway") > 0), "mechanistic_novel").when(c("n_pathway") > 0, "mechanistic_supported").when(c("novel") == 1, "novel_association").otherwise("association_like")
 
 
 def allowed(m: Mode) -> Column:
@@ -152,10 +157,86 @@ def diverse(paths: DataFrame, top_k: int = 10, per_gene: int = 2) -> DataFrame:
     return cols.withColumn("names", F.col("names").cast("array<string>")).groupBy("patient").applyInPandas(lambda p: pick(p.assign(names=[list(n) for n in p["names"]])), "patient string, path_id string, gene string, score double, diverse_rank int")
 
 
-def path_text(names: Column) -> Column:
-    return F.array_join(names, " -- ")
+def anchors(mapped: DataFrame, focus: str = "pancrea") -> DataFrame:
+    """Anchors of each patient: patient, node, rank. mapped: patient, kind (disease or anatomy), node (struct of type and name), in the order of rank.
+
+    The first of these that is not empty: diseases in focus that are not generic, anatomy in focus, diseases that are not generic, any anatomy.
+    """
+    n, disease = F.col("node"), F.col("kind") == "disease"
+    near, generic = F.contains(n["name"], F.lit(focus)), is_generic_disease(n)
+    level = F.when(disease & near & ~generic, 0).when(~disease & near, 1).when(disease & ~generic, 2).when(~disease, 3)
+    x = mapped.withColumn("__level", level).where("__level IS NOT NULL")
+    best = x.groupBy("patient").agg(F.min("__level").alias("__best"))
+    return x.join(best, "patient").where((F.col("__level") == F.col("__best")) | ((F.col("__best") == 3) & (F.col("__level") == 3))).select("patient", "node", "rank")
+
+
+def choose_patients(predictions: DataFrame, cohort: DataFrame, mapped: DataFrame, by: list[str]) -> DataFrame:
+    """The representative patient of each group of by (such as model, cancer_type and stage_group): by, patient_id, risk_score, n_tx, n_gene, resolvable.
+
+    predictions: by, patient_id, fold, risk_score; cohort: patient_id, n_tx, n_gene (left join: a patient without a row has none); mapped: patient_id of those whose disease, agents and genes
+    are all found in the graph. Of each patient's first fold, those of the top quarter of risk (all, if that is empty) in order of risk, agents and genes; the first that is resolvable, else the first.
+    """
+    first = top_per_key(predictions, [*by, "patient_id"], ["fold"], 1, "__f").drop("__f")
+    q = quantile_groups(first, by, "risk_score", "__q")
+    top = q.groupBy(*by).agg(F.max("__q").alias("__top"))
+    high = q.join(top, by).where((F.col("__q") == 4) | (F.col("__top") < 4))
+    x = high.join(cohort.select("patient_id", "n_tx", "n_gene"), "patient_id", "left").join(mapped.select("patient_id").distinct().withColumn("resolvable", F.lit(True)), "patient_id", "left")
+    x = x.select(*by, "patient_id", "risk_score", F.coalesce("n_tx", F.lit(0)).alias("n_tx"), F.coalesce("n_gene", F.lit(0)).alias("n_gene"), F.coalesce("resolvable", F.lit(False)).alias("resolvable"))
+    return top_per_key(x, by, [F.desc("resolvable"), F.desc("risk_score"), F.desc("n_tx"), F.desc("n_gene"), "patient_id"], 1).drop("rank")
+
+
+def in_order(paths: DataFrame, name: str = "rank") -> DataFrame:
+    """paths of features and score with a rank: novel first, then more pathway-like nodes, more nodes in focus, more origins, the higher score, the shorter path; ties by path_id. Ranked per anchor, gene and drug's patient where there is a column patient."""
+    keys = ["patient"] if "patient" in paths.columns else []
+    order = [F.desc("novel"), F.desc("n_pathway"), F.desc("n_focus"), F.desc("n_origins"), F.desc("score"), F.col("n_hops"), F.col("path_id")]
+    return paths.withColumn(name, F.row_number().over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy(*order)))
+
+
+def _pretty(n: Column) -> Column:
+    return pretty_name(n["type"], n["name"])
 
 
-def subgraph(paths: DataFrame) -> DataFrame:
-    """Distinct nodes of chosen paths: name and how many paths it is on."""
-    return paths.select("path_id", F.explode(F.array_distinct("names")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("paths"))
+def node_id(n: Column) -> Column:
+    return F.concat(n["type"], F.lit("|"), n["name"])
+
+
+def steps(paths: DataFrame) -> DataFrame:
+    """path_id, i, a, b: the edges of each path in order, ends as struct(type, name)."""
+    return paths.select("path_id", F.posexplode(F.expr("transform(sequence(1, size(nodes) - 1), i -> struct(nodes[i - 1] AS a, nodes[i] AS b))")).alias("i", "e")).select("path_id", "i", "e.a", "e.b")
+
+
+def path_text(paths: DataFrame, relations: DataFrame) -> DataFrame:
+    """path_id, text: type:Name --relation--> type:Name and so on. relations: u, v (names, u < v) and relation; an edge without one is related_to."""
+    x = steps(paths).withColumns({"u": F.least("a.name", "b.name"), "v": F.greatest("a.name", "b.name")})
+    x = x.join(relations.groupBy("u", "v").agg(F.min("relation").alias("relation")), ["u", "v"], "left")
+    label = lambda n: F.concat(n["type"], F.lit(":"), _pretty(n))
+    step = F.struct("i", F.concat(F.lit("--"), F.coalesce(F.nullif("relation", F.lit("")), F.lit("related_to")), F.lit("--> "), label(F.col("b"))).alias("t"))
+    got = x.groupBy("path_id").agg(F.array_sort(F.collect_list(step)).alias("s"), F.min(F.when(F.col("i") == 0, label(F.col("a")))).alias("head"))
+    return got.select("path_id", F.concat_ws(" ", "head", F.array_join(F.col("s.t"), " ")).alias("text"))
+
+
+def subgraph_nodes(paths: DataFrame, genes: Sequence[str] = (), drugs: Sequence[str] = (), places: Sequence[str] = (), focus: str = "pancrea") -> DataFrame:
+    """Distinct nodes of chosen paths: node_id, node_type, node_name, pretty_name, flags (is_patient_gene, is_patient_drug, is_patient_anchor, is_pathway_like, is_in_focus) and on how many paths."""
+    n = F.col("n")
+    x = paths.select("path_id", F.explode(F.array_distinct("nodes")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("paths"))
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    near = F.contains(n["name"], F.lit(focus))
+    return x.select(
+        node_id(n).alias("node_id"), n["type"].alias("node_type"), n["name"].alias("node_name"), _pretty(n).alias("pretty_name"), flag((n["type"] == "gene/protein") & n["name"].isin(*genes)).alias("is_patient_gene"),
+        flag((n["type"] == "drug") & n["name"].isin(*drugs)).alias("is_patient_drug"), flag(n["name"].isin(*places) | near).alias("is_patient_anchor"), flag(is_pathway_like(n)).alias("is_pathway_like"), flag(near).alias("is_in_focus"), "paths",
+    )
+
+
+def subgraph_edges(paths: DataFrame, edges: DataFrame, relations: DataFrame) -> DataFrame:
+    """Distinct edges of chosen paths, whatever their direction: the ends' ids, names and types, relation, in_base, in_new, novel (new and not in the base) and the sorted origins. edges and relations as in features and path_text."""
+    x = steps(paths)
+    a, b = F.col("a"), F.col("b")
+    turned = node_id(a) > node_id(b)
+    x = x.select(F.when(turned, b).otherwise(a).alias("a"), F.when(turned, a).otherwise(b).alias("b")).distinct()
+    x = x.withColumns({"u": F.least("a.name", "b.name"), "v": F.greatest("a.name", "b.name")}).join(relations.groupBy("u", "v").agg(F.min("relation").alias("relation")), ["u", "v"], "left")
+    x = x.join(edges.select("u", "v", "in_base", "in_new", "origins"), ["u", "v"], "left")
+    base, new = F.coalesce("in_base", F.lit(False)), F.coalesce("in_new", F.lit(False))
+    return x.select(
+        node_id(a).alias("source_id"), node_id(b).alias("target_id"), _pretty(a).alias("source_name"), _pretty(b).alias("target_name"), a["type"].alias("source_type"), b["type"].alias("target_type"), F.coalesce("relation", F.lit("")).alias("relation"),
+        base.cast("int").alias("in_base"), new.cast("int").alias("in_new"), (new & ~base).cast("int").alias("novel"), F.array_join(F.array_sort(F.coalesce("origins", F.array().cast("array<string>"))), "|").alias("origin_tags"),
+    )

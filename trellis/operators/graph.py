@@ -163,7 +163,7 @@ def mapping_rates(wanted: DataFrame, resolved: DataFrame) -> DataFrame:
 
 def two_hop_segments(
     edges: DataFrame, pairs: DataFrame, is_new: DataFrame, pathway: Sequence[str] | Callable[[Column, Column], Column], k: int = 6, focus: str | None = None,
-    allow_direct: bool = True, allow_disease: bool = False, allow_odd: bool = True, odd: Callable[[Column, Column], Column] | None = None,
+    allow_direct: bool = True, allow_disease: bool = True, allow_odd: bool = True, odd: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """Scored ways from a to b, direct or over one node in the middle; the k best of each pair.
 
