@@ -273,4 +273,32 @@ def fill_table(df: DataFrame, spec: FillSpec) -> DataFrame:
     return out.drop("__fill_id", *[f"__fill_{f}" for f in spec.fields])
 
 
-__all__ = ["NOTHING_KNOWN", "Category", "FillSpec", "Number", "fill_missing", "fill_table", "mine_dependencies"]
+def hidden_accuracy(df: DataFrame, spec: FillSpec, share: float = 0.1, seed: int = 7) -> DataFrame:
+    """How well known values come back: of a share of them, chosen by a seeded hash of row id and field, hidden at a time.
+
+    field_name, source, n, right (share filled with the very value, of texts in lower case), near (numbers: share within a tenth of the value), error (numbers: mean distance) and base_error
+    (numbers: mean distance of the median of all that was left). Everything is worked out over the whole table; row ids must be unique.
+    """
+    known = {f: kind.value(F.col(f"`{f}`")) for f, kind in spec.fields.items()}
+    hide = lambda f: F.pmod(F.xxhash64(F.col(f"`{spec.id_col}`"), F.lit(f), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+    truth = df.select(F.col(f"`{spec.id_col}`").alias("row_id"), F.explode(F.array(*[F.when(hide(f) & known[f].isNotNull(), F.struct(F.lit(f).alias("field_name"), known[f].cast("string").alias("truth"))) for f in spec.fields])).alias("t")).where("t IS NOT NULL").select("row_id", "t.*")
+    masked = cut(df.withColumns({f: F.when(~hide(f), F.col(f"`{f}`")) for f in spec.fields}))
+    number = [f for f, k in spec.fields.items() if isinstance(k, Number)]
+    x = truth.join(fill_missing(masked, spec), ["row_id", "field_name"])
+    middle = None
+    if number:
+        left = masked.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), spec.fields[f].value(F.col(f"`{f}`")).alias("v")) for f in number])).alias("t")).select("t.*").where("v IS NOT NULL")
+        middle = exact_quantiles(left, ["field_name"], "v", [0.5]).select("field_name", F.col("q").alias("middle"))
+        x = x.join(F.broadcast(middle), "field_name", "left")
+    else:
+        x = x.withColumn("middle", F.lit(None).cast("double"))
+    is_number = F.col("field_name").isin(*number) if number else F.lit(False)
+    a, b = F.col("value").try_cast("double"), F.col("truth").try_cast("double")
+    right = F.when(is_number, a == b).otherwise(F.lower("value") == F.lower("truth"))
+    return x.groupBy("field_name", "source").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(right, F.lit(False)).cast("int")).alias("right"), F.avg(F.when(is_number, (F.abs(a - b) <= 0.1 * F.abs(b)).cast("int"))).alias("near"),
+        F.avg(F.when(is_number, F.abs(a - b))).alias("error"), F.avg(F.when(is_number, F.abs(F.col("middle") - b))).alias("base_error"),
+    )
+
+
+__all__ = ["NOTHING_KNOWN", "Category", "FillSpec", "Number", "fill_missing", "hidden_accuracy", "fill_table", "mine_dependencies"]
