@@ -174,7 +174,6 @@ def two_hop_segments(
     """
     like = pathway if callable(pathway) else (lambda kind, _: kind.isin(*pathway))
     u = cut(undirected(edges))
-    kinds = cut(edges.groupBy(F.col("dst").alias("node")).agg(F.min("dst_type").alias("type")))
     seg = _common(u, pairs).where("mid <> a AND mid <> b")
     if allow_direct:
         direct = u.join(broadcast_bounded(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()), ["src", "dst"], "left_semi")
@@ -182,12 +181,14 @@ def two_hop_segments(
     seg = cut(seg)
     touched = cut(seg.select(F.explode(F.array("a", "b", "mid")).alias("node")).where("node IS NOT NULL").distinct())
     few = broadcast_bounded(touched)
-    facts = kinds.join(few, "node", "left_semi").join(u.join(few.withColumnRenamed("node", "src"), "src", "left_semi").groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree")), "node", "left")
+    kinds = edges.select(F.col("dst").alias("node"), "dst_type").join(few, "node", "left_semi").groupBy("node").agg(F.min("dst_type").alias("type"))
+    facts = kinds.join(u.join(few.withColumnRenamed("node", "src"), "src", "left_semi").groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree")), "node", "left")
     facts = cut(facts)
     facts = F.broadcast(facts) if facts.count() <= BROADCAST_ROWS else facts
     for n in ("a", "b", "mid"):
         seg = seg.join(facts.select(F.col("node").alias(n), F.col("type").alias(f"{n}_type"), F.col("degree").alias(f"{n}_degree")), n, "left")
-    new = broadcast_bounded(is_new.select(F.least("u", "v").alias("__u"), F.greatest("u", "v").alias("__v"), F.lit(1).alias("__n")).distinct())
+    new = is_new.select(F.least("u", "v").alias("__u"), F.greatest("u", "v").alias("__v"), F.lit(1).alias("__n")).join(few.select(F.col("node").alias("__u")), "__u", "left_semi").join(few.select(F.col("node").alias("__v")), "__v", "left_semi")
+    new = broadcast_bounded(cut(new.distinct()))
     for i, (p, q) in enumerate(((F.col("a"), F.coalesce("mid", "b")), (F.coalesce("mid", "b"), F.col("b")))):
         seg = seg.join(new.withColumnRenamed("__n", f"n{i}"), (F.least(p, q) == F.col("__u")) & (F.greatest(p, q) == F.col("__v")), "left").drop("__u", "__v")
     there = F.col("mid").isNotNull()

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from trellis.functions.text import lookup
 from trellis.operators import rules as R
-from trellis.session import cut
+from trellis.session import cut, stored
 
 
 EDGE_COLUMNS = ("relation", "display_relation", "x_id", "x_type", "x_name", "x_source", "y_id", "y_type", "y_name", "y_source")
@@ -130,24 +130,58 @@ def _pct(a: Column, b: Column) -> Column:
     return F.round(F.when(b != 0, a / b * 100).otherwise(0.0), 4)
 
 
+def _kinds(both: DataFrame) -> DataFrame:
+    """One row of what depends on relations and types alone: rows, relations, type pairs, types and entropies of either side, out of one table of counts."""
+    kinds = cut(both.groupBy("old", "relation", "display_relation", "x_type", "y_type").agg(F.count(F.lit(1)).alias("n")))  # one row a kind of edge
+    has = lambda old: F.col("old") == old
+
+    def of(keys: tuple[str, ...], what: str) -> DataFrame:
+        x = kinds.groupBy(*keys).agg(F.max("old").alias("in_base"), F.min("old").alias("only_base"))
+        return x.agg(F.count_if(F.col("in_base") == 1).alias(f"base_{what}"), F.count_if(F.col("only_base") == 0).alias(f"merged_{what}"), F.count_if(F.col("in_base") == 0).alias(f"new_{what}"))
+
+    parts = [of(KEYS[w], w) for w in ("type_pairs", "relations", "display_relations")]
+    one = kinds.agg(F.coalesce(F.sum(F.when(has(1), F.col("n"))), F.lit(0)).alias("base_rows"), F.coalesce(F.sum(F.when(has(0), F.col("n"))), F.lit(0)).alias("merged_rows"))
+    types = kinds.select("old", F.explode(F.array("x_type", "y_type")).alias("t"))
+    parts.append(types.agg(*[F.collect_set(F.when(has(o), F.col("t"))).alias(f"{side}_types") for o, side in ((1, "base"), (0, "merged"))]))
+    for o, side in ((1, "base"), (0, "merged")):
+        for col in ("relation", "display_relation"):
+            counts = kinds.where(has(o)).groupBy(col).agg(F.sum("n").alias("edges"))
+            parts.append(entropy(counts, "edges").select(F.round("entropy", 6).alias(f"{side}_{col}_entropy")))
+    for p in parts:
+        one = one.crossJoin(F.broadcast(p))  # single rows
+    return one.withColumns({f"{side}_entity_types": F.size(f"{side}_types").cast("bigint") for side in ("base", "merged")})
+
+
+def _node_figures(both: DataFrame) -> DataFrame:
+    """One row: nodes of either side and new ones, and both sides' two-hop paths, from one aggregation of edge ends by node."""
+    b = F.col("old") == 1
+    end = lambda s, i, o: F.struct(F.col(f"{s}_id").alias("id"), F.col(f"{s}_type").alias("type"), F.lit(i).alias("i"), F.lit(o).alias("o"))
+    x = both.select("old", F.explode(F.array(end("x", 0, 1), end("y", 1, 0))).alias("n")).select("old", "n.*")
+    sums = [F.sum(F.when(b if side == "b" else ~b, F.col(c)).otherwise(0)).alias(f"{side}{c}") for side in "bm" for c in "io"]
+    per = x.groupBy("id", "type").agg(F.max("old").alias("in_base"), F.min("old").alias("only_base"), *sums)
+    per = per.groupBy("id").agg(F.count_if(F.col("in_base") == 1).alias("nb"), F.count_if(F.col("only_base") == 0).alias("nm"), F.count_if(F.col("in_base") == 0).alias("nn"), *[F.sum(f"{side}{c}").alias(f"{side}{c}") for side in "bm" for c in "io"])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return per.agg(total("nb").alias("base_nodes"), total("nm").alias("merged_nodes"), total("nn").alias("new_nodes"), total(F.col("bi") * F.col("bo")).alias("base_2hop_paths"), total(F.col("mi") * F.col("mo")).alias("merged_2hop_paths"))
+
+
+def _pair_figures(both: DataFrame) -> DataFrame:
+    """One row: triples and entity pairs of either side and new ones; pairs are counted from the triples' aggregation."""
+    t = both.groupBy("x_id", "y_id", "display_relation").agg(F.max("old").alias("in_base"), F.min("old").alias("only_base"))
+    t = t.groupBy("x_id", "y_id").agg(F.count_if(F.col("in_base") == 1).alias("b"), F.count_if(F.col("only_base") == 0).alias("m"), F.count_if(F.col("in_base") == 0).alias("n"), F.max("in_base").alias("in_base"), F.min("only_base").alias("only_base"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    pairs = [F.count_if(F.col("in_base") == 1).alias("base_entity_pairs"), F.count_if(F.col("only_base") == 0).alias("merged_entity_pairs"), F.count_if(F.col("in_base") == 0).alias("new_entity_pairs")]
+    return t.agg(total("b").alias("base_triples"), total("m").alias("merged_triples"), total("n").alias("new_triples"), *pairs)
+
+
 def quant_report(base: DataFrame, merged: DataFrame, base_name: str = "base") -> DataFrame:
     """One row that sets a merged graph against its base: counts, growth, diversity, entropy, two-hop paths and novelty.
 
     Triple growth compares row counts, new triples are a set difference; the two rates that are 100 by definition whenever anything is new are kept.
     """
-    stored = cut(base.select(*_COMPARED, F.lit(1).alias("old")).unionByName(merged.select(*_COMPARED, F.lit(0).alias("old"))))  # read by every figure
-    base, merged = stored.where("old = 1").drop("old"), stored.where("old = 0").drop("old")
-    parts = [_counted(base, merged, w) for w in KEYS]
-    for side, e in (("base", base), ("merged", merged)):
-        parts.append(e.agg(F.count(F.lit(1)).alias(f"{side}_rows")))
-        types = node_type_counts(e)
-        parts.append(types.agg(F.count(F.lit(1)).alias(f"{side}_entity_types"), F.collect_set("node_type").alias(f"{side}_types")))
-        for col, tag in (("relation", "relation"), ("display_relation", "display_relation")):
-            parts.append(entropy(relation_counts(e, col), "edges").select(F.round("entropy", 6).alias(f"{side}_{tag}_entropy")))
-        parts.append(two_hop_paths(e).select(F.col("paths").cast("bigint").alias(f"{side}_2hop_paths")))
-    one = parts[0].withColumn("k", F.lit(1))
-    for p in parts[1:]:
-        one = one.join(F.broadcast(p.withColumn("k", F.lit(1))), "k")  # single rows
+    both = stored(base.select(*_COMPARED, F.lit(1).alias("old")).unionByName(merged.select(*_COMPARED, F.lit(0).alias("old"))))
+    one = _kinds(both)
+    for p in (_node_figures(both), _pair_figures(both)):
+        one = one.crossJoin(F.broadcast(p))  # single rows
     c = F.col
     return one.select(
         F.lit(base_name).alias("base_name"),

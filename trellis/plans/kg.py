@@ -5,40 +5,40 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trellis.operators import kgstats as K
-from trellis.plans.views import KG_SQL, kg
+from trellis.plans.views import KG_SQL, base_and_merged, kg
 
 TYPES = ("customer", "part", "supplier", "nation", "region")
 
 QUERIES = {
-    "kg_quant_report": lambda s, d: K.quant_report(kg(s, d, base=True), kg(s, d)),
-    "kg_summary_table": lambda s, d: K.summary_table(K.quant_report(kg(s, d, base=True), kg(s, d))),
-    "kg_filtering_summary": lambda s, d: K.filtering_summary(kg(s, d), K.low_frequency_types(kg(s, d), 10), ["region", "none"]),
+    "kg_quant_report": lambda s, d: K.quant_report(*base_and_merged(s, d)),
+    "kg_summary_table": lambda s, d: K.summary_table(K.quant_report(*base_and_merged(s, d))),
+    "kg_filtering_summary": lambda s, d: (lambda e: K.filtering_summary(e, K.low_frequency_types(e, 10), ["region", "none"]))(kg(s, d)),
     "kg_node_type_counts": lambda s, d: K.node_type_counts(kg(s, d)),
     "kg_nodes": lambda s, d: K.nodes(kg(s, d)),
     "kg_relation_counts": lambda s, d: K.relation_counts(kg(s, d), "relation", drop_none=True),
     "kg_relation_entropy": lambda s, d: K.entropy(K.relation_counts(kg(s, d), "display_relation"), "edges").select(F.round("entropy", 6).alias("entropy")),
     "kg_two_hop_paths": lambda s, d: K.two_hop_paths(kg(s, d)).select(F.col("paths").cast("bigint").alias("paths")),
     "kg_low_freq_types": lambda s, d: K.low_frequency_types(kg(s, d), 10, 0.05).select("node_type", "nodes", F.round("ratio", 6).alias("ratio")),
-    "kg_filter_types": lambda s, d: K.drop_types(kg(s, d), K.excluded_types(K.low_frequency_types(kg(s, d), 10), ["nation"])).select("relation", "x_id", "y_id"),
+    "kg_filter_types": lambda s, d: (lambda e: K.drop_types(e, K.excluded_types(K.low_frequency_types(e, 10), ["nation"])))(kg(s, d)).select("relation", "x_id", "y_id"),
     "kg_core_types": lambda s, d: kg(s, d).where(F.col("x_type").isin("customer", "part") & F.col("y_type").isin("customer", "part")).groupBy("relation").agg(F.count(F.lit(1)).alias("edges")),
-    "kg_new_nodes": lambda s, d: K.new_of(kg(s, d, base=True), kg(s, d), "nodes"),
-    "kg_new_triples": lambda s, d: K.new_of(kg(s, d, base=True), kg(s, d), "triples"),
-    "kg_new_entity_pairs": lambda s, d: K.new_of(kg(s, d, base=True), kg(s, d), "entity_pairs"),
-    "kg_new_type_pairs": lambda s, d: K.new_of(kg(s, d, base=True), kg(s, d), "type_pairs"),
-    "kg_new_relations": lambda s, d: K.new_of(kg(s, d, base=True), kg(s, d), "display_relations"),
+    "kg_new_nodes": lambda s, d: K.new_of(*base_and_merged(s, d), "nodes"),
+    "kg_new_triples": lambda s, d: K.new_of(*base_and_merged(s, d), "triples"),
+    "kg_new_entity_pairs": lambda s, d: K.new_of(*base_and_merged(s, d), "entity_pairs"),
+    "kg_new_type_pairs": lambda s, d: K.new_of(*base_and_merged(s, d), "type_pairs"),
+    "kg_new_relations": lambda s, d: K.new_of(*base_and_merged(s, d), "display_relations"),
     "kg_relation_pair_counts": lambda s, d: K.relation_pair_counts(kg(s, d)),
     "kg_relation_pair_rollup": lambda s, d: K.relation_pair_rollup(kg(s, d)),
     "kg_relation_pair_topk_other": lambda s, d: K.top_pairs_other(kg(s, d), top_k=1, min_pct=0.2),
     "kg_shown_labels": lambda s, d: K.shown_labels(kg(s, d)),
     "kg_top_plus_other": lambda s, d: K.top_plus_other(kg(s, d).groupBy("x_source").agg(F.count(F.lit(1)).alias("edges")), "x_source", "edges", 8),
     "kg_resource_counts": lambda s, d: K.resource_counts(kg(s, d)),
-    "kg_entity_novelty": lambda s, d: K.entity_novelty(kg(s, d, base=True), kg(s, d)).withColumn("new_fraction", F.round("new_fraction", 6)),
+    "kg_entity_novelty": lambda s, d: K.entity_novelty(*base_and_merged(s, d)).withColumn("new_fraction", F.round("new_fraction", 6)),
     "kg_type_pair_counts": lambda s, d: K.type_pair_counts(kg(s, d), undirected=True),
     "kg_type_pair_heatmap": lambda s, d: K.type_pair_matrix(kg(s, d), TYPES),
-    "kg_type_pair_new_links": lambda s, d: K.new_type_pair_links(kg(s, d, base=True), kg(s, d)).withColumn("log_edges", F.round("log_edges", 6)),
+    "kg_type_pair_new_links": lambda s, d: K.new_type_pair_links(*base_and_merged(s, d)).withColumn("log_edges", F.round("log_edges", 6)),
     "kg_edge_provenance": lambda s, d: K.edge_provenance(kg(s, d)),
     "kg_edge_source": lambda s, d: kg(s, d).groupBy(K.edge_source(F.when(F.col("relation") == "part_customer", F.col("x_source"))).alias("edge_source")).agg(F.count(F.lit(1)).alias("edges")),
-    "kg_union_all": lambda s, d: kg(s, d, base=True).unionByName(kg(s, d)).groupBy("relation").agg(F.count(F.lit(1)).alias("edges")),
+    "kg_union_all": lambda s, d: (lambda b, m: b.unionByName(m))(*base_and_merged(s, d)).groupBy("relation").agg(F.count(F.lit(1)).alias("edges")),
 }
 
 _PAIR = "replace(x_type, '_', ' ') || ' -> ' || replace(y_type, '_', ' ')"

@@ -5,34 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.session import table
+from trellis.session import cut, table
 
 #: Orders before this day make up the base graph.
 BASE_UNTIL = "1998-04-25"
 
 
-def _edge(df: DataFrame, relation: str, display: str, x: str, y: str) -> DataFrame:
-    """df has x_id, x_name, x_source, y_id, y_name, y_source."""
-    return df.select(
-        F.lit(relation).alias("relation"), F.lit(display).alias("display_relation"),
-        "x_id", F.lit(x).alias("x_type"), "x_name", "x_source", "y_id", F.lit(y).alias("y_type"), "y_name", "y_source",
-    )
+EDGE = ("relation", "display_relation", "x_id", "x_type", "x_name", "x_source", "y_id", "y_type", "y_name", "y_source")
 
 
 def _node(df: DataFrame, side: str, key: str, prefix: str, name: str, source: str) -> DataFrame:
     return df.select(F.col(key).alias(f"{side}_key"), F.concat(F.lit(f"{prefix}:"), F.col(key).cast("string")).alias(f"{side}_id"), F.col(name).alias(f"{side}_name"), F.col(source).cast("string").alias(f"{side}_source"))
 
 
-def kg(spark: SparkSession, d: str, base: bool = False) -> DataFrame:
-    """Customers order parts, parts are supplied by suppliers, both are in nations, nations are part of regions; parts are returned by customers.
-
-    Key pairs are made distinct before names are joined, so the shuffles carry keys only.
-    """
+def _sold(spark: SparkSession, d: str) -> DataFrame:
+    """code (cp: customer and part, ps: part and supplier, pc: returned part and customer), x_key, y_key and when the pair first occurred, of one join of orders and lines."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    if base:
-        orders = orders.where(F.col("o_orderdate") < F.lit(BASE_UNTIL).cast("timestamp"))
     line = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
-    sold = orders.join(line, F.col("o_orderkey") == F.col("l_orderkey"))
+
+    def pair(code: str, x: str, y: str):
+        return F.struct(F.lit(code).alias("code"), F.col(x).alias("x_key"), F.col(y).alias("y_key"))
+
+    rows = F.array(pair("cp", "o_custkey", "l_partkey"), pair("ps", "l_partkey", "l_suppkey"), F.when(F.col("l_returnflag") == "R", pair("pc", "l_partkey", "o_custkey")))
+    x = orders.join(line, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderdate", F.explode(rows).alias("r")).where("r IS NOT NULL")
+    return x.groupBy("r.code", "r.x_key", "r.y_key").agg(F.min("o_orderdate").alias("first"))
+
+
+def kg_both(spark: SparkSession, d: str) -> DataFrame:
+    """All edges with in_base: customers order parts, parts are supplied by suppliers, both are in nations, nations are part of regions; parts are returned by customers (never in the base).
+
+    Key pairs are made distinct and stored before names are joined, so orders and lines are read and shuffled once and the shuffles carry keys only.
+    """
+    sold = cut(_sold(spark, d))
     t = {n: table(spark, d, n) for n in ("customer", "part", "supplier", "nation", "region")}
     nodes = {
         "c": ("customer", "c_custkey", "c_name", "c_mktsegment"), "p": ("part", "p_partkey", "p_name", "p_brand"), "s": ("supplier", "s_suppkey", "s_name", "s_name"),
@@ -42,19 +46,32 @@ def kg(spark: SparkSession, d: str, base: bool = False) -> DataFrame:
     def edge(pairs: DataFrame, relation: str, display: str, x: str, y: str) -> DataFrame:
         a, b = nodes[x], nodes[y]
         e = pairs.join(_node(t[a[0]], "x", a[1], x, a[2], a[3]), "x_key").join(_node(t[b[0]], "y", b[1], y, b[2], b[3]), "y_key")
-        return _edge(e, relation, display, a[0], b[0])
+        return e.select("*", F.lit(relation).alias("relation"), F.lit(display).alias("display_relation"), F.lit(a[0]).alias("x_type"), F.lit(b[0]).alias("y_type")).select(*EDGE, "in_base")
 
     def pairs(df: DataFrame, x: str, y: str) -> DataFrame:
-        return df.select(F.col(x).alias("x_key"), F.col(y).alias("y_key")).distinct()
-
-    out = edge(pairs(sold, "o_custkey", "l_partkey"), "customer_part", "ordered", "c", "p")
-    out = out.unionByName(edge(pairs(sold, "l_partkey", "l_suppkey"), "part_supplier", "supplied by", "p", "s"))
-    out = out.unionByName(edge(pairs(t["customer"], "c_custkey", "c_nationkey"), "customer_nation", "located in", "c", "n"))
+        return df.select(F.col(x).alias("x_key"), F.col(y).alias("y_key")).distinct().withColumn("in_base", F.lit(True))
+
+    early = F.col("first") < F.lit(BASE_UNTIL).cast("timestamp")
+    out = edge(sold.where("code = 'cp'").withColumn("in_base", early), "customer_part", "ordered", "c", "p")
+    out = out.unionByName(edge(sold.where("code = 'ps'").withColumn("in_base", early), "part_supplier", "supplied by", "p", "s"))
+    out = out.unionByName(edge(sold.where("code = 'pc'").withColumn("in_base", F.lit(False)), "part_customer", "returned by", "p", "c"))
+    known = sold.where((F.col("code") == "cp") & early).select(F.col("x_key").alias("k")).distinct()  # customers enter the base with their first order
+    homes = pairs(t["customer"], "c_custkey", "c_nationkey").drop("in_base").join(known, F.col("x_key") == F.col("k"), "left").withColumn("in_base", F.col("k").isNotNull()).drop("k")
+    out = out.unionByName(edge(homes, "customer_nation", "located in", "c", "n"))
     out = out.unionByName(edge(pairs(t["supplier"], "s_suppkey", "s_nationkey"), "supplier_nation", "located in", "s", "n"))
-    out = out.unionByName(edge(pairs(t["nation"], "n_nationkey", "n_regionkey"), "nation_region", "part of", "n", "r"))
-    if not base:
-        out = out.unionByName(edge(pairs(sold.where("l_returnflag = 'R'"), "l_partkey", "o_custkey"), "part_customer", "returned by", "p", "c"))
-    return out
+    return out.unionByName(edge(pairs(t["nation"], "n_nationkey", "n_regionkey"), "nation_region", "part of", "n", "r"))
+
+
+def kg(spark: SparkSession, d: str, base: bool = False) -> DataFrame:
+    """The merged graph's edges, or the base's."""
+    e = kg_both(spark, d)
+    return (e.where("in_base") if base else e).drop("in_base")
+
+
+def base_and_merged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Both graphs out of one table of keys."""
+    e = kg_both(spark, d)
+    return e.where("in_base").drop("in_base"), e.drop("in_base")
 
 
 def _kg_sql(name: str, base: bool) -> str:
@@ -66,7 +83,7 @@ def _kg_sql(name: str, base: bool) -> str:
     return f"""{name}(relation, display_relation, x_id, x_type, x_name, x_source, y_id, y_type, y_name, y_source) AS (
   SELECT 'customer_part', 'ordered', {cust}, {part} FROM (SELECT DISTINCT o_custkey, l_partkey FROM {sold} z) JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey
   UNION ALL SELECT 'part_supplier', 'supplied by', {part}, {supp} FROM (SELECT DISTINCT l_partkey, l_suppkey FROM {sold} z) JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
-  UNION ALL SELECT 'customer_nation', 'located in', {cust}, {nat} FROM customer JOIN nation ON n_nationkey = c_nationkey
+  UNION ALL SELECT 'customer_nation', 'located in', {cust}, {nat} FROM customer JOIN nation ON n_nationkey = c_nationkey{f" WHERE c_custkey IN (SELECT o_custkey FROM {sold} z)" if base else ""}
   UNION ALL SELECT 'supplier_nation', 'located in', {supp}, {nat} FROM supplier JOIN nation ON n_nationkey = s_nationkey
   UNION ALL SELECT 'nation_region', 'part of', {nat}, {reg} FROM nation JOIN region ON r_regionkey = n_regionkey{"" if base else returned})"""
 
