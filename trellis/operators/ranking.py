@@ -14,20 +14,21 @@ from trellis.session import broadcast_bounded, cut
 def global_index(df: DataFrame, order: Sequence[str], name: str = "index", start: int = 0) -> DataFrame:
     """df with a dense index from start in the total order of the columns of order (which must have no ties to be deterministic).
 
-    Rows are range-partitioned and sorted; each partition's first index is the sum of the counts before it. Only one count a partition reaches the driver.
+    Rows are range-partitioned, sorted and stored; a row's index is its place in its stored partition after the counts of the partitions before it. Only one count a partition reaches the driver, and nothing is shuffled again.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__pid", F.spark_partition_id()))
-    counts = sorted((r["__pid"], r["count"]) for r in part.groupBy("__pid").count().collect())
+    part = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    counts = sorted((r["pid"], r["count"]) for r in part.groupBy(F.spark_partition_id().alias("pid")).count().collect())
     before, offsets = 0, []
     for pid, c in counts:
-        offsets.append((pid, before + start - 1))
+        offsets.append((pid, before + start))
         before += c
     if not offsets:
-        return part.drop("__pid").withColumn(name, F.lit(0).cast("bigint"))
-    offset = F.create_map(*[F.lit(x) for kv in offsets for x in kv])[F.col("__pid")]
-    within = F.row_number().over(Window.partitionBy("__pid").orderBy(*order))
-    return part.withColumn(name, (within + offset).cast("bigint")).drop("__pid")
+        return part.withColumn(name, F.lit(0).cast("bigint"))
+    at = F.monotonically_increasing_id()  # partition * 2^33 + place
+    offset = F.create_map(*[F.lit(x).cast("bigint") for kv in offsets for x in kv])[F.shiftright("__at", 33)]
+    x = part.withColumn("__at", at)
+    return x.withColumn(name, (F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + offset).cast("bigint")).drop("__at")
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, name: str = "rank") -> DataFrame:
@@ -37,8 +38,15 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, nam
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows that look random and are the same on every run."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows that look random and are the same on every run: the least by md5 of key:seed."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
+
+
+def sample_or_fail(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """hash_sample, or an error if the table has fewer than n rows."""
+    if (have := df.count()) < n:
+        raise ValueError(f"{have} rows, {n} wanted")
+    return hash_sample(df, key, n, seed)
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int | Column, seed: int = 42, name: str = "fold") -> DataFrame:

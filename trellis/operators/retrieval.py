@@ -23,18 +23,24 @@ BLOCK_NAMES = 50_000
 def top_cosine(queries: DataFrame, corpus: DataFrame, k: int, block: int = BLOCK_QUERIES) -> DataFrame:
     """The k nearest corpus vectors of each query by cosine: query_id, vec_id, score (rounded to 6), rank; ties by vec_id.
 
-    queries and corpus have id bigint and vector array<float>. A block of queries is held by every task, which
+    queries and corpus have id bigint and vector array<float>. Queries, however many, come to the driver one block at a time; a block is broadcast to every task, which
     multiplies matrices and keeps its own k best of each query (all ties of the k-th included); only those meet in the shuffle. Exact.
     """
-    q = [(r["id"], r["vector"]) for r in queries.select("id", "vector").where("id IS NOT NULL AND vector IS NOT NULL").orderBy("id").collect()]
+    q = queries.select("id", "vector").where("id IS NOT NULL AND vector IS NOT NULL")
+    size, spark = q.count(), corpus.sparkSession
+    n = max(1, -(-size // block))
+    q = cut(q) if n > 1 else q
     out = None
-    for at in range(0, max(1, len(q)), block):
-        ids = np.array([i for i, _ in q[at : at + block]], np.int64)
-        m = np.array([v for _, v in q[at : at + block]], np.float64)
+    for at in range(n):
+        rows = (q if n == 1 else q.where(F.pmod(F.xxhash64("id"), F.lit(n)) == at)).collect()  # about block queries
+        ids = np.array([r["id"] for r in rows], np.int64)
+        m = np.array([r["vector"] for r in rows], np.float64)
         if len(ids):
             m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        held = spark.sparkContext.broadcast((ids, m))
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, m=m) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, m = held.value
             for b in batches:
                 keep = pa.compute.is_valid(b.column(1))
                 b = b.filter(keep)

@@ -142,5 +142,6 @@ SELECT row_id, test_fold, part, coalesce(tmb, a, 0.0) AS tmb, coalesce(tumor_pur
     "eval_times": _OOF
     + "SELECT DISTINCT round(t, 4) AS time FROM (SELECT unnest([quantile_cont(os_time, 0.25), quantile_cont(os_time, 0.5), quantile_cont(os_time, 0.75)]) AS t FROM one WHERE os_event = 1) WHERE t > (SELECT min(os_time) FROM one) AND t < (SELECT max(os_time) FROM one)",
     "stratified_folds": "SELECT row_id, os_event, CAST((row_number() OVER (PARTITION BY os_event ORDER BY md5(row_id || ':42'), row_id) - 1) % 5 AS INT) AS fold FROM msk_chord_patient_level WHERE os_event IS NOT NULL",
+    "hash_sample": "SELECT id, s, p, o FROM step_03 ORDER BY md5(id || ':42'), id LIMIT 100",
     "dataset_specs": _OOF + "SELECT cancer_type, stage, count(*) AS n, CAST(sum(os_event) AS BIGINT) AS events FROM one GROUP BY GROUPING SETS ((), (cancer_type), (cancer_type, stage)) HAVING count(*) >= 20 AND least(sum(os_event), count(*) - sum(os_event)) >= 2",
 }

@@ -40,3 +40,17 @@ def table(df: DataFrame, path: str, partition: str | None = None) -> None:
 def report(df: DataFrame, path: str) -> None:
     """A one-row report as one JSON object."""
     df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+
+
+def slices(df: DataFrame, path: str) -> None:
+    """One folder of CSV files for each slice of ablation.stage_slices."""
+    table(df, path, "slice")
+
+
+def explanation(nodes: DataFrame, edges: DataFrame, paths: DataFrame, summary: DataFrame, path: str) -> None:
+    """Nodes, edges and paths (nested columns as JSON) as CSV, and a one-row summary as JSON."""
+    table(nodes, f"{path}/nodes")
+    table(edges, f"{path}/edges")
+    flat = paths.select(*[F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "struct", "map") else F.col(f.name) for f in paths.schema.fields])
+    table(flat, f"{path}/paths")
+    report(summary, f"{path}/summary")

@@ -1,33 +1,50 @@
 """Incremental merge: triples arrive in micro-batches and meet everything merged before them.
 
-The state is an append-only Parquet table, one folder a batch id, so a batch that is run again replaces its own folder and
-nothing else: after a failure the result is as if each batch had run once.
+The state is an append-only Parquet table in folders batch=<id>/bucket=<hash of the pair>, so a batch reads only the buckets that its own pairs touch, and one that is run again replaces its
+own folder and nothing else: after a failure the result is as if each batch had run once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from trellis.operators.merge import merge_status, typed_edges
+from trellis.session import cut
 
 TRIPLE = "id long, s string, p string, o string, origins array<string>, support long, loaded_at timestamp"
-STATE = "x_name string, y_name string, relation string, first_id long, statements long, status string, batch long"
+STATE = "x_name string, y_name string, relation string, first_id long, statements long, status string, bucket int, batch long"
+#: Folders that the state is spread over by the hash of a pair; a fixed property of a state table.
+BUCKETS = 64
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("x_name", "y_name"), F.lit(BUCKETS)).cast("int")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """What has been merged, of batches below before if given."""
-    x = spark.read.schema(STATE).option("recursiveFileLookup", "false").parquet(path)
+    """What has been merged, of batches below before if given; nothing has where the folder is not there yet."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], STATE)
+    x = spark.read.schema(STATE).parquet(path)
     return x if before is None else x.where(F.col("batch") < before)
 
 
 def merge_batch(spark: SparkSession, batch: DataFrame, batch_id: int, path: str, min_support: int = 1) -> None:
-    """Merge one batch against the state and write its part of the state."""
-    spark.createDataFrame([], STATE.replace(", batch long", "")).write.mode("append").parquet(f"{path}/batch=-1")  # so that the folder exists
-    base = state(spark, path, batch_id).where("status <> 'duplicate'")
-    out = merge_status(base, typed_edges(batch), min_support)
-    out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    """Merge one batch against the buckets of the state that it touches and write its part of them."""
+    new = cut(typed_edges(batch).withColumn("bucket", _bucket()))
+    touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most BUCKETS
+    if not touched:
+        return
+    base = state(spark, path, batch_id).where(F.col("bucket").isin(touched) & (F.col("status") != "duplicate"))
+    out = cut(merge_status(base, new.drop("bucket"), min_support).withColumn("bucket", _bucket()))
+    out.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
 
 
 def merge_stream(triples: DataFrame, path: str, checkpoint: str, min_support: int = 1) -> StreamingQuery:
