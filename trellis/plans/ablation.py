@@ -83,7 +83,7 @@ def metrics(s: SparkSession, d: str) -> DataFrame:
 
 def paired_t(s: SparkSession, d: str) -> DataFrame:
     rows = [(r["dataset"], r["n"], r["t"], r["p"]) for r in V.paired_t(metrics(s, d), "clinical_only", "clinical_treatment_molecular_kg", "c_index")]
-    return s.createDataFrame(rows, "dataset string, n long, t double, p double").withColumns({"t": F.round("t", 6), "p": F.round("p", 9)})
+    return s.createDataFrame(rows, "dataset string, n long, t double, p double").withColumns({"t": F.round("t", 6), "p": F.round("p", 6)})
 
 
 def slices(s: SparkSession, d: str) -> DataFrame:
@@ -179,6 +179,11 @@ count(*) FILTER (WHERE kg_total_treatments > 0) AS patients_with_any_treatment,
     "ablation_fold_metrics": _METRICS + " SELECT dataset, fold, model, n_test, concordant, tied, comparable, round(c_index, 6) AS c_index FROM fm",
     "ablation_summary": _METRICS + " SELECT model, round(avg(c_index), 6) AS c_index_mean, round(stddev_samp(c_index), 6) AS c_index_std FROM fm WHERE dataset = 'all_cancers' GROUP BY 1",
     "ablation_by_dataset": _METRICS + " SELECT dataset, model, round(avg(c_index), 6) AS c_index_mean, round(stddev_samp(c_index), 6) AS c_index_std FROM fm GROUP BY 1, 2",
+    "paired_t_test": _METRICS
+    + """, pr AS (SELECT dataset, fold, max(c_index) FILTER (WHERE model = 'clinical_only') AS a, max(c_index) FILTER (WHERE model = 'clinical_treatment_molecular_kg') AS b FROM fm WHERE model IN ('clinical_only', 'clinical_treatment_molecular_kg') GROUP BY 1, 2),
+ps AS (SELECT dataset, count(*) AS n, count(*) FILTER (WHERE a IS NULL OR b IS NULL) AS odd, avg(a - b) AS m, stddev_samp(a - b) AS sd FROM pr GROUP BY 1),
+tt AS (SELECT dataset, n, CASE WHEN odd = 0 AND n > 1 AND sd > 1e-12 THEN m / (sd / sqrt(n)) END AS t FROM ps), th AS (SELECT *, atan(abs(t) / sqrt(n - 1)) AS a FROM tt)
+SELECT dataset, n, round(t, 6) AS t, round(1 - CASE n WHEN 2 THEN 2 / pi() * a WHEN 3 THEN sin(a) WHEN 4 THEN 2 / pi() * (a + sin(a) * cos(a)) WHEN 5 THEN sin(a) * (1 + cos(a) * cos(a) / 2) END, 6) AS p FROM th""",
     "oof_stage_slices": _CODED
     + """, top AS (SELECT cancer_type FROM fo WHERE dataset = 'all_cancers' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5), st AS (SELECT * FROM (VALUES ('Stage I-III', 'stage_i_iii'), ('Stage IV', 'stage_iv')) v(stage_group, st)),
 sl AS (SELECT *, regexp_replace(regexp_replace(lower(cancer_type), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS c FROM fo WHERE cancer_type IN (SELECT cancer_type FROM top))

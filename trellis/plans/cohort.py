@@ -52,7 +52,7 @@ def log_rank(s: SparkSession, d: str) -> DataFrame:
 
 def dynamic_auc(s: SparkSession, d: str) -> DataFrame:
     x = cut(oof(s, d).where("model = 'clinical_only'"))
-    return V.dynamic_auc(x, "os_time", "os_event", "risk_score", V.eval_times(x, "os_time", "os_event"))
+    return V.dynamic_auc(x, "os_time", "os_event", "risk_score", V.eval_times(x, "os_time", "os_event")).select(F.round("time", 4).alias("time"), F.round("auc", 6).alias("auc"))
 
 
 def eval_times(s: SparkSession, d: str) -> DataFrame:
@@ -143,5 +143,13 @@ SELECT row_id, test_fold, part, coalesce(tmb, a, 0.0) AS tmb, coalesce(tumor_pur
     + "SELECT DISTINCT round(t, 4) AS time FROM (SELECT unnest([quantile_cont(os_time, 0.25), quantile_cont(os_time, 0.5), quantile_cont(os_time, 0.75)]) AS t FROM one WHERE os_event = 1) WHERE t > (SELECT min(os_time) FROM one) AND t < (SELECT max(os_time) FROM one)",
     "stratified_folds": "SELECT row_id, os_event, CAST((row_number() OVER (PARTITION BY os_event ORDER BY md5(row_id || ':42'), row_id) - 1) % 5 AS INT) AS fold FROM msk_chord_patient_level WHERE os_event IS NOT NULL",
     "hash_sample": "SELECT id, s, p, o FROM step_03 ORDER BY md5(id || ':42'), id LIMIT 100",
+    "dynamic_auc": _OOF
+    + """, q AS (SELECT quantile_cont(os_time, [0.25, 0.5, 0.75]) AS q FROM one WHERE os_event = 1), ins AS (SELECT DISTINCT t FROM (SELECT unnest(q) AS t FROM q) WHERE t > (SELECT min(os_time) FROM one) AND t < (SELECT max(os_time) FROM one)),
+tau AS (SELECT t FROM ins UNION SELECT q[2] FROM q WHERE NOT EXISTS (SELECT 1 FROM ins)),
+ct AS (SELECT os_time AS t, count(*) AS n, count(*) FILTER (WHERE os_event = 0) AS c FROM one GROUP BY 1), cr AS (SELECT *, sum(n) OVER (ORDER BY t DESC) AS r FROM ct),
+ck AS (SELECT t, CASE WHEN max(CASE WHEN c = r THEN 1 ELSE 0 END) OVER w = 1 THEN 0.0 ELSE exp(sum(CASE WHEN c < r THEN ln(1 - c / r) ELSE 0 END) OVER w) END AS s FROM cr WINDOW w AS (ORDER BY t)), cg AS (SELECT t, coalesce(lag(s) OVER (ORDER BY t), 1.0) AS g FROM ck),
+cs AS (SELECT tau.t AS tau, o.risk_score AS r, 1 / g AS w FROM one o JOIN cg ON cg.t = o.os_time JOIN tau ON o.os_time <= tau.t WHERE os_event = 1 AND g > 0), cn AS (SELECT tau.t AS tau, o.risk_score AS r FROM one o JOIN tau ON o.os_time > tau.t),
+ab AS (SELECT c.tau, sum(w * CASE WHEN n.r < c.r THEN 1.0 WHEN n.r = c.r THEN 0.5 ELSE 0.0 END) AS a FROM cs c JOIN cn n ON n.tau = c.tau GROUP BY 1)
+SELECT round(tau.t, 4) AS time, round(a / ((SELECT sum(w) FROM cs WHERE cs.tau = tau.t) * (SELECT count(*) FROM cn WHERE cn.tau = tau.t)), 6) AS auc FROM tau LEFT JOIN ab ON ab.tau = tau.t""",
     "dataset_specs": _OOF + "SELECT cancer_type, stage, count(*) AS n, CAST(sum(os_event) AS BIGINT) AS events FROM one GROUP BY GROUPING SETS ((), (cancer_type), (cancer_type, stage)) HAVING count(*) >= 20 AND least(sum(os_event), count(*) - sum(os_event)) >= 2",
 }

@@ -132,4 +132,5 @@ ORACLE = {
     "align_fuzzy_topk": f"""WITH ent AS (SELECT DISTINCT term AS entity FROM canonical_terms WHERE field_name = 'primary_site'), ment AS (SELECT DISTINCT trim(primary_site, ' ') AS mention FROM msk_chord_patient_level WHERE trim(primary_site, ' ') <> ''),
 ex AS (SELECT mention, min(entity) AS entity FROM ment JOIN ent ON lower(trim(mention, ' ')) = lower(trim(entity, ' ')) GROUP BY 1), rest AS (SELECT mention FROM ment WHERE mention NOT IN (SELECT mention FROM ex)), {fuzzy_sql('rest', 'ent', 60)}
 SELECT mention, entity, 'exact' AS how FROM ex UNION ALL SELECT r.mention, CASE WHEN score >= 80 THEN f.entity END, CASE WHEN score >= 80 THEN 'fuzzy' WHEN score IS NOT NULL THEN 'ask' ELSE 'new' END FROM rest r LEFT JOIN (SELECT * FROM fuzzy WHERE rank = 1) f ON f.mention = r.mention""",
+    "count_labels": "SELECT source, CASE WHEN n >= 1000000 THEN format('{:,.2f}M', n / 1000000) WHEN n >= 1000 THEN format('{:,.1f}K', n / 1000) ELSE n::VARCHAR END AS label FROM (SELECT source, sum(n_chars)::BIGINT AS n FROM documents GROUP BY 1)",
 }
