@@ -7,6 +7,7 @@ from trellis.llm import canonical as C
 from trellis.llm import lookalike as L
 from trellis.llm import mixing as X
 from trellis.llm import packing as P
+from trellis.llm import tokens as K
 
 
 def test_further_lookalikes_are_a_parameter(spark, tmp_path):
@@ -83,3 +84,9 @@ def test_one_value_of_a_third_of_all_rows(spark):
     ref = spark.createDataFrame([(1, "f", "Velorin", [])], "ref_id int, field_name string, term string, aliases array<string>")
     df = spark.range(3000).select(F.col("id").alias("row_id"), F.lit("f").alias("field_name"), F.lit(1).alias("item_no"), F.when(F.col("id") % 3 == 0, "velorinn").otherwise(F.concat(F.lit("x"), F.col("id").cast("string"))).alias("value"))
     assert C.map_to_list(df, ref).groupBy("ref_id").count().orderBy("ref_id").collect()[1]["count"] == 1000
+
+
+def test_sizes_of_long_runs_are_whole():
+    enc = K.encoder(open(K.VOCABULARY, "rb").read())
+    for s in ("ab" * 120_000, "x" * 250_000 + " tail " + "y" * 130_000, "a  b\n" * 60_000, " " * 200_000, "word " * 60_000):
+        assert "".join(K.pieces(s)) == s and K.count_tokens(enc, s) == len(enc.encode_ordinary(s))

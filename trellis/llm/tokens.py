@@ -39,14 +39,17 @@ def encoder(data: bytes):
 
 
 def pieces(s: str) -> Iterator[str]:
-    """s in pieces of bounded size, cut before a blank that follows a character other than white space, where no token reaches across."""
+    """s in pieces of about PIECE characters, cut only before a blank that follows a character other than white space, where no token reaches across; a longer run without such a place stays whole."""
     at = 0
     while len(s) - at > PIECE:
         end = at + PIECE
-        cut = next((i for i in range(end, at + PIECE // 2, -1) if s[i] == " " and not s[i - 1].isspace()), end)
+        cut = next((i for i in range(end, at + PIECE // 2, -1) if s[i] == " " and not s[i - 1].isspace()), None)
+        if cut is None:
+            cut = next((i for i in range(end + 1, len(s)) if s[i] == " " and not s[i - 1].isspace()), len(s))
         yield s[at:cut]
         at = cut
-    yield s[at:]
+    if at < len(s) or not s:
+        yield s[at:]
 
 
 def count_tokens(enc, s: str) -> int:
@@ -57,8 +60,8 @@ def count_tokens(enc, s: str) -> int:
 def sized(df: DataFrame, text_col: str, vocabulary_path: str = VOCABULARY, distinct: bool = False) -> DataFrame:
     """df without its text, with __tokens (int, 0 for a null or empty text) and __same (128-bit digest of the text).
 
-    Each text is read whole, once per distinct value of a batch; the text leaves the plan here. Texts of one
-    unbroken run beyond PIECE characters are sized by the piece.
+    Each text is read whole, once per distinct value of a batch; the text leaves the plan here. Sizes are those of
+    the whole text, however long its unbroken runs are.
     """
     import hashlib
 
