@@ -126,26 +126,26 @@ def evidence(concepts: DataFrame, docs: DataFrame, id_col: str, text_col: str, c
     def grams(lo: int, hi: int) -> Column:
         return F.explode(F.array_distinct(ngrams(F.col("w"), lo, hi))).alias("gram")
 
-    def likely(x: DataFrame, wanted: DataFrame) -> DataFrame:
-        """x without most n-grams that no concept has, before anything moves: two hash slots of each must be taken. Lossless; a slot table has at most SLOTS rows whatever the concepts are."""
-        if small:
-            return x
+    brief = c.where(length <= max_words).withColumnRenamed("phrase", "gram")
+    long = hint(cut(_anchored(c.where(length > max_words), max_words))) if (size["longest"] or 0) > max_words else None
+    whole, sought = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")), F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))
+    if small:  # documents stay where they are
+        met = text.select("doc", grams(1, size["short"] or 1)).join(hint(brief), "gram").select("concept", "doc")
+        if long is not None:
+            held = text.select("doc", "w", grams(max_words, max_words)).join(long, "gram").where(F.contains(whole, sought))
+            met = met.unionByName(held.select("concept", "doc"))
+    else:  # n-grams move without their documents, and only those of which two hash slots are taken by some concept; a slot table has at most SLOTS rows whatever the concepts are
+        wanted = brief.select("gram") if long is None else brief.select("gram").unionByName(long.select("gram"))
+        x = text.select("doc", F.explode(ngrams(F.col("w"), 1, max_words if long is not None else size["short"] or 1)).alias("gram"))
         for seed in (1, 2):
             slot = F.pmod(F.xxhash64("gram", F.lit(seed)), F.lit(SLOTS)).cast("int")
             x = x.withColumn("slot", slot).join(F.broadcast(wanted.select(slot.alias("slot")).distinct()), "slot", "left_semi").drop("slot")
-        return x
-
-    brief = c.where(length <= max_words).withColumnRenamed("phrase", "gram")
-    met = likely(text.select("doc", grams(1, size["short"] or 1)), brief).join(hint(brief), "gram").select("concept", "doc")
-    if (size["longest"] or 0) > max_words:
-        long = hint(cut(_anchored(c.where(length > max_words), max_words)))
-        whole, sought = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")), F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))
-        if small:  # documents stay where they are
-            held = text.select("doc", "w", grams(max_words, max_words)).join(long, "gram").where(F.contains(whole, sought))
-        else:  # n-grams move without their documents, which then meet the candidates once
-            found = likely(text.select("doc", grams(max_words, max_words)), long).join(long, "gram").select("concept", "phrase", "doc")
+        x = cut(x.distinct())
+        met = x.join(brief, "gram").select("concept", "doc")
+        if long is not None:
+            found = x.join(long, "gram").select("concept", "phrase", "doc")
             held = found.join(text.select(F.col("doc").alias("of"), whole.alias("t")), (F.col("doc") == F.col("of")) & F.contains(F.col("t"), sought), "left_semi")
-        met = met.unionByName(held.select("concept", "doc"))
+            met = met.unionByName(held.select("concept", "doc"))
     if cap is None:
         return met.withColumn("rank", F.row_number().over(Window.partitionBy("concept").orderBy("doc")))
     return top_per_key(met, ["concept"], ["doc"], cap)
