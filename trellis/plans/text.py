@@ -26,7 +26,8 @@ def concepts(s: SparkSession, d: str) -> DataFrame:
 
 def table_concepts(s: SparkSession, d: str) -> DataFrame:
     """Every canonical term and every subject and object of step_03."""
-    names = table(s, d, "step_03").select(F.explode(F.array("s", "o")).alias("concept"))
+    t = table(s, d, "step_03")
+    names = t.select(F.col("s").alias("concept")).unionByName(t.select(F.col("o").alias("concept")))  # either column is read alone and made distinct where it lies
     return names.unionByName(table(s, d, "canonical_terms").select(F.col("term").alias("concept"))).where("concept IS NOT NULL").distinct()
 
 
