@@ -18,6 +18,8 @@ from trellis.session import cut
 BLOCK_QUERIES = 20_000
 #: Entity names that one pass over the mentions is compared with.
 BLOCK_NAMES = 50_000
+#: Blocks of names that a task holds at once; one takes about 40 MB.
+BLOCKS_HELD = 6
 
 
 def top_cosine(queries: DataFrame, corpus: DataFrame, k: int, block: int = BLOCK_QUERIES) -> DataFrame:
@@ -69,73 +71,206 @@ def _letters(texts: list[str]) -> np.ndarray:
     return out
 
 
-def _neighbours(texts: list[str]) -> np.ndarray:
-    """Per text how often it has each of 256 groups of two characters side by side."""
-    out = np.zeros((len(texts), 256), np.uint8)
-    for i, t in enumerate(texts):
-        c = np.frombuffer(t.encode("utf-32-le"), np.uint32)[:255].astype(np.int64)
-        np.add.at(out[i], (c[:-1] * 31 + c[1:]) % 256, 1)
-    return out
+def _longest_common(text: str, masks: dict[str, int], n: int) -> int:
+    """Length of the longest common subsequence of text and a text of n characters, given as masks of its places by character; all of them at once."""
+    v = whole = (1 << n) - 1
+    for c in text:
+        u = v & masks.get(c, 0)
+        v = ((v + u) | (v - u)) & whole
+    return n - v.bit_count()
 
 
 class _Names:
-    """Entity names in order of the length of their sorted texts."""
+    """Entity names in order of the length of their sorted texts, with an index of their pairs of neighbouring characters (the ends of a text count as a character)."""
 
     def __init__(self, names: list[str]):
         self.rows = sorted((len(t), t, n) for n in names for t in [token_sort(n)])
         self.lengths = np.array([r[0] for r in self.rows], np.int64)
-        self.letters = _letters([r[1] for r in self.rows])
-        self.pairs = _neighbours([r[1] for r in self.rows])
-
-    def best(self, mention: str, k: int, least: float) -> list[tuple[str, float]]:
-        """The k names of the highest ratio of at least least, ties by name.
-
-        No pair of that ratio is missed: lengths that cannot reach it are left out, then names that do not share enough characters, whatever their
-        order, then names whose pairs of neighbouring characters differ too much (a character more or less changes three of them at most); the rest is
-        compared in order of the bound until no bound reaches the k-th best.
+        self.most = int(np.searchsorted(self.lengths, 255, side="right"))  # names beyond have no index
+        self.of_length = np.searchsorted(self.lengths[: self.most], np.arange(257))
+        size = self.lengths[: self.most]
+        flat = np.frombuffer("".join(f"\0{r[1]}\0" for r in self.rows[: self.most]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        chars, code = np.unique(flat, return_inverse=True)
+        self.code = {chr(c): i + 1 for i, c in enumerate(chars)}
+        code = code.astype(np.int64) + 1
+        row = np.repeat(np.arange(self.most), size + 2)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(size + 2) - (size + 2), size + 2)
+        inside = (place > 0) & (place <= np.repeat(size, size + 2))
+        self.letters = np.bincount(row[inside] * 64 + flat[inside] % 64, minlength=self.most * 64).astype(np.uint8).reshape(-1, 64)
+        # the codes of a text's characters, filled up with 0 to whole words
+        self.texts = np.zeros((self.most, -(-int(size.max(initial=0)) // 64) * 64), np.uint8 if len(chars) < 255 else np.uint32)
+        self.texts[row[inside], place[inside] - 1] = code[inside]
+        # the same in one byte, and which of its text's characters of that kind each is, from the left and from the right
+        few = (code[inside] - 1) % 254 + 1
+        self.kinds = self.texts if self.texts.dtype == np.uint8 else np.zeros(self.texts.shape, np.uint8)
+        self.kinds[row[inside], place[inside] - 1] = few
+        kind, at = np.divmod(np.sort((row[inside] * 256 + few) * 256 + place[inside] - 1), 256)
+        new = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1]))) if len(kind) else np.zeros(0, np.int64)
+        times = np.diff(np.append(new, len(kind)))
+        left = np.arange(len(kind)) - np.repeat(new, times)
+        self.left, self.right = np.full(self.texts.shape, 255, np.uint8), np.full(self.texts.shape, 255, np.uint8)
+        self.left[kind // 256, at], self.right[kind // 256, at] = left, np.repeat(times, times) - 1 - left
+        first = np.flatnonzero(place <= np.repeat(size, size + 2))
+        pair, self.feature, self.starts, self.having = self._pair(code[first], code[first + 1]), {}, [0], np.zeros(0, np.int32)
+        if len(pair):
+            pair, row = np.divmod(np.sort(pair * self.most + row[first]), self.most)
+            new = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (row[1:] != row[:-1]))))
+            time = np.arange(len(pair)) - np.repeat(new, np.diff(np.append(new, len(pair))))  # a pair's second, third ... time in a text is a feature of its own
+            pair, row = np.divmod(np.sort((pair * 256 + time) * self.most + row), self.most)
+            new = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+            self.feature = {int(p): i for i, p in enumerate(pair[new])}
+            self.starts, self.having = np.append(new, len(pair)).tolist(), row.astype(np.int32)
+        self.dense: dict[int, np.ndarray] = {}
+
+    @staticmethod
+    def _pair(a, b):
+        """A number for two codes side by side; codes beyond 30,000 share numbers, which only makes the bound looser."""
+        return a % 30_000 * 30_000 + b % 30_000
+
+    def _shared(self, t: str, lo: int, hi: int) -> np.ndarray:
+        """How many pairs of neighbours, each as often as both have it, t shares with each of the rows lo to hi."""
+        out = np.zeros(self.most, np.uint16 if len(t) > 250 else np.uint8)
+        some, times = out[lo:hi], {}
+        codes = [self.code.get(c, 0) for c in f"\0{t}\0"]
+        for p in map(self._pair, codes, codes[1:]):
+            times[p] = k = times.get(p, -1) + 1
+            if (i := self.feature.get(p * 256 + k)) is None:
+                continue
+            start, end = self.starts[i], self.starts[i + 1]
+            if (end - start) * 64 < self.most:
+                out[self.having[start:end]] += 1
+                continue
+            if (row := self.dense.get(i)) is None:  # common ones as a row of zeros and ones
+                self.dense[i] = row = np.zeros(self.most, np.uint8)
+                row[self.having[start:end]] = 1
+            some += row[lo:hi]
+        return some
+
+    def _needed(self, n: int, lo: int, hi: int, least: float) -> np.ndarray:
+        """How many pairs of neighbours the rows lo to hi must share with a text of n characters for a ratio of least: a character more or less takes or adds three at most."""
+        m = np.arange(256)
+        apart = np.floor((1 - least / 100.0) * (n + m) + 1e-4)
+        needed = np.clip(np.ceil((n + m + 2 - 3 * apart) / 2), 0, 65_535).astype(np.uint16)
+        needed = needed.astype(np.uint8) if needed.max() < 256 else needed
+        return np.repeat(needed, np.diff(np.clip(self.of_length, lo, hi)))
+
+    def _split(self, at: np.ndarray, t: str, p: int) -> np.ndarray:
+        """The most that t and each of the rows at can have in common if t is cut at p: over all cuts of the row, the characters that both left and both right parts share in any order."""
+        width = int(self.lengths[at].max())
+        kinds, sums = np.ascontiguousarray(self.kinds[at, :width]).tobytes(), []
+        for part, nth in ((t[:p], self.left), (t[p:], self.right)):
+            table = bytearray(256)
+            for c in part:
+                if i := self.code.get(c):
+                    table[(i - 1) % 254 + 1] += 1
+            sums.append(nth[at, :width] < np.frombuffer(kinds.translate(table), np.uint8).reshape(len(at), width))
+        left, right = (np.cumsum(x, axis=1, dtype=np.int16) for x in sums)
+        # cut before a row's first character, or behind the character at each place
+        return np.maximum(right[:, -1], (left - right).max(axis=1) + right[:, -1]).astype(np.int64)
+
+    def _common(self, at: np.ndarray, t: str) -> np.ndarray:
+        """Length of the longest common subsequence of t and each of the rows at: all places of a row at once, 64 to a word."""
+        words = -(-int(self.lengths[at].max()) // 64)
+        texts = self.texts[at, : words * 64]
+        places = {}
+        for c in set(t):
+            if i := self.code.get(c):
+                bits = np.packbits(texts == i, axis=1, bitorder="little").view("<u8")
+                places[c] = [np.ascontiguousarray(bits[:, k]) for k in range(words)]
+        v = [np.full(len(at), 2**64 - 1, np.uint64) for _ in range(words)]
+        u, s, over, carry = np.empty_like(v[0]), np.empty_like(v[0]), np.empty(len(at), bool), np.empty(len(at), bool)
+        for c in t:
+            if (mine := places.get(c)) is None:
+                continue
+            for k in range(words):
+                np.bitwise_and(v[k], mine[k], out=u)
+                np.add(v[k], u, out=s)
+                if k + 1 < words:
+                    np.less(s, u, out=over)
+                if k:
+                    np.add(s, carry, out=s)
+                    if k + 1 < words:
+                        over |= carry & (s == 0)
+                np.bitwise_xor(v[k], u, out=u)  # u has no bit that v has not, so this is the difference
+                np.bitwise_or(s, u, out=v[k])
+                over, carry = carry, over
+        return sum(np.bitwise_count(~x).astype(np.int64) for x in v)
+
+    def best(self, mention: str, k: int, least: float, known: list[tuple[str, float]] | None = None) -> list[tuple[str, float]]:
+        """The k names of the highest ratio of at least least, ties by name; with those that other blocks gave, as known.
+
+        No pair of that ratio is missed: lengths that cannot reach it are left out, then names that share too few pairs of neighbouring characters (by an index of the pairs), then names
+        that do not share enough characters, whatever their order, nor in two parts one after the other; the rest is compared in order of the bound until no bound reaches the k-th best: the first few one by one, the others together.
         """
         t = token_sort(mention)
         n = len(t)
         if not n:
-            return sorted((r[2], 100.0) for r in self.rows if not r[0])[:k]
+            return sorted([*(known or []), *[(r[2], 100.0) for r in self.rows if not r[0]]])[:k]
+        out = [(-s, name) for name, s in known or []]
+        if len(out) >= k:
+            least = max(least, -out[k - 1][0])
         share = max(least, 1e-9) / 200.0
-        lo, hi = np.searchsorted(self.lengths, n * share / (1 - share) - 1e-9), np.searchsorted(self.lengths, n * (1 - share) / share + 1e-9, side="right")
-        size = self.lengths[lo:hi] + n
-        if n > 255:  # counts stop there
-            bound = 200.0 * np.minimum(self.lengths[lo:hi], n) / size
-        else:
-            shared = np.minimum(self.letters[lo:hi], _letters([t])[0]).sum(axis=1, dtype=np.int64)
-            bound = np.where(self.lengths[lo:hi] > 255, 200.0 * n / size, 200.0 * shared / size)
-        at = np.flatnonzero(np.round(bound, 6) >= least)
-        if n <= 255 and len(at):
-            apart = np.abs(self.pairs[lo + at].astype(np.int16) - _neighbours([t])[0].astype(np.int16)).sum(axis=1, dtype=np.int64)
-            tight = 100.0 - 100.0 * -(-apart // 3) / size[at]
-            bound[at] = np.where(self.lengths[lo + at] > 255, bound[at], np.minimum(bound[at], tight))
-            at = at[np.round(bound[at], 6) >= least]
+        lo, hi = (int(x) for x in (np.searchsorted(self.lengths, n * share / (1 - share) - 1e-9), np.searchsorted(self.lengths, n * (1 - share) / share + 1e-9, side="right")))
+        cut_at = max(lo, min(hi, self.most))
         masks: dict[str, int] = {}
         for j, c in enumerate(t):
             masks[c] = masks.get(c, 0) | 1 << j
-        whole = (1 << n) - 1
-        out: list[tuple[float, str]] = []
-        for i in at[np.argsort(-bound[at], kind="stable")]:
-            if len(out) >= k and round(bound[i], 6) < -out[k - 1][0]:
-                break
-            _, text, name = self.rows[lo + i]
-            v = whole  # longest common subsequence, all of t's characters at once
-            for c in text:
-                u = v & masks.get(c, 0)
-                v = ((v + u) | (v - u)) & whole
-            if (score := round(200.0 * (n - v.bit_count()) / (n + len(text)), 6)) >= least:
-                insort(out, (-score, name))
-                del out[k:]
+
+        def take(some: np.ndarray, together: bool) -> None:
+            nonlocal least
+            mine = some[some < self.most] if together else some[:0]
+            ratio = np.round(200.0 * self._common(mine, t) / (n + self.lengths[mine]), 6) if len(mine) else np.zeros(0)
+            good = np.flatnonzero(ratio >= least)
+            scores = list(zip(mine[good], ratio[good].tolist()))
+            scores += [(i, round(200.0 * _longest_common(self.rows[i][1], masks, n) / (n + self.rows[i][0]), 6)) for i in (some[some >= self.most] if together else some)]
+            for i, score in scores:
+                if score >= least:
+                    insort(out, (-score, self.rows[i][2]))
+                    del out[k:]
+            if len(out) >= k:
+                least = max(least, -out[k - 1][0])
+
+        if n > 255:  # counts stop there
+            at = np.arange(lo, hi)
+            bound = 200.0 * np.minimum(self.lengths[lo:hi], n) / (self.lengths[lo:hi] + n)
+        else:
+            shared = self._shared(t, lo, cut_at)
+            at = np.flatnonzero(shared >= self._needed(n, lo, cut_at, least))
+            apart = self.lengths[lo + at] + n + 2 - 2 * shared[at].astype(np.int64)
+            at = lo + at
+            size = self.lengths[at] + n
+            apart = -(-apart // 3)
+            bound = 100.0 - 100.0 * (apart + (apart + size) % 2) / size  # as odd or even as the sum of the lengths
+            if len(at) > 16:  # the most promising first: what they reach rules out many
+                order = np.argpartition(-bound, 4)
+                take(at[order[:4]], False)
+                at, bound = at[order[4:]], bound[order[4:]]
+                at, bound = at[keep := np.round(bound, 6) >= least], bound[keep]
+            letters = np.minimum(self.letters[at], _letters([t])[0]).sum(axis=1, dtype=np.uint16)
+            bound = np.minimum(bound, 200.0 * letters / (self.lengths[at] + n))
+            for p in (n // 2, n // 4, n - n // 4):
+                at, bound = at[keep := np.round(bound, 6) >= least], bound[keep]
+                if len(at) > 16:
+                    bound = np.minimum(bound, 200.0 * self._split(at, t, p) / (self.lengths[at] + n))
+            rest = np.arange(cut_at, hi)
+            at, bound = np.concatenate([at, rest]), np.concatenate([bound, 200.0 * n / (self.lengths[rest] + n)])
+        at, bound = at[keep := np.round(bound, 6) >= least], bound[keep]
+        order = np.argsort(-bound, kind="stable")
+        at, bound = at[order], bound[order]
+        done = 0
+        while done < len(at) and round(bound[done], 6) >= least:
+            together = done >= 8 and n <= 255
+            some = at[done : done + 64 + 4 * done if together else done + 1]
+            done += len(some)
+            take(some, together)
         return [(name, -s) for s, name in out]
 
 
 def fuzzy_top(mentions: DataFrame, entities: DataFrame, k: int = 5, least: float = 60.0, block: int = BLOCK_NAMES) -> DataFrame:
     """The k entities most like each mention by token-sort ratio of at least least: mention, entity, score, rank.
 
-    Both sides are made distinct. Every mention meets every entity, in blocks of entities that are broadcast one after the other, each of about block names;
-    bounds without loss keep most pairs from being compared letter by letter. Mentions are spread over tasks, and each block returns k rows a mention.
+    Both sides are made distinct. Every mention meets every entity, in blocks of entities that are broadcast, each of about block names and BLOCKS_HELD of them to a pass;
+    bounds without loss keep most pairs from being compared letter by letter, and the k best of a block are the bar for the next. Mentions are spread over tasks, and each pass returns k rows a mention.
     """
     m = mentions.select("mention").where("mention IS NOT NULL").distinct()
     e = entities.select("entity").where("entity IS NOT NULL").distinct()
@@ -144,14 +279,22 @@ def fuzzy_top(mentions: DataFrame, entities: DataFrame, k: int = 5, least: float
     e = cut(e) if n > 1 else e
     # by a hash of its own: the partitioning that made the mentions distinct may have been put together into a few tasks
     spread = m.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("mention"))
-    out = None
+    spread = cut(spread) if n > BLOCKS_HELD else spread
+    held = []
     for i in range(n):
         mine = e if n == 1 else e.where(F.pmod(F.xxhash64("entity"), F.lit(n)) == i)
-        held = spark.sparkContext.broadcast(_Names([r[0] for r in mine.collect()]))  # about block names
+        held.append(spark.sparkContext.broadcast(_Names([r[0] for r in mine.collect()])))  # about block names
+    out = None
+    for i in range(0, n, BLOCKS_HELD):
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], some=tuple(held[i : i + BLOCKS_HELD])) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = [(x, name, s) for x in b.column(0).to_pylist() for name, s in held.value.best(x, k, least)]
+                rows = []
+                for x in b.column(0).to_pylist():
+                    best: list[tuple[str, float]] = []
+                    for names in some:
+                        best = names.value.best(x, k, least, best)
+                    rows += [(x, name, s) for name, s in best]
                 yield pa.record_batch([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["mention", "entity", "score"])
 
         part = spread.mapInArrow(run, "mention string, entity string, score double")
