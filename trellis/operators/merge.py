@@ -11,7 +11,7 @@ from trellis.functions.text import lookup, norm_predicate, slug, trimmed
 from trellis.operators.ranking import global_index
 from trellis.operators import rules as R
 from trellis.operators.retrieval import align
-from trellis.session import broadcast_bounded, cut
+from trellis.session import broadcast_bounded, cut, stored
 
 
 def keyword_type(text: Column) -> Column:
@@ -179,7 +179,7 @@ def merge_full(base: DataFrame, triples: DataFrame, min_support: int = 1, accept
     few = broadcast_bounded(alignment)
     for s in "xy":
         x = x.join(few.select(F.col("mention").alias(s), F.col("name").alias(f"{s}_name"), F.col("entity_type").alias(f"{s}_type"), F.col("index").alias(f"{s}_index"), F.col("id").alias(f"{s}_id"), F.col("source").alias(f"{s}_source")), s)
-    x = cut(x.withColumn("r", map_relation(F.col("p"), F.col("x_type"), F.col("y_type"))).select("*", "r.*").drop("r", "x", "y"))
+    x = stored(x.withColumn("r", map_relation(F.col("p"), F.col("x_type"), F.col("y_type"))).select("*", "r.*").drop("r", "x", "y"))
     old = base.select(F.lower(trimmed(F.col("x_name"))).alias("x_name"), F.lower(trimmed(F.col("y_name"))).alias("y_name"), "relation")
     status = merge_status(old, x, min_support).where("status <> 'duplicate'").select(F.col("first_id").alias("id"), "status")
     row = x.join(status, "id")
