@@ -107,6 +107,21 @@ def test_graph_features_against_plain_search(spark):
     assert (one.n_patients, one.patients_with_unmapped_genes, one.gene_mapping_rate_nonempty) == (4, 1, 0.5)
 
 
+def test_graph_features_in_blocks_without_joining_pairs(spark, monkeypatch):
+    """Distances are looked up within a record's row, for a table of any size: no join of pairs with distances (whose common pairs would be one task's), however few rows may be broadcast."""
+    rnd = random.Random(5)
+    edges = [("disease", f"c{rnd.randrange(6)}", *rnd.choice([("drug", f"drug{rnd.randrange(9)}"), ("gene/protein", f"gene{rnd.randrange(9)}"), ("anatomy", f"site{rnd.randrange(3)}")])) for _ in range(25)]
+    g = K.typed_graph(spark.createDataFrame(edges, "x_type string, x_name string, y_type string, y_name string"))
+    said = [(i, *rnd.choice([("cancer", f"c{rnd.randrange(6)}"), ("site", f"site{rnd.randrange(3)}"), ("treatment", f"drug{rnd.randrange(9)}"), ("gene", f"gene{rnd.randrange(9)}")])) for i in range(60) for _ in range(8)]
+    m = spark.createDataFrame(said, "id long, kind string, query string")
+    monkeypatch.setattr("trellis.session.BROADCAST_ROWS", 0)
+    whole = K.kg_features(m.select("id"), m, g)
+    assert "hops" not in whole._jdf.queryExecution().toString()
+    monkeypatch.setattr(K, "PAIRS", 3)
+    assert sorted(whole.collect()) == sorted(K.kg_features(m.select("id"), m, g, cells=100).collect())
+    assert max(r.kg_disease_or_site_gene_pairs for r in whole.collect()) > 3
+
+
 def test_merge_with_alignment(spark):
     base = spark.createDataFrame(
         [("indication", "indication", 5, "d5", "drug", "Velorin Therapy", "P", 9, "x9", "disease", "Lung Cancer", "P"), ("ppi", "ppi", 3, "g3", "gene/protein", "krv1", "P", 4, "g4", "gene/protein", "krv2", "P")],

@@ -13,43 +13,45 @@ from trellis.operators import ablation as A
 from trellis.operators import cohort as C
 from trellis.operators import kgfeatures as K
 from trellis.operators import survival as V
-from trellis.session import cut, table
+from trellis.session import cut, stored, table
 
 MIN_ROWS = 20
 MAX_HOPS = 8
 
 
 def patients(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "msk_chord_patient_level").where("os_time > 0 AND os_event IS NOT NULL")
+    """The patients that are followed, with their lists read as tx and genes; stored, for all that reads them again."""
+    x = table(s, d, "msk_chord_patient_level").where("os_time > 0 AND os_event IS NOT NULL")
+    return stored(x.select("*", json_list(F.col("treatments")).alias("tx"), json_list(F.col("altered_genes")).alias("genes")).drop("treatments", "altered_genes"))
 
 
-def mentions(s: SparkSession, d: str) -> DataFrame:
+def mentions(p: DataFrame) -> DataFrame:
     """id, kind, query: what each record says of its cancer, site, agents and genes."""
     one = [F.struct(F.lit(k).alias("kind"), F.col(c).alias("query")) for k, c in (("cancer", "cancer_type"), ("cancer", "cancer_type_detailed"), ("site", "primary_site"))]
 
     def said(kind: str):
         return lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("query"))
 
-    many = [F.transform(json_list(F.col(c)), said(k)) for k, c in (("treatment", "treatments"), ("gene", "altered_genes"))]
-    x = patients(s, d).select(F.col("row_id").alias("id"), F.explode(F.concat(F.array(*one), *many)).alias("m"))
+    many = [F.transform(F.col(c), said(k)) for k, c in (("treatment", "tx"), ("gene", "genes"))]
+    x = p.select(F.col("row_id").alias("id"), F.explode(F.concat(F.array(*one), *many)).alias("m"))
     return x.select("id", "m.kind", "m.query")
 
 
-def graph(s: SparkSession, d: str) -> DataFrame:
-    m = patients(s, d).select("cancer_type", "primary_site", json_list(F.col("treatments")).alias("tx"), json_list(F.col("altered_genes")).alias("genes"))
+def graph(p: DataFrame, s: SparkSession, d: str) -> DataFrame:
     kinds = (("anatomy", F.array("primary_site")), ("drug", F.col("tx")), ("gene/protein", F.col("genes")))
-    parts = [m.select(F.col("cancer_type").alias("x_name"), F.lit(k).alias("y_type"), F.explode(v).alias("y_name")) for k, v in kinds]
+    parts = [p.select(F.col("cancer_type").alias("x_name"), F.lit(k).alias("y_type"), F.explode(v).alias("y_name")) for k, v in kinds]
     x = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("x_name", "y_type", "y_name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_ROWS).drop("n")
     up = table(s, d, "canonical_terms").where("parent_term IS NOT NULL").select(F.col("term").alias("x_name"), F.lit("disease").alias("y_type"), F.col("parent_term").alias("y_name"))
     return cut(K.typed_graph(x.unionByName(up).withColumn("x_type", F.lit("disease"))))
 
 
-def features(s: SparkSession, d: str) -> DataFrame:
-    return K.kg_features(patients(s, d).select(F.col("row_id").alias("id")), mentions(s, d), graph(s, d), MAX_HOPS)
+def features(p: DataFrame, s: SparkSession, d: str) -> DataFrame:
+    return K.kg_features(p.select(F.col("row_id").alias("id")), mentions(p), graph(p, s, d), MAX_HOPS)
 
 
 def diagnostics(s: SparkSession, d: str) -> DataFrame:
-    return K.mapping_diagnostics(patients(s, d).select(F.col("row_id").alias("id")), mentions(s, d), graph(s, d))
+    p = patients(s, d)
+    return K.mapping_diagnostics(p.select(F.col("row_id").alias("id")), mentions(p), graph(p, s, d))
 
 
 GROUPS = {
@@ -63,14 +65,15 @@ GROUPS = {
 def coded(s: SparkSession, d: str) -> DataFrame:
     """Patients with every feature as a value of few kinds, in all datasets they are in, with folds."""
     band = lambda c, lo, hi, width, most: F.when(~F.isnan(c) & F.col(c).between(lo, hi), F.floor(F.least(F.col(c), F.lit(float(most))) / width).cast("int"))
-    k = features(s, d).select(F.col("id").alias("row_id"), F.least(F.col("kg_num_gene_nodes"), F.lit(10)).cast("int").alias("kg_genes"), *[F.col(f"kg_{n}_min_dist").cast("int").alias(c) for n, c in (("cancer_treatment", "kg_treatment"), ("cancer_gene", "kg_gene"), ("disease_or_site_gene", "kg_near"))])
-    x = patients(s, d).select(
+    p = patients(s, d)
+    k = features(p, s, d).select(F.col("id").alias("row_id"), F.least(F.col("kg_num_gene_nodes"), F.lit(10)).cast("int").alias("kg_genes"), *[F.col(f"kg_{n}_min_dist").cast("int").alias(c) for n, c in (("cancer_treatment", "kg_treatment"), ("cancer_gene", "kg_gene"), ("disease_or_site_gene", "kg_near"))])
+    x = p.select(
         "row_id", "os_time", "os_event", C.unknown(F.col("cancer_type")).alias("cancer_type"), C.stage_group(F.col("stage")).alias("stage_group"), "stage", "prior_treatment_to_msk", "sex", "race", "ethnicity", "sample_type", "primary_site", "smoking_history", "msi_type", "gene_panel",
         band("age", 0, 150, 10, 150).alias("age_band"), band("tmb", 0, 500, 5, 50).alias("tmb_band"), band("tumor_purity", 1, 100, 20, 100).alias("purity_band"),
-        F.least(F.size(json_list(F.col("treatments"))), F.lit(5)).alias("n_tx"), F.least(F.floor(F.size(json_list(F.col("altered_genes"))) / 3), F.lit(5)).cast("int").alias("genes_band"),
+        F.least(F.size("tx"), F.lit(5)).alias("n_tx"), F.least(F.floor(F.size("genes") / 3), F.lit(5)).cast("int").alias("genes_band"),
     ).join(k, "row_id")
     x = x.withColumnsRenamed({"os_time": "time", "os_event": "event"})
-    return A.with_folds(A.datasets(x), "row_id")
+    return A.with_folds(A.datasets(stored(x)), "row_id")
 
 
 def risks(s: SparkSession, d: str) -> DataFrame:
@@ -96,7 +99,7 @@ def slices(s: SparkSession, d: str) -> DataFrame:
 
 _ROUND = [c for c in K.FEATURES if c.endswith("mean_dist")]
 QUERIES = {
-    "cohort_kg_features": lambda s, d: features(s, d).withColumns({c: F.round(c, 6) for c in _ROUND}),
+    "cohort_kg_features": lambda s, d: features(patients(s, d), s, d).withColumns({c: F.round(c, 6) for c in _ROUND}),
     "cohort_kg_diagnostics": lambda s, d: diagnostics(s, d).withColumns({c: F.round(c, 6) for c in ("kg_treatment_mapping_rate", "kg_gene_mapping_rate")}),
     "kg_diagnostics_summary": lambda s, d: K.diagnostics_summary(diagnostics(s, d)).withColumns({c: F.round(c, 6) for c in ("disease_mapping_patient_rate", "anatomy_mapping_patient_rate", "treatment_mapping_rate_nonempty", "gene_mapping_rate_nonempty")}),
     "ablation_folds": lambda s, d: coded(s, d).select("dataset", "row_id", "fold"),
