@@ -73,6 +73,19 @@ def test_hazards_of_the_other_folds(spark):
         assert got[i, "clinical_kg"] == got[i, "clinical_only"]
 
 
+def test_weights_of_more_values_than_may_be_broadcast(spark, monkeypatch):
+    """Common values' weights are broadcast though there are too many values for one broadcast; only rows of rare values are shuffled, and every row has its weight."""
+    rows = [("d", i % 3, i, float(i % 17 + 1), i % 2, "common" if i % 2 else f"rare{i}", "pq"[i % 4 < 2]) for i in range(400)]
+    df = spark.createDataFrame(rows, "dataset string, fold int, id long, time double, event int, a string, b string")
+    groups = {"clinical": ("a",), "treatment": (), "molecular": ("b",), "kg": ()}
+    whole = sorted(A.hazard_risks(df, groups, "id").collect())
+    monkeypatch.setattr(A, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr("trellis.session.BROADCAST_ROWS", 10)
+    split = A.hazard_risks(df, groups, "id")
+    assert "LeftOuter, BuildRight" in split._jdf.queryExecution().executedPlan().toString()  # the common values
+    assert sorted(split.collect()) == whole and len(whole) == 400 * len(A.MODELS)
+
+
 def test_graph_features_against_plain_search(spark):
     edges = [("disease", "Lung Cancer", "gene/protein", "KRV1"), ("gene/protein", "krv1", "drug", "Velorin"), ("disease", "cancer", "disease", "lung cancer"), ("anatomy", "Lung", "disease", "lung cancer"), ("gene/protein", "ALONE", "gene/protein", "alone2"), ("disease", "", "drug", "x")]
     g = K.typed_graph(spark.createDataFrame(edges, "x_type string, x_name string, y_type string, y_name string"))

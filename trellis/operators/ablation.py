@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from trellis.operators.ranking import stratified_folds
 from trellis.operators.survival import concordance
-from trellis.session import broadcast_bounded, cut
+from trellis.session import BROADCAST_ROWS, broadcast_bounded, cut
 
 #: Models and the groups of features each uses beside the clinical ones. Fixed values.
 MODELS = {
@@ -50,26 +50,45 @@ def with_folds(x: DataFrame, key: str, event: str = "event", wanted: int = 5, se
     return stratified_folds(y, "__class", key, F.col("__k"), seed).drop("__class", "__k")
 
 
+def _with_weights(long: DataFrame, per: DataFrame, by: Sequence[str], most: int | None = None) -> DataFrame:
+    """long joined to per (by, ws, and n, how many rows of long have it): the commonest of per, as many as may be broadcast, by broadcast; only rows of the others are shuffled, and those are alike rare."""
+    most = BROADCAST_ROWS if most is None else most
+    if per.count() <= most:
+        return long.join(F.broadcast(per.drop("n")), list(by))
+    power, room, least = F.floor(F.log2("n")).cast("int"), most, 64
+    for p, count in sorted(map(tuple, per.groupBy(power.alias("p")).count().collect()), reverse=True):  # a row for each power of two
+        if (room := room - count) < 0:
+            break
+        least = p
+    x = long.join(F.broadcast(per.where(power >= least).drop("n")), list(by), "left")
+    rare = x.where("ws IS NULL").drop("ws").join(per.where(power < least).drop("n"), list(by))
+    return x.where("ws IS NOT NULL").unionByName(rare)
+
+
 def hazard_risks(x: DataFrame, features: Mapping[str, Sequence[str]], key: str, time: str = "time", event: str = "event") -> DataFrame:
     """dataset, fold, model, key, time, event, risk: each record's risk under each of MODELS, trained on the other folds of its dataset.
 
     features: group (clinical, treatment, molecular, kg) to its columns, all read as text; null is a value. A value's rate is (events + 1) over
-    (time + 1 / the overall rate) of the training folds, so one that they do not have counts as average. Counts combine map-side; a value that a third of all records share is one row a task.
+    (time + 1 / the overall rate) of the training folds, so one that they do not have counts as average. Counts combine map-side; a value that a third of all records share is one row a task,
+    and its weights reach them by broadcast (_with_weights).
     """
     cols = [(g, c) for g, cs in features.items() for c in cs]
-    value = F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("string"), F.lit("?")).alias("value")) for g, c in cols])).alias("v")
-    base = cut(x.select("dataset", "fold", F.col(key).alias("key"), F.col(time).cast("double").alias("time"), F.col(event).cast("int").alias("event"), *[c for _, c in cols]))
+    value = F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), F.coalesce(F.col(c).cast("string"), F.lit("?")).alias("value")) for i, (_, c) in enumerate(cols)])).alias("v")
+    base = cut(x.select("dataset", "fold", F.col(key).alias("key"), F.col(time).cast("double").alias("time"), F.col(event).cast("int").alias("event"), *dict.fromkeys(c for _, c in cols)))
     long = base.select("dataset", "fold", "key", "time", "event", value).select("dataset", "fold", "key", "time", "event", "v.*")
     of = lambda *by: (F.sum("e").over(Window.partitionBy(*by)) - F.col("e"), F.sum("t").over(Window.partitionBy(*by)) - F.col("t"))
     total = base.groupBy("dataset", "fold").agg(F.sum("event").alias("e"), F.sum("time").alias("t"))
     e, t = of("dataset")
     total = total.select("dataset", "fold", (e / t).alias("rate"))
-    per = long.groupBy("dataset", "grp", "feature", "value", "fold").agg(F.sum("event").alias("e"), F.sum("time").alias("t"))
-    e, t = of("dataset", "grp", "feature", "value")
-    per = per.select("dataset", "grp", "feature", "value", "fold", e.alias("e"), t.alias("t")).join(broadcast_bounded(total), ["dataset", "fold"])
+    by = ["dataset", "feature", "value"]
+    per = long.groupBy(*by, "fold").agg(F.sum("event").alias("e"), F.sum("time").alias("t"), F.count(F.lit(1)).alias("n"))
+    e, t = of(*by)
+    per = per.select(*by, "fold", e.alias("e"), t.alias("t"), "n").join(broadcast_bounded(total), ["dataset", "fold"])
     rate = F.when(F.col("rate") > 0, F.ln((F.col("e") + 1) / (F.col("t") + 1 / F.col("rate")) / F.col("rate"))).otherwise(0.0)
-    per = cut(per.select("dataset", "grp", "feature", "value", "fold", rate.alias("w")))
-    scored = long.join(broadcast_bounded(per), ["dataset", "grp", "feature", "value", "fold"]).groupBy("dataset", "fold", "key").agg(F.first("time").alias("time"), F.first("event").alias("event"), *[F.sum(F.when(F.col("grp").isin("clinical", *more), F.col("w")).otherwise(0.0)).alias(m) for m, more in MODELS.items()])
+    per = cut(per.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("fold", rate.alias("w")))).alias("ws"), F.sum("n").alias("n")))
+    weighed = _with_weights(long, per, by).withColumn("w", F.element_at("ws", F.col("fold")))
+    uses = {m: [i for i, (g, _) in enumerate(cols) if g in ("clinical", *more)] for m, more in MODELS.items()}
+    scored = weighed.groupBy("dataset", "fold", "key").agg(F.first("time").alias("time"), F.first("event").alias("event"), *[F.sum(F.when(F.col("feature").isin(*ix), F.col("w")).otherwise(0.0)).alias(m) for m, ix in uses.items()])
     return scored.select("dataset", "fold", "key", "time", "event", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.round(m, 6).alias("risk")) for m in MODELS])).alias("m")).select("dataset", "fold", "m.model", "key", "time", "event", "m.risk")
 
 

@@ -81,7 +81,7 @@ def risks(s: SparkSession, d: str) -> DataFrame:
 
 
 def metrics(s: SparkSession, d: str) -> DataFrame:
-    return A.fold_metrics(cut(risks(s, d)))
+    return A.fold_metrics(stored(risks(s, d)))
 
 
 def paired_t(s: SparkSession, d: str) -> DataFrame:
