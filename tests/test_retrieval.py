@@ -59,3 +59,27 @@ def test_names_index_speed():
     for _ in range(100):
         assert names.best(text(), 1, 80.0) == []
     assert time.process_time() - began < 6
+
+
+def test_tabled_words_against_all_pairs(spark, monkeypatch):
+    """A table of frequent words leaves out names by what the words cost in them; without one, all names were compared by the neighbours of their characters, which took ten times as long."""
+    rnd = random.Random(7)
+    words = ["ovarian", "chronic", "surface", "upper", "lobe", "phase", "iii", "\u00e9lev\u00e9e", "type", "carcinoma", "colon", "calcified"]
+    spoilt = lambda t: "".join(rnd.choice([c] * 12 + ["", c + "'", "x"]) for c in t)
+    text = lambda most: rnd.choice([" ", " ", "-"]).join(rnd.choice(words) for _ in range(rnd.randrange(1, most)))
+    names = sorted({spoilt(text(m)) for m in (4, 9, 16, 30, 50) for _ in range(80)})
+    costs = R._nearness([S.token_sort(x) for x in names], words)
+    assert all(costs[i, j] == 0 for i, x in enumerate(names) for j, w in enumerate(words) if w in S.token_sort(x) and len(x) < R.TABLED_CHARS)
+    mentions = sorted({spoilt(rnd.choice(names)) for _ in range(60)} | {text(m) for m in (4, 9, 16, 30, 50) for _ in range(8)})
+    blocks = [R._Names(names[::2], words, costs[::2]), R._Names(names[1::2], words)]
+    none = [None] * len(mentions)
+    for k, least in ((1, 80.0), (4, 60.0), (2, 95.0)):
+        found: list = [[] for _ in mentions]
+        for b in blocks:
+            found = b.best_of_each(mentions, k, least, found, none)
+        for m, got in zip(mentions, found):
+            all_pairs = sorted((-round(S.token_sort_ratio(m, x), 6), x) for x in names)
+            assert got == [(x, -s) for s, x in all_pairs if -s >= least][:k], m
+    monkeypatch.setattr(R, "TABLED_PAIRS", 1)
+    got = R.fuzzy_top(column(spark, "mention", mentions), column(spark, "entity", names), 1, 80.0, block=100).collect()
+    assert sorted((r.mention, r.entity, r.score) for r in got) == sorted((m, x, -s) for m in mentions for s, x in [min((-round(S.token_sort_ratio(m, x), 6), x) for x in names)] if -s >= 80.0)
