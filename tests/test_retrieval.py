@@ -83,3 +83,11 @@ def test_tabled_words_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(R, "TABLED_PAIRS", 1)
     got = R.fuzzy_top(column(spark, "mention", mentions), column(spark, "entity", names), 1, 80.0, block=100).collect()
     assert sorted((r.mention, r.entity, r.score) for r in got) == sorted((m, x, -s) for m in mentions for s, x in [min((-round(S.token_sort_ratio(m, x), 6), x) for x in names)] if -s >= 80.0)
+
+
+def test_alignment_without_edges(spark):
+    """The query merge_alignment leaves the edges out and gives the alignment of the merge."""
+    from trellis.plans import triples as P
+
+    got, want = P.alignment(spark, "/root/testdata/sf0.001"), P.merged(spark, "/root/testdata/sf0.001")[1]
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))

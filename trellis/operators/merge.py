@@ -154,28 +154,37 @@ def next_index(edges: DataFrame) -> int:
     return int(edges.agg(F.coalesce(F.max(F.greatest(number("x_index"), number("y_index"))), F.lit(-1)).alias("m")).first()["m"]) + 1
 
 
-def merge_full(base: DataFrame, triples: DataFrame, min_support: int = 1, accept: float = 80.0, answers: DataFrame | None = None, rerank=None, confirm=None) -> tuple[DataFrame, DataFrame]:
-    """(rows, alignment): triples (id, s, p, o, origins, support, loaded_at) merged into base, an edge table of MERGED_COLUMNS[:12].
-
-    rows has MERGED_COLUMNS and status: base rows as they are (status base), and one row per new (x, y, relation) with the index, id, type and source of both ends,
-    CONFLICT added to the source of x where it contradicts an earlier statement, and the origins (a JSON list), support and predicate of its first statement.
-    Each distinct name is typed and aligned once: a name that the base has, but for case, is that entity (of several types the inferred one, else the smallest);
-    else the most similar name of at least accept (see retrieval.align; rerank and confirm are passed on); else it is a new entity of source CUSTOM, with the next index in order of
-    first arrival and its slug as id. alignment: mention, type, how, name, entity_type, index, id, source.
-    """
+def stated(triples: DataFrame, min_support: int = 1) -> DataFrame:
+    """Whole triples of at least min_support: id, at, support, p, origins and the names x and y."""
     x = triples.where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL").where(F.coalesce("support", F.lit(1)) >= min_support)
-    x = x.select("id", F.col("loaded_at").alias("at"), F.coalesce("support", F.lit(1)).alias("support"), "p", "origins", F.lower(trimmed(F.col("s"))).alias("x"), F.lower(trimmed(F.col("o"))).alias("y"))
+    return x.select("id", F.col("loaded_at").alias("at"), F.coalesce("support", F.lit(1)).alias("support"), "p", "origins", F.lower(trimmed(F.col("s"))).alias("x"), F.lower(trimmed(F.col("o"))).alias("y"))
+
+
+def align_entities(known: DataFrame, start: int, x: DataFrame, accept: float = 80.0, answers: DataFrame | None = None, rerank=None, confirm=None) -> DataFrame:
+    """The alignment of merge_full: the names of x (see stated) against known (see entity_table), new ones numbered from start."""
     came = x.select(F.explode(F.array(*[F.struct(F.col(c).alias("name"), F.struct("at", "id", F.lit(i).alias("side")).alias("came")) for i, c in enumerate("xy")])).alias("n")).select("n.*").groupBy("name").agg(F.min("came").alias("came"))
     mentions = cut(came.join(name_types(came, answers), "name"))
-    known = cut(entity_table(base))
     met = cut(align(mentions.select(F.col("name").alias("mention")), known.select(F.col("name").alias("entity")), accept, accept if rerank is None and confirm is None else 60.0, rerank, confirm))
     pick = F.min(F.struct((F.col("type") != F.col("entity_type")).alias("other"), "entity_type", "index", "id", "source")).alias("e")
     chosen = met.join(mentions.select(F.col("name").alias("mention"), "type"), "mention").join(known.select(F.col("name").alias("entity"), F.col("type").alias("entity_type"), "index", "id", "source"), "entity")
     chosen = cut(chosen.groupBy("mention", "type", "how", F.col("entity").alias("name")).agg(pick).select("mention", "type", "how", "name", "e.entity_type", "e.index", "e.id", "e.source"))
     fresh = mentions.join(chosen.select(F.col("mention").alias("name")), "name", "left_anti")
-    fresh = global_index(fresh, ["came", "name"], "index", next_index(base))
+    fresh = global_index(fresh, ["came", "name"], "index", start)
     fresh = fresh.select(F.col("name").alias("mention"), "type", F.lit("new").alias("how"), "name", F.col("type").alias("entity_type"), "index", slug(F.col("name"), "custom_entity").alias("id"), F.lit("CUSTOM").alias("source"))
-    alignment = cut(chosen.select(*fresh.columns).unionByName(fresh))
+    return cut(chosen.select(*fresh.columns).unionByName(fresh))
+
+
+def merge_full(base: DataFrame, triples: DataFrame, min_support: int = 1, accept: float = 80.0, answers: DataFrame | None = None, rerank=None, confirm=None) -> tuple[DataFrame, DataFrame]:
+    """(rows, alignment): triples (id, s, p, o, origins, support, loaded_at) merged into base, an edge table of MERGED_COLUMNS[:12].
+
+    rows has MERGED_COLUMNS and status: base rows as they are (status base), and one row per new (x, y, relation) with the index, id, type and source of both ends,
+    CONFLICT added to the source of x where it contradicts an earlier statement, and the origins (a JSON list), support and predicate of its first statement.
+    Each distinct name is typed and aligned once: a name that the base has, but for case, is that entity (of several types the inferred one, else the smallest);
+    else the most similar name of at least accept (see retrieval.align; rerank and confirm are passed on); else it is a new entity of source CUSTOM, with the next index in order of
+    first arrival and its slug as id. alignment: mention, type, how, name, entity_type, index, id, source.
+    """
+    x = stated(triples, min_support)
+    alignment = align_entities(cut(entity_table(base)), next_index(base), x, accept, answers, rerank, confirm)
     few = broadcast_bounded(alignment)
     for s in "xy":
         x = x.join(few.select(F.col("mention").alias(s), F.col("name").alias(f"{s}_name"), F.col("entity_type").alias(f"{s}_type"), F.col("index").alias(f"{s}_index"), F.col("id").alias(f"{s}_id"), F.col("source").alias(f"{s}_source")), s)

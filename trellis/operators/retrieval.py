@@ -19,9 +19,9 @@ from trellis.session import cut, stored
 #: Queries that one pass over the corpus answers.
 BLOCK_QUERIES = 20_000
 #: Entity names that one pass over the mentions is compared with.
-BLOCK_NAMES = 80_000
-#: Blocks of names that a task holds at once; one takes about 100 MB.
-BLOCKS_HELD = 3
+BLOCK_NAMES = 50_000
+#: Blocks of names that a task holds at once; one takes about 60 MB.
+BLOCKS_HELD = 5
 #: Words, the most frequent ones, whose distance from every text is tabled, and from how many pairs of texts on; which words have a table changes the time taken, not what is found.
 TABLED_WORDS, TABLED_PAIRS = 255, 10**8
 #: Longest text that is tabled: its length and what a word gains must fit a byte.
